@@ -58,7 +58,7 @@ SELECT event_id AS message_id, user_id, ts AS received_at,
        'Event ' || event_type AS subject, props AS body, props AS body_preview,
        event_type AS topic,
        CASE WHEN event_type = 'error' THEN 'spam' ELSE 'ham' END AS spam_label,
-       CASE WHEN event_type = 'error' THEN 0.9 ELSE 0.1 END AS spam_score,
+       CASE WHEN event_type = 'error' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS spam_score,
        least(1.0, value / 100.0) AS urgency_score,
        CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0 AS sentiment_score,
        CASE WHEN user_id % 5 = 0 THEN 'personal' ELSE 'faculty' END AS mailbox_type,

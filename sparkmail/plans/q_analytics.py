@@ -182,7 +182,7 @@ _TOPIC_CAT_SQL = """CASE
 WITH m AS ({EV}),
 c AS (SELECT topic AS t, count(*) AS count FROM m WHERE topic IS NOT NULL GROUP BY 1
       ORDER BY count DESC, t LIMIT 10)
-SELECT row_number() OVER (ORDER BY count DESC, t) AS rank, t AS name, {_TOPIC_CAT_SQL} AS category, count FROM c
+SELECT CAST(row_number() OVER (ORDER BY count DESC, t) AS INTEGER) AS rank, t AS name, {_TOPIC_CAT_SQL} AS category, count FROM c
 """)
 def q_top_topics(spark, sf):
     return A.top_topics(_events(spark, sf), k=10)
@@ -191,7 +191,7 @@ def q_top_topics(spark, sf):
 @query("top_topics_per_user", sql=f"""
 WITH m AS ({EV}),
 c AS (SELECT user_id, topic AS t, count(*) AS count FROM m WHERE topic IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, t) AS rank FROM c)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY count DESC, t) AS INTEGER) AS rank FROM c)
 SELECT user_id, rank, t AS name, {_TOPIC_CAT_SQL} AS category, count FROM r WHERE rank <= 3
 """)
 def q_top_topics_user(spark, sf):
@@ -201,7 +201,7 @@ def q_top_topics_user(spark, sf):
 @query("topic_share", sql=f"""
 WITH m AS ({EV}),
 c AS (SELECT user_id, topic AS t, count(*) AS count FROM m WHERE topic IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, t) AS rank FROM c),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY count DESC, t) AS INTEGER) AS rank FROM c),
 k AS (SELECT * FROM r WHERE rank <= 4)
 SELECT user_id, rank, t AS name, count,
        round(count / sum(count) OVER (PARTITION BY user_id) * 100, 1) AS share_pct,
