@@ -23,6 +23,8 @@ SQL_CONF = {
     # Header arrays may repeat a name; the last value wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Partition folder values stay strings (dates travel as yyyy-MM-dd text).
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 
