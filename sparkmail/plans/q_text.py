@@ -72,7 +72,7 @@ SELECT message_id, subject, body, sender, lang, source,
 FROM ({DOCS})"""
 
 
-def sql_mailbox(r: R.MailboxRules) -> str:
+def sql_mailbox(r: R.MailboxRules, src: str = DOCS, keep: str = "message_id, subject, body, sender, lang, source") -> str:
     t = "lower(coalesce(subject, '') || ' ' || coalesce(body, '') || ' ' || coalesce(sender, ''))"
     u = "lower(substring(coalesce(subject, '') || ' ' || coalesce(body, ''), 1, %d))" % r.urgency_chars
     dom = ("CASE WHEN strpos(coalesce(sender, ''), '@') > 0 "
@@ -81,7 +81,7 @@ def sql_mailbox(r: R.MailboxRules) -> str:
     me = " + ".join(f"CAST(contains({u}, {_q(p)}) AS INTEGER)" for p in r.urgency_medium) or "0"
     score = f"CASE WHEN {sql_any(t, r.spam_terms)} THEN {_d(r.spam_score)} ELSE {_d(r.ham_score)} END"
     return f"""
-SELECT message_id, subject, body, sender, lang, source,
+SELECT {keep},
   CASE WHEN {score} > {r.spam_threshold} THEN 'spam' ELSE 'ham' END AS spam_label,
   {score} AS spam_score,
   {sql_first(t, r.topics, r.default_topic)} AS topic,
@@ -89,7 +89,7 @@ SELECT message_id, subject, body, sender, lang, source,
   round_even(least({_d(1.0)}, {_d(r.urgency_base)} + ({hi}) * {_d(r.urgency_high_step)}
                    + ({me}) * {_d(r.urgency_medium_step)}), 2)
     AS urgency_score
-FROM ({DOCS})"""
+FROM ({src})"""
 
 
 _KW_COLS = "message_id, spam_label, spam_score, topic, topic_confidence, urgency_score, sentiment_score, label"
