@@ -157,15 +157,16 @@ DDL = {
 }
 
 
-def create_tables(spark: SparkSession, root: str, names=None) -> list[str]:
-    """External tables over ``root/<name>``."""
+def create_tables(spark: SparkSession, root: str, names=None, database: str | None = None) -> list[str]:
+    """External tables over ``root/<name>`` (optionally in ``database``)."""
     made = []
     for name in names or DDL:
         cols, fmt, parts = DDL[name]
         part = f" PARTITIONED BY ({parts})" if parts else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING {fmt}{part} "
+        full = f"{database}.{name}" if database else name
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {full} ({cols}) USING {fmt}{part} "
                   f"LOCATION '{root.rstrip('/')}/{name}'")
-        made.append(name)
+        made.append(full)
     return made
 
 
