@@ -29,7 +29,8 @@ def clean_raw(df: DataFrame, date: str | None = None, mailbox_type: str | None =
         x = x.withColumn(c, F.coalesce(F.col(c), F.lit(""))) if c in x.columns else x.withColumn(c, F.lit(""))
     for c in _INT_DEFAULTS:
         x = x.withColumn(c, F.coalesce(F.col(c), F.lit(0))) if c in x.columns else x.withColumn(c, F.lit(0))
-    x = x.withColumn("received_at", parse_iso_ts(F.col("received_at")))
+    x = x.withColumn("received_at", parse_iso_ts(F.col("received_at")) if "received_at" in x.columns
+                     else F.lit(None).cast("timestamp"))
     path_date = F.col("ingestion_date") if "ingestion_date" in x.columns else F.lit(None).cast("string")
     path_box = F.col("mailbox_type") if "mailbox_type" in x.columns else F.lit(None).cast("string")
     x = x.withColumn("ingestion_date", F.coalesce(path_date, F.lit(date)).cast("string"))
