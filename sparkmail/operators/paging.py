@@ -95,3 +95,14 @@ def top_per_user(df: DataFrame, m: int, user_col: str = "user_id", ts_col: str =
 
 def pages_for(total: int, size: int) -> int:
     return math.ceil(total / size) if size else 0
+
+
+def serving_record(df: DataFrame) -> DataFrame:
+    """The list endpoint's record: renamed fields, ISO-8601 time text."""
+    iso = F.date_format(F.col("received_at"), "yyyy-MM-dd'T'HH:mm:ss")
+    cols = {
+        "id": F.col("message_id").cast("string"), "sender": F.col("sender"), "subject": F.col("subject"),
+        "preview": F.col("body_preview"), "received_at": iso, "spam_label": F.col("spam_label"),
+        "topic": F.col("topic"), "urgency_score": F.col("urgency_score"), "mailbox_type": F.col("mailbox_type"),
+    }
+    return df.select(*[c.alias(k) for k, c in cols.items()])

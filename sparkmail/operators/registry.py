@@ -70,3 +70,17 @@ def read_registry(spark, root: str) -> DataFrame:
         return reg
     newest = reg.agg(F.max(F.col("generation").cast("long"))).scalar()
     return reg.where(F.col("generation").cast("long") == newest).drop("generation")
+
+
+def champion_path(registry: DataFrame):
+    """The champion's model path (one row read on the driver; None if none)."""
+    row = champion(registry).orderBy(F.col("created_at").desc()).select("model_path").first()
+    return row["model_path"] if row else None
+
+
+def load_champion(spark, root: str):
+    """The champion model of the newest registry generation."""
+    from pyspark.ml import PipelineModel
+
+    path = champion_path(read_registry(spark, root))
+    return PipelineModel.load(path) if path else None

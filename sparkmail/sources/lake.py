@@ -56,6 +56,23 @@ def read_raw(spark: SparkSession, root: str, date: str | None = None, schema: St
     return df
 
 
+def read_partition(spark: SparkSession, root: str, date: str, mailbox_type: str | None = None,
+                   date_col: str = "ingestion_date", fmt: str = "parquet") -> DataFrame:
+    """S3: one date (and optionally one mailbox type) of a partitioned table,
+    as filters on the partition columns, so only those folders are listed
+    and read. A missing table gives no rows rather than an error (S2)."""
+    try:
+        df = spark.read.format(fmt).load(root)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return spark.createDataFrame([], S.RAW_MESSAGE).withColumn(date_col, F.lit(None).cast("string"))
+    df = df.where(F.col(date_col) == F.lit(date))
+    if mailbox_type is not None:
+        df = df.where(F.col("mailbox_type") == F.lit(mailbox_type))
+    return df
+
+
 def write_raw_batch(df: DataFrame, root: str, date: str, mailbox_type: str) -> str:
     """Append a batch of raw messages as JSON under one date/mailbox.
 

@@ -94,6 +94,28 @@ def rule_labeler(rules: R.KeywordRules = R.JOB_RULES) -> Callable[[DataFrame], D
     return label
 
 
+def model_labeler(registry_root: str, fallback: Callable[[DataFrame], DataFrame] | None = None
+                  ) -> Callable[[DataFrame], DataFrame]:
+    """T4/M7 with a trained model: the registry's champion is loaded at each
+    micro-batch (a retrain is picked up without restarting the stream);
+    label = prediction, confidence = max class probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    def label(df: DataFrame) -> DataFrame:
+        from sparkmail.operators.registry import load_champion
+
+        model = load_champion(df.sparkSession, registry_root)
+        if model is None:
+            return (fallback or rule_labeler())(df)
+        out = model.transform(df)
+        pred = F.col("predicted_label") if "predicted_label" in out.columns else \
+            F.when(F.col("prediction") == 1.0, F.lit("spam")).otherwise(F.lit("ham"))
+        return out.withColumn("predicted_label", pred) \
+            .withColumn("confidence", F.array_max(vector_to_array("probability")).cast("float")) \
+            .select(*df.columns, "predicted_label", "confidence")
+    return label
+
+
 def to_results(df: DataFrame) -> DataFrame:
     """Project labelled events to the stored result shape."""
     return df.select("email_id", "text", "predicted_label", F.col("confidence").cast("float").alias("confidence"),

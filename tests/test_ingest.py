@@ -119,3 +119,13 @@ def test_partition_pruning_in_plan(spark, tmp):
     L.write_raw_table(df, os.path.join(tmp, "raw"))
     plan = L.read_raw(spark, os.path.join(tmp, "raw"), "2026-01-15")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingestion_date" in plan
+
+
+def test_read_partition(spark, tmp):
+    df = spark.createDataFrame([("1", "2026-01-15", "faculty"), ("2", "2026-01-15", "personal"),
+                                ("3", "2026-01-16", "faculty")],
+                               "message_id string, ingestion_date string, mailbox_type string")
+    L.write_partitions(df, tmp + "/emails_raw", ["ingestion_date", "mailbox_type"])
+    assert L.read_partition(spark, tmp + "/emails_raw", "2026-01-15").count() == 2
+    assert L.read_partition(spark, tmp + "/emails_raw", "2026-01-15", "faculty").count() == 1
+    assert L.read_partition(spark, tmp + "/missing", "2026-01-15").count() == 0

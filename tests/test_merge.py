@@ -111,3 +111,8 @@ def test_search_pushes_filters_to_parquet(spark, tmp):
     _mail(spark).write.parquet(tmp + "/m")
     plan = P.search(spark.read.parquet(tmp + "/m"), spam_label="spam")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(spam_label), EqualTo(spam_label,spam)]" in plan
+
+
+def test_serving_record(spark):
+    r = P.serving_record(_mail(spark).withColumn("urgency_score", F.lit(0.5))).orderBy("id").first()
+    assert r["id"] == "0" and r["received_at"] == "2026-01-01T00:00:00"

@@ -135,3 +135,20 @@ def test_model_save_load(spark, tmp):
                         grid=(0.01,), parallelism=1)
     path = ML.save_model(model, tmp, "1")
     assert ML.load_model(path).transform(spark.createDataFrame([("winner",)], "text string")).count() == 1
+
+
+def test_load_champion_and_model_labeler(spark, tmp):
+    from sparkmail.streaming import stream as ST
+
+    rows = [(i, ("winner prize " if i % 2 else "agenda notes ") + str(i), float(i % 2)) for i in range(30)]
+    model, _ = ML.train(spark.createDataFrame(rows, "message_id long, text string, label double"), folds=2,
+                        grid=(0.01,), parallelism=1)
+    path = ML.save_model(model, tmp, "7")
+    reg = spark.createDataFrame([("7", "2026-01-15", 1.0, 1.0, path, dt.datetime(2026, 1, 15))],
+                                "version string, training_date string, accuracy double, f1 double, model_path string, "
+                                "created_at timestamp")
+    G.write_registry(G.champion_by_latest(reg), tmp, 1)
+    assert G.load_champion(spark, tmp) is not None
+    lab = ST.model_labeler(tmp)
+    out = lab(spark.createDataFrame([("e1", "winner prize")], "email_id string, text string")).first()
+    assert out["predicted_label"] == "spam" and out["confidence"] > 0.5
