@@ -124,27 +124,44 @@ def to_results(df: DataFrame) -> DataFrame:
                      source_tag(F.col("pipeline_source")).alias("pipeline_source"))
 
 
+# Micro-batch key sets up to this many rows are broadcast when probing the
+# sink for ids already stored (the count is taken on the cached batch).
+BROADCAST_KEYS_MAX = 2_000_000
+
+
 def classify_batch(batch: DataFrame, batch_id: int, sink: str, dlq: str,
                    labeler: Callable[[DataFrame], DataFrame], key: str = "email_id") -> None:
     """One micro-batch of T3-T5 (also usable on a static DataFrame).
 
     good rows: first per id inside the batch, minus ids already stored
-    (exact across all time: anti join against the sink's id column), then
-    labelled and written; bad rows go to the dead-letter folder.
+    (exact across all time), then labelled and written; bad rows go to the
+    dead-letter folder.
+
+    The all-time check probes the sink's id column with the batch's keys
+    (a left-semi join): when the batch has at most ``BROADCAST_KEYS_MAX``
+    keys they are broadcast, so the stored ids are scanned once in place and
+    never shuffled; a larger batch falls back to a shuffled join.
     """
     spark = batch.sparkSession
     parsed = decode(batch).persist()
+    fresh = None
     try:
         good, bad = split_bad(parsed)
-        fresh = first_per_key(good, [key], ["timestamp"])
+        fresh = first_per_key(good, [key], ["timestamp"]).persist()
         stored = read_or_empty(spark, sink, StructType([StructField(key, StringType()),
                                                          StructField("batch_id", StringType())]))
         if "batch_id" in stored.columns:
             stored = stored.where(F.col("batch_id") != F.lit(str(batch_id)))
-        fresh = fresh.join(stored.select(key), key, "left_anti")
-        to_results(labeler(fresh)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        keys = fresh.select(key)
+        if fresh.count() <= BROADCAST_KEYS_MAX:
+            keys = F.broadcast(keys)
+        seen = stored.select(key).join(keys, key, "left_semi")
+        new = fresh.join(seen, key, "left_anti")
+        to_results(labeler(new)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         bad.write.mode("overwrite").partitionBy("dlq_date").json(f"{dlq}/batch_id={batch_id}")
     finally:
+        if fresh is not None:
+            fresh.unpersist()
         parsed.unpersist()
 
 
@@ -206,26 +223,32 @@ def running_totals(sdf: DataFrame) -> DataFrame:
 
 # --- T7: emit the latest rows when they change ---------------------------------------------
 
-def emit_if_changed(spark: SparkSession, table_path: str, out: str, state: str, batch_id: int,
+def emit_if_changed(spark: SparkSession, batch_rows: DataFrame, out: str, state: str, batch_id: int,
                     limit: int = 100) -> bool:
-    """T7 step: fingerprint the newest ``limit`` rows of the stored table; if
-    it differs from the last emitted one, append the snapshot to ``out`` and
-    remember the fingerprint in the small ``state`` table. Returns whether
-    it emitted. Only a one-row fingerprint reaches the driver."""
+    """T7 step, incremental: the newest ``limit`` rows of an append-only
+    table equal the newest ``limit`` of (previous top ∪ this batch's rows),
+    so each micro-batch reads only its own rows and the previous top (at
+    most ``limit`` rows), never the whole table. The new top and its
+    fingerprint are kept in ``state/batch_id=N``; the snapshot is appended to
+    ``out`` only when the fingerprint changed. Only a one-row fingerprint
+    reaches the driver."""
     from sparkmail.operators.paging import latest
 
-    rows = read_or_empty(spark, table_path, S.STREAM_RESULT)
-    top = latest(rows, limit=limit)
-    fp_df = top.agg(F.bit_xor(F.xxhash64("email_id", "predicted_label", "feedback")).alias("fp"),
-                    F.count(F.lit(1)).alias("n"))
-    fp = fp_df.first()
-    prev = read_or_empty(spark, state, StructType([StructField("fp", StringType())]))
-    last = prev.orderBy(F.col("batch_id").cast("long").desc()).first() if "batch_id" in prev.columns else None
-    cur = f"{fp['fp']}:{fp['n']}"
-    if last is not None and last["fp"] == cur:
+    cols = [f.name for f in S.STREAM_RESULT.fields]
+    prev_path = f"{state}/batch_id={batch_id - 1}"
+    prev = read_or_empty(spark, prev_path, StructType(list(S.STREAM_RESULT.fields) + [StructField("fp", StringType())]))
+    prev_fp = prev.select("fp").first() if batch_id > 0 else None
+    top = latest(prev.select(*cols).unionByName(batch_rows.select(*cols)), limit=limit)
+    fp = F.concat_ws(":", F.bit_xor(F.xxhash64("email_id", "predicted_label", "feedback")).cast("string"),
+                     F.count(F.lit(1)).cast("string"))
+    top = top.withColumn("fp", top.agg(fp).scalar())
+    top.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+    stored = spark.read.parquet(f"{state}/batch_id={batch_id}")
+    cur = stored.select("fp").first()
+    if cur is None or (prev_fp is not None and prev_fp["fp"] == cur["fp"]):
         return False
-    top.withColumn("emitted_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-    spark.createDataFrame([(cur,)], "fp string").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+    stored.drop("fp").withColumn("emitted_batch", F.lit(batch_id)) \
+        .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
     return True
 
 
@@ -237,7 +260,8 @@ def emit_on_change(source: DataFrame, sink: str, dlq: str, out: str, state: str,
 
     def step(b, i):
         classify_batch(b, i, sink, dlq, lab)
-        emit_if_changed(b.sparkSession, sink, out, state, i, limit)
+        spark = b.sparkSession
+        emit_if_changed(spark, spark.read.parquet(f"{sink}/batch_id={i}"), out, state, i, limit)
 
     w = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
