@@ -20,12 +20,26 @@ def _missing(e: AnalysisException) -> bool:
     return code == "PATH_NOT_FOUND" or "Path does not exist" in str(e)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the Hadoop file system that serves it
+    (local, HDFS or an object store); glob characters are expanded."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if any(ch in path for ch in "*?[{"):
+        found = fs.globStatus(p)
+        return found is not None and len(found) > 0
+    return fs.exists(p)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
                   **options) -> DataFrame:
     """Read ``path``; a missing path gives a typed empty frame.
 
-    Only PATH_NOT_FOUND is absorbed; any other error is raised.
+    Only a missing path is absorbed; any other error is raised.
     """
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
     try:
         r = spark.read.format(fmt).options(**options)
         if fmt != "parquet" and fmt != "orc":
@@ -61,12 +75,9 @@ def read_partition(spark: SparkSession, root: str, date: str, mailbox_type: str
     """S3: one date (and optionally one mailbox type) of a partitioned table,
     as filters on the partition columns, so only those folders are listed
     and read. A missing table gives no rows rather than an error (S2)."""
-    try:
-        df = spark.read.format(fmt).load(root)
-    except AnalysisException as e:
-        if not _missing(e):
-            raise
+    if not path_exists(spark, root):
         return spark.createDataFrame([], S.RAW_MESSAGE).withColumn(date_col, F.lit(None).cast("string"))
+    df = spark.read.format(fmt).load(root)
     df = df.where(F.col(date_col) == F.lit(date))
     if mailbox_type is not None:
         df = df.where(F.col("mailbox_type") == F.lit(mailbox_type))
@@ -143,12 +154,9 @@ def union_partitions(*frames: DataFrame) -> DataFrame:
 
 def read_features(spark: SparkSession, features_path: str, classified_path: str) -> DataFrame:
     """The ORC feature table, else the classified Parquet table."""
-    try:
+    if path_exists(spark, features_path):
         return spark.read.orc(features_path)
-    except AnalysisException as e:
-        if not _missing(e):
-            raise
-        return spark.read.parquet(classified_path)
+    return spark.read.parquet(classified_path)
 
 
 # --- S9, S21: catalog ---------------------------------------------------------
