@@ -13,7 +13,7 @@ from sparkmail.functions import text as T
 from sparkmail.operators import analytics as A
 from sparkmail.operators.ingest import clean_raw
 from sparkmail.operators.ml import training_frame
-from sparkmail.operators.quality import observed, validate
+from sparkmail.operators.quality import validate
 from sparkmail.operators.star import build_star, star_join
 from sparkmail.plans import flows as FL
 from sparkmail.plans.adapters import MESSAGES_FROM_EVENTS_SQL as EV

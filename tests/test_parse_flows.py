@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkmail import schemas as S
 from sparkmail.operators.parse import parse_eml, parse_nested
-from sparkmail.operators.quality import assert_nonempty, observed, validate, with_defaults
+from sparkmail.operators.quality import assert_nonempty, validate, with_defaults, written_count
 from sparkmail.operators.star import build_star, star_join
 from sparkmail.plans import flows as FL
 
@@ -100,10 +100,10 @@ def test_validate_and_defaults(spark):
         assert_nonempty(df.limit(0))
 
 
-def test_observed_count_from_the_write(spark, tmp):
-    df, obs = observed(spark.range(7))
-    df.write.parquet(os.path.join(tmp, "o"))
-    assert obs.get["rows"] == 7
+def test_written_count(spark, tmp):
+    spark.range(7).withColumn("d", F.col("id") % 2).write.partitionBy("d").parquet(os.path.join(tmp, "o"))
+    assert written_count(spark, os.path.join(tmp, "o")) == 7
+    assert written_count(spark, os.path.join(tmp, "o"), F.col("d") == 1) == 3
 
 
 def _raw_dir(spark, tmp):
