@@ -97,8 +97,10 @@ def write_raw_batch(df: DataFrame, root: str, date: str, mailbox_type: str) -> s
 
 
 def write_raw_table(df: DataFrame, root: str) -> None:
-    """S12 for a whole backfill: one job writes every (date, mailbox) folder."""
-    df.write.mode("append").partitionBy("ingestion_date", "mailbox_type").json(root)
+    """S12 for a whole backfill: one job writes every (date, mailbox) folder
+    (rows rebalanced by folder first, see ``write_partitions``)."""
+    cols = ["ingestion_date", "mailbox_type"]
+    df.hint("rebalance", *cols).write.mode("append").partitionBy(*cols).json(root)
 
 
 def write_partitions(df: DataFrame, path: str, cols, fmt: str = "parquet") -> None:
@@ -106,11 +108,15 @@ def write_partitions(df: DataFrame, path: str, cols, fmt: str = "parquet") -> No
 
     ``partitionOverwriteMode=dynamic`` is set on the write itself, so other
     dates survive whatever the session default is (the reference's static
-    overwrite deleted them). Rows are clustered by the partition columns
-    first so each task writes few files.
+    overwrite deleted them).
+
+    Rows are clustered by the partition columns with a REBALANCE hint rather
+    than ``repartition(cols)``: each task then writes few files, and AQE
+    splits a partition value that holds a large share of the rows (one busy
+    day) over several tasks instead of sending it all to one.
     """
     cols = list(cols)
-    (df.repartition(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", *cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*cols).format(fmt).save(path))
 
 
