@@ -86,3 +86,13 @@ def spread(df):
     has more partitions and this is a no-op; the check plans but runs no job."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def stage_table(df, name: str, fmt: str = "parquet"):
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and
+    return it read back: an intermediate used several times is computed
+    once, and its lineage is cut (a lost executor re-reads the files instead
+    of recomputing the plan). Runs a job when called."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").format(fmt).save(path)
+    return df.sparkSession.read.format(fmt).load(path)
