@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
-from sparkmail.functions.text import _c, any_contains, nz, sender_domain
+from sparkmail.functions.text import any_contains, nz, sender_domain
 
 
 def first_match(text: Column, chain, default: str) -> Column:

@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkmail import schemas as S
 from sparkmail.functions import text as T
 from sparkmail.operators import analytics as A
 from sparkmail.operators.ingest import clean_raw
