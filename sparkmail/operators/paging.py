@@ -19,11 +19,15 @@ from sparkmail.functions.text import day
 
 def search(df: DataFrame, user_id=None, spam_label: str | None = None, mailbox_type: str | None = None,
            sender: str | None = None, text: str | None = None, start: str | None = None,
-           end: str | None = None, topic: str | None = None, ts_col: str = "received_at") -> DataFrame:
+           end: str | None = None, topic: str | None = None, ts_col: str = "received_at",
+           escape: bool = False) -> DataFrame:
     """Conjunctive optional filters of the list endpoint.
 
     ``sender``: case-insensitive substring; ``text``: in the subject, or in a
     non-null preview; ``start``/``end``: inclusive dates; ``topic``: equal.
+    As in the reference, the text is placed between ``%`` as given, so ``%``
+    and ``_`` typed by the user act as LIKE wildcards (``escape=True`` makes
+    them literal).
     """
     x = df
     if user_id is not None:
@@ -32,10 +36,11 @@ def search(df: DataFrame, user_id=None, spam_label: str | None = None, mailbox_t
         x = x.where(F.col("spam_label") == F.lit(spam_label))
     if mailbox_type:
         x = x.where(F.col("mailbox_type") == F.lit(mailbox_type))
+    esc = _esc if escape else (lambda v: v)
     if sender:
-        x = x.where(F.col("sender").ilike(f"%{_esc(sender)}%"))
+        x = x.where(F.col("sender").ilike(f"%{esc(sender)}%"))
     if text:
-        pat = f"%{_esc(text)}%"
+        pat = f"%{esc(text)}%"
         x = x.where(F.col("subject").ilike(pat) | (F.col("body_preview").isNotNull() & F.col("body_preview").ilike(pat)))
     if start:
         x = x.where(day(ts_col) >= F.lit(start))
