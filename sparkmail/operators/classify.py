@@ -39,6 +39,9 @@ def register_classifier(spark, fn: Callable, name: str = "classify_message"):
     Arrow-batched pandas UDF and registered for SQL. Prefer the native rules
     above; this exists for models that are only available in Python."""
     from sparkmail.schemas import PREDICTION
+    from sparkmail.session import ensure_shipped
+
+    ensure_shipped(spark)
 
     @F.pandas_udf(PREDICTION)
     def _udf(subject, body, sender):

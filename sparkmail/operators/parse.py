@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkmail.functions import rules as R
 from sparkmail.functions import text as T
 from sparkmail.functions.classify import classify_rules, urgency
-from sparkmail.session import spread
+from sparkmail.session import ensure_shipped, spread
 
 
 def _has(c):
@@ -141,6 +141,7 @@ def _mime_walk(pdf_iter):
 def parse_eml(binary_df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES) -> DataFrame:
     """``(path, content)`` rows (as from ``spark.read.format('binaryFile')``)
     -> synced-mail rows. HTML bodies are stripped natively (F6)."""
+    ensure_shipped(binary_df.sparkSession)
     walked = spread(binary_df.select("path", "content")).mapInPandas(_mime_walk, EML_SCHEMA)
     body = F.substring(F.when(F.col("body_is_html"), T.strip_html("body")).otherwise(F.col("body")),
                        1, R.HTML_MAX_CHARS)

@@ -96,3 +96,36 @@ def stage_table(df, name: str, fmt: str = "parquet"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").format(fmt).save(path)
     return df.sparkSession.read.format(fmt).load(path)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ensure_shipped(spark: SparkSession) -> None:
+    """Make the ``sparkmail`` package importable in Python workers.
+
+    Operators that run Python on executors (the MIME walk, the pandas UDF
+    hook) pickle functions and rule objects by reference to this package.
+    When the package is not installed on the workers (a session created
+    outside this repository, spark-submit without ``--py-files``), zip it
+    once per SparkContext and ship it with ``addPyFile``, which Spark
+    distributes to every executor."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="sparkmail-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
