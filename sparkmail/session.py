@@ -23,6 +23,10 @@ SQL_CONF = {
     # Header arrays may repeat a name; the last value wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streaming state (all-time id dedup can be large) lives in RocksDB on the
+    # executors' disks and is checkpointed, not held in the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Partition folder values stay strings (dates travel as yyyy-MM-dd text).
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

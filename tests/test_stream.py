@@ -107,3 +107,13 @@ def test_running_totals(spark, tmp):
     _run(q)
     r = spark.table("tot_t").first()
     assert (r["total_emails"], r["spam_count"]) == (3, 2)
+
+
+def test_sink_probe_mode(spark, tmp):
+    src, sink, dlq, ck = (os.path.join(tmp, x) for x in ("in", "sink", "dlq", "ck"))
+    _write_lines(src, "a.json", [_ev(1), _ev(1), "{bad"])
+    _run(ST.stream_classify(ST.file_source(spark, src, max_files=1), sink, dlq, ck, trigger=NOW, dedup="sink"))
+    _write_lines(src, "b.json", [_ev(1), _ev(2)])
+    _run(ST.stream_classify(ST.file_source(spark, src, max_files=1), sink, dlq, ck, trigger=NOW, dedup="sink"))
+    assert sorted(r["email_id"] for r in spark.read.parquet(sink).collect()) == ["e1", "e2"]
+    assert [r["reason"] for r in spark.read.json(dlq).collect()] == ["malformed json"]
