@@ -25,7 +25,7 @@ w AS (SELECT * FROM m WHERE classification_date BETWEEN '2023-12-31' AND '2024-0
 d AS (SELECT classification_date AS metric_date, count(*) AS daily_volume,
              count(*) FILTER (WHERE spam_label = 'spam') AS spam_count,
              count(*) FILTER (WHERE spam_label = 'ham') AS ham_count,
-             avg(urgency_score) AS avg_urgency_score
+             CAST(sum(CAST(urgency_score AS DECIMAL(38,12))) AS DOUBLE) / count(urgency_score) AS avg_urgency_score
       FROM w GROUP BY 1),
 t AS (SELECT metric_date, string_agg(topic || '=' || CAST(n AS VARCHAR), ',' ORDER BY topic) AS topic_distribution
       FROM (SELECT classification_date AS metric_date, topic, count(*) AS n FROM w WHERE topic IS NOT NULL GROUP BY 1, 2)
@@ -37,13 +37,13 @@ s AS (SELECT metric_date, string_agg(domain || '=' || CAST(n AS VARCHAR), ',' OR
       WHERE rk <= 10 GROUP BY 1)
 SELECT d.metric_date, daily_volume, spam_count, ham_count,
        CASE WHEN daily_volume > 0 THEN spam_count / daily_volume ELSE 0.0 END AS spam_rate,
-       round(avg_urgency_score, 9) AS avg_urgency_score, topic_distribution, top_senders_by_domain
+       avg_urgency_score, topic_distribution, top_senders_by_domain
 FROM d LEFT JOIN t USING (metric_date) LEFT JOIN s USING (metric_date)
 """)
 def q_daily_metrics(spark, sf):
     d = A.daily_metrics(_events(spark, sf), END, days=30, top_k=10)
     return d.select("metric_date", "daily_volume", "spam_count", "ham_count", "spam_rate",
-                    F.round("avg_urgency_score", 9).alias("avg_urgency_score"),
+                    "avg_urgency_score",
                     A.topic_map_text("topic_distribution").alias("topic_distribution"),
                     A.senders_text("top_senders_by_domain").alias("top_senders_by_domain"))
 
@@ -76,7 +76,9 @@ _DASH_SQL = f"""
 WITH m AS ({EV}),
 a AS (SELECT user_id, count(*) AS total_emails,
              count(*) FILTER (WHERE spam_label = 'spam') AS spam_count,
-             avg(urgency_score) AS u, avg(sentiment_score) AS s, avg(length(body)) AS len,
+             CAST(sum(CAST(urgency_score AS DECIMAL(38,12))) AS DOUBLE) / count(urgency_score) AS u,
+             CAST(sum(CAST(sentiment_score AS DECIMAL(38,12))) AS DOUBLE) / count(sentiment_score) AS s,
+             avg(length(body)) AS len,
              count(*) FILTER (WHERE strftime(received_at, '%Y-%m-%d') = '2024-01-30') AS td,
              count(*) FILTER (WHERE strftime(received_at, '%Y-%m-%d') = '2024-01-29') AS yd,
              min(received_at) AS mn, max(received_at) AS mx, count(received_at) AS n_ts

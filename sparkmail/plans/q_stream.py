@@ -120,7 +120,7 @@ def _weekly_messages(spark, sf, path):
 SELECT classification_date AS metric_date, count(*) AS daily_volume,
        count(*) FILTER (WHERE spam_label = 'spam') AS spam_count,
        count(*) FILTER (WHERE spam_label = 'ham') AS ham_count,
-       round(sum(urgency_score), 6) AS urgency_sum
+       CAST(sum(CAST(urgency_score AS DECIMAL(38,12))) AS DOUBLE) AS urgency_sum
 FROM ({EV}) GROUP BY 1
 """)
 def q_stream_daily(spark, sf):
@@ -132,8 +132,7 @@ def q_stream_daily(spark, sf):
          .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
     _run(q)
     out = spark.table(name)
-    return out.select("metric_date", "daily_volume", "spam_count", "ham_count",
-                      F.round("urgency_sum", 6).alias("urgency_sum"))
+    return out.select("metric_date", "daily_volume", "spam_count", "ham_count", "urgency_sum")
 
 
 @query("stream_totals", sql=f"""

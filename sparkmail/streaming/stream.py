@@ -265,7 +265,7 @@ def live_daily(sdf: DataFrame, ts_col: str = "received_at", delay: str = "1 day"
         F.count(F.lit(1)).alias("daily_volume"),
         F.count_if(F.col("spam_label") == "spam").alias("spam_count"),
         F.count_if(F.col("spam_label") == "ham").alias("ham_count"),
-        F.sum("urgency_score").alias("urgency_sum"),
+        F.sum(F.col("urgency_score").cast("decimal(38,12)")).cast("double").alias("urgency_sum"),
     ).select(F.date_format("w.start", "yyyy-MM-dd").alias("metric_date"), "daily_volume", "spam_count",
              "ham_count", "urgency_sum")
 
