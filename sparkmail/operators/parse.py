@@ -148,11 +148,15 @@ def parse_eml(binary_df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES) ->
     x = walked.withColumn("body", body)
     addr = T.sender_address("from_header")
     labels = classify_rules(F.col("subject"), F.col("body"), addr, rules)
+    # Without a Message-ID header the file path stands in for the mailbox's
+    # message number; empty bodies and previews are stored as null.
+    mid = F.coalesce(F.nullif(F.col("message_id"), F.lit("")), F.concat(F.lit("<"), F.col("path"), F.lit(">")))
     return x.select(
-        "path", F.col("message_id"), addr.alias("sender"), T.sender_name("from_header").alias("sender_name"),
-        F.substring("subject", 1, R.SUBJECT_MAX_CHARS).alias("subject"), "body",
-        T.preview("body").alias("body_preview"),
+        "path", mid.alias("message_id"), addr.alias("sender"), T.sender_name("from_header").alias("sender_name"),
+        F.substring("subject", 1, R.SUBJECT_MAX_CHARS).alias("subject"), F.nullif(F.col("body"), F.lit("")).alias("body"),
+        F.nullif(F.substring(T.preview("body"), 1, R.PREVIEW_MAX_CHARS), F.lit("")).alias("body_preview"),
         T.parse_rfc2822(F.col("date_header")).alias("received_at"),
-        labels["spam_label"].alias("spam_label"), labels["topic"].alias("topic"),
-        labels["mailbox_type"].alias("mailbox_type"), urgency(F.col("subject"), F.col("body"), rules).alias("urgency_score"),
+        labels["spam_label"].alias("spam_label"), labels["spam_score"].alias("spam_score"),
+        labels["topic"].alias("topic"), labels["mailbox_type"].alias("mailbox_type"),
+        urgency(F.col("subject"), F.col("body"), rules).alias("urgency_score"),
         "attachment_count", T.cc_count("cc_header").alias("cc_count"), "ok")
