@@ -211,3 +211,17 @@ def register_partition(spark: SparkSession, table: str, spec: dict, location: st
 def repair_partitions(spark: SparkSession, table: str) -> None:
     """S9 for a backfill: pick up every partition folder at once."""
     spark.sql(f"MSCK REPAIR TABLE {table}")
+
+
+# --- co-located merges --------------------------------------------------------
+
+def write_bucketed(df: DataFrame, table: str, keys, buckets: int, path: str | None = None) -> None:
+    """Store a large merge target (stored mail, stream results) as a catalog
+    table bucketed and sorted by its key. Later joins on the key (insert of
+    unseen rows, feedback, reclassification) read it without shuffling it:
+    only the smaller side is hash-partitioned into the same buckets."""
+    keys = list(keys)
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

@@ -117,3 +117,24 @@ def test_search_pushes_filters_to_parquet(spark, tmp):
 def test_serving_record(spark):
     r = P.serving_record(_mail(spark).withColumn("urgency_score", F.lit(0.5))).orderBy("id").first()
     assert r["id"] == "0" and r["received_at"] == "2026-01-01T00:00:00"
+
+
+def test_bucketed_target_is_not_shuffled(spark, tmp):
+    from sparkmail.sources.lake import write_bucketed
+
+    target = spark.range(1000).select(F.col("id").cast("string").alias("email_id"),
+                                      F.lit("ham").alias("predicted_label"))
+    write_bucketed(target, "emails_bucketed_t", ["email_id"], 8, path=tmp + "/t")
+    fb = spark.range(0, 2000, 7).select(F.col("id").cast("string").alias("email_id"),
+                                        F.lit("spam").alias("corrected_label"),
+                                        F.current_timestamp().alias("feedback_at"))
+    upd, _ = M.apply_feedback(spark.table("emails_bucketed_t"), fb)
+    plain, _ = M.apply_feedback(target, fb)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # force the shuffled join
+    try:
+        shuffles = [p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+                    for p in (upd, plain)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffles[0] < shuffles[1]                                   # the bucketed side is read in place
+    assert upd.where(F.col("feedback") == "spam").count() == len(range(0, 1000, 7))
