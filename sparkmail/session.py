@@ -123,6 +123,8 @@ def ensure_shipped(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
+    # A driver-side artifact, like a local --py-files path: Spark copies it to
+    # every executor, which never read this folder themselves.
     fd, path = tempfile.mkstemp(prefix="sparkmail-", suffix=".zip")
     os.close(fd)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
