@@ -38,12 +38,15 @@ def _stage(spark: SparkSession, raw_root: str, lake_root: str, dates_filter, end
 
 
 def run_day(spark: SparkSession, raw_root: str, lake_root: str, date: str, days: int = 30,
-            rules: R.KeywordRules = R.JOB_RULES) -> dict:
-    """V3: ingest -> classify -> analytics for one date. Only that date's
-    partitions are rewritten (dynamic overwrite); the analytics window ends
-    at ``date``."""
-    return _stage(spark, raw_root, lake_root, lambda d: d.where(F.col("ingestion_date") == F.lit(date)),
-                  date, days, rules)
+            rules: R.KeywordRules = R.JOB_RULES, mailbox_type: str | None = None) -> dict:
+    """V3: ingest -> classify -> analytics for one date (optionally one
+    mailbox type). Only those partitions are rewritten (dynamic overwrite);
+    the analytics window ends at ``date``."""
+    def only(d):
+        d = d.where(F.col("ingestion_date") == F.lit(date))
+        return d if mailbox_type is None else d.where(F.col("mailbox_type") == F.lit(mailbox_type))
+
+    return _stage(spark, raw_root, lake_root, only, date, days, rules)
 
 
 def backfill(spark: SparkSession, raw_root: str, lake_root: str, start: str, end: str,
