@@ -96,3 +96,32 @@ def publish(df: DataFrame, servers: str, topic: str) -> None:
     """Write (key, value) rows to Kafka (needs the Kafka connector)."""
     (to_kafka_rows(df).write.format("kafka").option("kafka.bootstrap.servers", servers)
      .option("topic", topic).save())
+
+
+def train_and_register(spark: SparkSession, df: DataFrame, root: str, version: str, training_date: str,
+                       created_at, promote: str = "always", metric: str = "f1", seed: int = 42, **train_args):
+    """The training job end to end (M2-M5, S20, U1, V5): cross-validated fit,
+    model saved under ``root/models/v<version>``, one registry row from the
+    training-split metrics, and a new registry generation written.
+
+    ``promote="always"`` makes the new version champion (the reference's
+    behaviour); ``"if_better"`` only when its ``metric`` beats the current
+    champion's. Returns the new registry."""
+    from sparkmail.operators import ml as ML
+    from sparkmail.operators import registry as G
+
+    model, metrics = ML.train(df, seed=seed, **train_args)
+    path = ML.save_model(model, root, version)
+    row = metrics.where(F.col("split") == "train").select(
+        F.lit(version).alias("version"), F.lit(training_date).alias("training_date"), "accuracy", "f1",
+        F.lit(path).alias("model_path"), F.lit(created_at).cast("timestamp").alias("created_at"))
+    current = G.read_registry(spark, root)
+    has_rows = not current.isEmpty()
+    if promote == "if_better" and has_rows:
+        new = G.promote_if_better(current, row, metric)
+    else:
+        new = G.register(current if has_rows else None, row)
+    gen = spark.read.parquet(f"{root}/model_registry").agg(F.max(F.col("generation").cast("long"))).first()[0] \
+        if has_rows else 0
+    G.write_registry(new, root, int(gen or 0) + 1)
+    return G.read_registry(spark, root)

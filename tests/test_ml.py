@@ -152,3 +152,18 @@ def test_load_champion_and_model_labeler(spark, tmp):
     lab = ST.model_labeler(tmp)
     out = lab(spark.createDataFrame([("e1", "winner prize")], "email_id string, text string")).first()
     assert out["predicted_label"] == "spam" and out["confidence"] > 0.5
+
+
+def test_train_and_register_flow(spark, tmp):
+    from sparkmail.plans.flows import train_and_register
+
+    rows = [(i, ("winner prize " if i % 2 else "agenda notes ") + str(i), float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "message_id long, text string, label double")
+    reg = train_and_register(spark, df, tmp, "1", "2026-01-15", dt.datetime(2026, 1, 15), folds=2, grid=(0.01,),
+                             parallelism=1)
+    assert reg.count() == 1 and G.champion(reg).first()["version"] == "1"
+    reg = train_and_register(spark, df, tmp, "2", "2026-01-16", dt.datetime(2026, 1, 16), promote="if_better",
+                             folds=2, grid=(0.01,), parallelism=1)
+    # same data, same metric: not better, so version 1 stays champion
+    assert reg.count() == 2 and G.champion(reg).first()["version"] == "1"
+    assert G.load_champion(spark, tmp) is not None
