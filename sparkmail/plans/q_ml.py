@@ -213,3 +213,18 @@ def q_retrain(spark, sf):
     _, pred = ML.retrain(rows)
     report = ML.class_report(pred.select(F.col("feedback").alias("label"), F.col("predicted_label").alias("predicted")))
     return report
+
+
+@query("train_register")
+def q_train_register(spark, sf):
+    """The training job end to end into a fresh registry."""
+    import datetime as dt
+
+    from sparkmail.plans.flows import train_and_register
+    from sparkmail.session import scratch_path
+
+    root = scratch_path(spark, "models")
+    reg = train_and_register(spark, _train_input(spark, sf), root, "1", "2024-01-30", dt.datetime(2024, 1, 30),
+                             seed=7, folds=2, grid=(0.01, 0.1), parallelism=2)
+    return reg.select("version", "training_date", "is_champion",
+                      F.col("model_path").startswith(root).alias("saved_under_root"))
