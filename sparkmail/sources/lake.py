@@ -103,7 +103,7 @@ def write_raw_table(df: DataFrame, root: str) -> None:
     df.hint("rebalance", *cols).write.mode("append").partitionBy(*cols).json(root)
 
 
-def write_partitions(df: DataFrame, path: str, cols, fmt: str = "parquet") -> None:
+def write_partitions(df: DataFrame, path: str, cols, fmt: str = "parquet", sort_by=None) -> None:
     """Overwrite only the partitions present in ``df``.
 
     ``partitionOverwriteMode=dynamic`` is set on the write itself, so other
@@ -114,9 +114,18 @@ def write_partitions(df: DataFrame, path: str, cols, fmt: str = "parquet") -> No
     than ``repartition(cols)``: each task then writes few files, and AQE
     splits a partition value that holds a large share of the rows (one busy
     day) over several tasks instead of sending it all to one.
+
+    ``sort_by`` (e.g. the user id) sorts rows inside each written file, so
+    Parquet row-group min/max statistics let a filter on that column skip
+    most of a file (the index of the reference's row store).
     """
     cols = list(cols)
-    (df.hint("rebalance", *cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    x = df.hint("rebalance", *cols)
+    if sort_by:
+        # partition columns first: the writer needs them as the order's prefix,
+        # otherwise it re-sorts and the inner order is lost
+        x = x.sortWithinPartitions(*cols, *([sort_by] if isinstance(sort_by, str) else sort_by))
+    (x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*cols).format(fmt).save(path))
 
 

@@ -129,3 +129,16 @@ def test_read_partition(spark, tmp):
     assert L.read_partition(spark, tmp + "/emails_raw", "2026-01-15").count() == 2
     assert L.read_partition(spark, tmp + "/emails_raw", "2026-01-15", "faculty").count() == 1
     assert L.read_partition(spark, tmp + "/missing", "2026-01-15").count() == 0
+
+
+def test_write_partitions_sorted_within_files(spark, tmp):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(2000).select((F.col("id") * 7919 % 1000).alias("user_id"),
+                                  F.lit("2026-01-15").alias("ingestion_date"), F.lit("faculty").alias("mailbox_type"))
+    L.write_partitions(df.repartition(4), tmp + "/s", ["ingestion_date", "mailbox_type"], sort_by="user_id")
+    for f in glob.glob(tmp + "/s/*/*/*.parquet"):
+        ids = pq.read_table(f).column("user_id").to_pylist()
+        assert ids == sorted(ids)
