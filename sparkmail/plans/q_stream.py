@@ -9,8 +9,6 @@ returns the final state of the sink, which the oracle computes in SQL.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
@@ -127,11 +125,8 @@ def q_stream_daily(spark, sf):
     base = scratch_path(spark, "live")
     schema = _weekly_messages(spark, sf, f"{base}/in")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
-    name = "live_daily_" + uuid.uuid4().hex[:8]
-    q = (ST.live_daily(src).writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
-    _run(q)
-    out = spark.table(name)
+    _run(ST.complete_to_table(ST.live_daily(src), f"{base}/out", f"{base}/ck", AVAILABLE_NOW))
+    out = ST.read_latest(spark, f"{base}/out")
     return out.select("metric_date", "daily_volume", "spam_count", "ham_count", "urgency_sum")
 
 
@@ -142,11 +137,8 @@ def q_stream_totals(spark, sf):
     base = scratch_path(spark, "totals")
     schema = _weekly_messages(spark, sf, f"{base}/in")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
-    name = "totals_" + uuid.uuid4().hex[:8]
-    q = (ST.running_totals(src).writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
-    _run(q)
-    return spark.table(name)
+    _run(ST.complete_to_table(ST.running_totals(src), f"{base}/out", f"{base}/ck", AVAILABLE_NOW))
+    return ST.read_latest(spark, f"{base}/out")
 
 
 @query("stream_lake", sql=f"""

@@ -320,3 +320,23 @@ def emit_on_change(source: DataFrame, sink: str, dlq: str, out: str, state: str,
     q_bad = (bad.writeStream.format("json").option("path", dlq).partitionBy("dlq_date")
              .option("checkpointLocation", f"{checkpoint}/dlq").trigger(**trig).start())
     return StreamGroup(q_good, q_bad)
+
+
+def complete_to_table(sdf: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the full result of a streaming aggregation (complete mode) as a
+    Parquet table: each micro-batch overwrites a folder of its own
+    (``path/batch_id=N``) and readers take the newest one, so a retried
+    batch rewrites itself and a reader never sees a half-written table.
+    Unlike the memory sink, nothing is held on the driver."""
+    def write(b, i):
+        b.write.mode("overwrite").parquet(f"{path}/batch_id={i}")
+
+    return (sdf.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result written by ``complete_to_table``."""
+    allb = spark.read.parquet(path)
+    newest = allb.agg(F.max(F.col("batch_id").cast("long"))).scalar()
+    return allb.where(F.col("batch_id").cast("long") == newest).drop("batch_id")

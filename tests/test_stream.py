@@ -117,3 +117,13 @@ def test_sink_probe_mode(spark, tmp):
     _run(ST.stream_classify(ST.file_source(spark, src, max_files=1), sink, dlq, ck, trigger=NOW, dedup="sink"))
     assert sorted(r["email_id"] for r in spark.read.parquet(sink).collect()) == ["e1", "e2"]
     assert [r["reason"] for r in spark.read.json(dlq).collect()] == ["malformed json"]
+
+
+def test_complete_to_table(spark, tmp):
+    d = os.path.join(tmp, "m")
+    spark.createDataFrame([("spam",), ("ham",)], "spam_label string").write.parquet(d)
+    spark.createDataFrame([("spam",)], "spam_label string").write.mode("append").parquet(d)
+    sdf = spark.readStream.schema("spam_label string").option("maxFilesPerTrigger", "1").parquet(d)
+    _run(ST.complete_to_table(ST.running_totals(sdf), os.path.join(tmp, "out"), os.path.join(tmp, "ck"), NOW))
+    r = ST.read_latest(spark, os.path.join(tmp, "out")).first()
+    assert (r["total_emails"], r["spam_count"]) == (3, 2)
