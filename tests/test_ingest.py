@@ -142,3 +142,13 @@ def test_write_partitions_sorted_within_files(spark, tmp):
     for f in glob.glob(tmp + "/s/*/*/*.parquet"):
         ids = pq.read_table(f).column("user_id").to_pylist()
         assert ids == sorted(ids)
+
+
+def test_read_raw_pretty_printed_array(spark, tmp):
+    d = os.path.join(tmp, "raw", "ingestion_date=2026-01-15", "mailbox_type=personal")
+    os.makedirs(d)
+    with open(os.path.join(d, "batch.json"), "w") as f:
+        json.dump([{"message_id": "1", "subject": "x", "cc_count": 2}, {"message_id": "2"}], f, indent=2)
+    df = clean_raw(L.read_raw(spark, os.path.join(tmp, "raw"), "2026-01-15", multi_line=True))
+    got = sorted((r["message_id"], r["cc_count"], r["mailbox_type"]) for r in df.collect())
+    assert got == [("1", 2, "personal"), ("2", 0, "personal")]
