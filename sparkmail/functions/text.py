@@ -134,11 +134,17 @@ def parse_iso_ts(c) -> Column:
     return F.try_to_timestamp(_c(c))
 
 
+# RFC 2822 date forms after the weekday is removed: numeric zone, zone name
+# (GMT, EST, ...), and either without seconds.
+RFC2822_PATTERNS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
+
+
 def parse_rfc2822(c, fallback: Column | None = None) -> Column:
-    """F16: ``[Day, ]d Mon yyyy HH:mm:ss +zzzz`` -> timestamp, else ``fallback``."""
+    """F16: ``[Day, ]d Mon yyyy HH:mm[:ss] zone`` -> timestamp, else ``fallback``
+    (now, as the reference falls back to the current time)."""
     s = F.regexp_replace(F.trim(nz(c)), r"^[A-Za-z]{3},\s*", "")
     s = F.regexp_replace(s, r"\s+\([^)]*\)$", "")
-    ts = F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z"))
+    ts = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in RFC2822_PATTERNS])
     return F.coalesce(ts, fallback if fallback is not None else F.current_timestamp())
 
 

@@ -88,9 +88,11 @@ def test_compose_text(spark):
 
 
 def test_parse_rfc2822_and_iso(spark):
-    vals = ["Tue, 15 Jan 2026 10:00:00 +0000", "15 Jan 2026 12:00:00 +0200", "Thu, 1 Jan 2026 00:00:01 -0100 (UTC)"]
+    vals = ["Tue, 15 Jan 2026 10:00:00 +0000", "15 Jan 2026 12:00:00 +0200", "Thu, 1 Jan 2026 00:00:01 -0100 (UTC)",
+            "Tue, 13 Jan 2026 10:00:00 GMT", "13 Jan 2026 10:00 +0100"]
     got = _one(spark, lambda c: F.date_format(T.parse_rfc2822(c), "yyyy-MM-dd HH:mm:ss"), vals)
-    assert got == ["2026-01-15 10:00:00", "2026-01-15 10:00:00", "2026-01-01 01:00:01"]
+    assert got == ["2026-01-15 10:00:00", "2026-01-15 10:00:00", "2026-01-01 01:00:01", "2026-01-13 10:00:00",
+                   "2026-01-13 09:00:00"]
     iso = _one(spark, lambda c: F.date_format(T.parse_iso_ts(c), "yyyy-MM-dd HH:mm:ss"),
                ["2026-01-15T10:00:00Z", "2026-01-15T10:00:00+01:00", "garbage"])
     assert iso == ["2026-01-15 10:00:00", "2026-01-15 09:00:00", None]
