@@ -100,8 +100,18 @@ def header_map(headers) -> Column:
 
 
 def decode_b64url(c) -> Column:
-    """url-safe base64 -> UTF-8 text, bad bytes replaced, bad input -> ''."""
-    b = F.try_to_binary(F.translate(_c(c), "-_", "+/"), F.lit("base64"))
+    """url-safe base64 -> UTF-8 text, bad bytes replaced, bad input -> ''.
+
+    Follows Python's lenient decoder: characters outside the alphabet are
+    ignored, and the data must be padded (``=``) to whole 4-character groups,
+    otherwise the result is ''."""
+    s = F.regexp_replace(F.translate(nz(c), "-_", "+/"), r"[^A-Za-z0-9+/=]", "")
+    data = F.regexp_replace(s, "=", "")
+    rest = F.length(data) % 4
+    pads = F.length(s) - F.length(data)
+    ok = (rest == 0) | ((rest == 2) & (pads >= 2)) | ((rest == 3) & (pads >= 1))
+    padded = F.concat(data, F.when(rest == 2, F.lit("==")).when(rest == 3, F.lit("=")).otherwise(F.lit("")))
+    b = F.when(ok, F.try_to_binary(padded, F.lit("base64")))
     return F.coalesce(F.make_valid_utf8(b.cast("string")), F.lit(""))
 
 

@@ -68,9 +68,19 @@ def test_uuid5_matches_python(spark):
     assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, f"mailbox:{i}")) for i in ids]
 
 
+def _py_b64(s):
+    try:
+        return base64.urlsafe_b64decode(s).decode("utf-8", errors="replace")
+    except Exception:  # noqa: BLE001
+        return ""
+
+
 def test_decode_b64url(spark):
     good = base64.urlsafe_b64encode("héllo ~~~ ???".encode()).decode()
-    assert _one(spark, T.decode_b64url, [good, "!!!not base64", None]) == ["héllo ~~~ ???", "", ""]
+    vals = [good, good.rstrip("="), "aGVsbG8=\n", "aGVs\nbG8=", "a", "aGVsbA==", "aGVsbA", "aGVsbG8==",
+            "!!!not base64", base64.urlsafe_b64encode(b"\xff\xfeok").decode(), ""]
+    assert _one(spark, T.decode_b64url, vals) == [_py_b64(v) for v in vals]
+    assert _one(spark, T.decode_b64url, [None]) == [""]
 
 
 def test_header_map_lowercase_last_wins(spark):
