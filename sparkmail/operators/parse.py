@@ -140,7 +140,12 @@ def _mime_walk(pdf_iter):
 
 def parse_eml(binary_df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES) -> DataFrame:
     """``(path, content)`` rows (as from ``spark.read.format('binaryFile')``)
-    -> synced-mail rows. HTML bodies are stripped natively (F6)."""
+    -> synced-mail rows. HTML bodies are stripped natively (F6).
+
+    The Python side sees Arrow batches capped by both row count and bytes
+    (``spark.sql.execution.arrow.maxRecordsPerBatch`` /
+    ``maxBytesPerBatch``, 64 MB), so large messages do not pile up in one
+    worker's memory."""
     ensure_shipped(binary_df.sparkSession)
     walked = spread(binary_df.select("path", "content")).mapInPandas(_mime_walk, EML_SCHEMA)
     body = F.substring(F.when(F.col("body_is_html"), T.strip_html("body")).otherwise(F.col("body")),
