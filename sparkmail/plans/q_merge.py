@@ -249,3 +249,23 @@ ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100 OFFSET 100
 def q_page_orders(spark, sf):
     o = table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").ilike("%urgent%"))
     return P.page(o, page_no=2, size=100, ts_col="o_orderdate", id_col="o_orderkey")
+
+
+@query("apply_feedback_bucketed", sql=f"""
+WITH {_STORED_SQL}
+SELECT st.email_id, predicted_label, fb.corrected_label AS feedback,
+       CASE WHEN fb.email_id IS NOT NULL THEN '{FB_AT}' END AS feedback_at
+FROM st LEFT JOIN fb ON st.email_id = fb.email_id
+""")
+def q_apply_feedback_bucketed(spark, sf):
+    """J4 against a target stored bucketed by id: the join reads it in place."""
+    import uuid
+
+    from sparkmail.session import scratch_path
+    from sparkmail.sources.lake import write_bucketed
+
+    name = "stored_mail_" + uuid.uuid4().hex[:10]
+    write_bucketed(_stored_docs(spark, sf), name, ["email_id"], 8, path=scratch_path(spark, name))
+    upd, _ = M.apply_feedback(spark.table(name), _feedback(spark, sf))
+    return upd.select("email_id", "predicted_label", "feedback",
+                      F.date_format("feedback_at", "yyyy-MM-dd HH:mm:ss").alias("feedback_at"))
