@@ -39,6 +39,22 @@ def op2_top_k(spark, sf_dir):
     return top_k(vectors.where(F.col("id") % 20 == 0), vectors, k=20)
 
 
+@query
+def op8_near_dup(spark, sf_dir):
+    from sparkmail.llm.near_dup import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_decontaminate(spark, sf_dir):
+    from sparkmail.llm.decontaminate import decontaminate
+
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries():
     return dict(QUERIES)
 
