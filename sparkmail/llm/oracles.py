@@ -35,3 +35,39 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def _matches(name, pattern, keep, part=None):
+    """A list of (start, end) of a pattern's matches in column t; both found from the gaps between them."""
+    pattern = pattern.replace("'", "''")
+    m, g = f"regexp_extract_all(t, '{pattern}')", f"string_split_regex(t, '{pattern}')"
+    p = f"regexp_extract_all(t, '{pattern}', {part})" if part else m
+    return f"""
+  {name}_m AS (SELECT doc_id, t, {m} AS m, list_transform({m}, lambda x: length(x)) AS lm,
+                      list_transform({g}, lambda x: length(x)) AS lg, {p} AS p FROM d),
+  {name} AS (SELECT doc_id, unnest(list_filter(list_transform(m, lambda x, i: {{
+                 's': list_sum(lg[1:i]) + coalesce(list_sum(lm[1:i-1]), 0),
+                 'e': list_sum(lg[1:i]) + list_sum(lm[1:i]), 'x': p[i]}}), lambda z: {keep})) AS z
+             FROM {name}_m WHERE len(m) > 0)"""
+
+
+def secret_scan_sql():
+    from sparkmail.llm.secret_scan import BASE, MORE
+
+    rules = BASE + MORE
+    parts = [_matches(r.kind, r.pattern, f"length(z.x) >= {r.least}", r.group) for r in rules]
+    found = " UNION ALL ".join(f"SELECT doc_id, z.s AS s, z.e AS e, {i} AS ord, '{r.kind}' AS kind FROM {r.kind}" for i, r in enumerate(rules))
+    base = len(BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {",".join(parts)},
+  f AS (SELECT *, kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS shown FROM ({found})),
+  a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (ord = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))},
+               string_agg(shown, ',' ORDER BY s, ord) FILTER (ord < {base}) AS base, string_agg(shown, ',' ORDER BY s, ord) AS spans
+        FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+ORACLE["op3_secret_scan"] = secret_scan_sql()

@@ -19,6 +19,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def digest(found: DataFrame, spans: str, kinds: list[str]) -> DataFrame:
+    """Spans as counts of the base kinds, a digest of the base spans and a text of all spans."""
+    from sparkmail.llm.spans import shown
+
+    def of(*wanted):
+        return F.filter(F.col(spans), lambda s: s.kind.isin(*wanted))
+
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
+                        F.sha2(shown(of(*kinds)), 256).alias("base_sha256"), shown(F.col(spans)).alias("spans"))
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -39,6 +50,14 @@ def op2_top_k(spark, sf_dir):
     return top_k(vectors.where(F.col("id") % 20 == 0), vectors, k=20)
 
 
+@query
+def op3_secret_scan(spark, sf_dir):
+    from sparkmail.llm.secret_scan import BASE, find_secrets
+
+    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return digest(found, "spans", [r.kind for r in BASE])
+
+
 @query
 def op8_near_dup(spark, sf_dir):
     from sparkmail.llm.near_dup import near_duplicates

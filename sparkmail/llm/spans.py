@@ -7,8 +7,6 @@ their lengths give the positions (in code points).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,32 +20,53 @@ def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def running_sum(sizes: Column) -> Column:
-    """Inclusive running sums of an array of whole numbers that is not empty."""
-    zero = F.lit(0)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")),
-                         lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, v: a + v))
-    return F.flatten(F.transform(blocks, lambda x, b: F.transform(
-        F.sequence(F.lit(1), F.size(x)),
-        lambda i: F.aggregate(F.slice(x, 1, i), F.aggregate(F.slice(totals, 1, b), zero, lambda a, v: a + v), lambda a, v: a + v))))
-
-
-def add_matches(df, text: str, name: str, pattern: str, when: Column, groups=(0,)):
-    """Adds ``name``, an array of (start, end, g<group>...) of the leftmost non-overlapping
-    matches in column ``text``, in order; null where ``when`` is not true or nothing matches."""
-    col = F.col(text)
-    for g in groups:
-        df = df.withColumn(f"{name}_g{g}", F.when(when, F.regexp_extract_all(col, F.lit(pattern), F.lit(g))))
-    some = F.size(f"{name}_g0") > 0
-    df = df.withColumn(f"{name}_gaps", F.when(some, F.split(col, pattern, -1)))
-    df = df.withColumn(f"{name}_ends", F.when(some, running_sum(F.transform(
-        F.col(f"{name}_g0"), lambda m, i: F.char_length(F.get(f"{name}_gaps", i)) + F.char_length(m)))))
-    found = F.transform(F.col(f"{name}_g0"), lambda m, i: F.struct(
-        (F.get(f"{name}_ends", i) - F.char_length(m)).alias("start"), F.get(f"{name}_ends", i).alias("end"),
-        *[F.get(f"{name}_g{g}", i).alias(f"g{g}") for g in groups]))
-    return df.withColumn(name, F.when(some, found)).drop(
-        f"{name}_gaps", f"{name}_ends", *[f"{name}_g{g}" for g in groups])
+def _sums(sizes: Column, first: Column) -> Column:
+    """``first`` and then the running sums from it on."""
+    return F.aggregate(sizes, F.array(first), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+
+
+def add_matches(df, text: str, name: str, pattern: str, when: Column, group: int | None = None, context: int = 0):
+    """Adds ``name``: an array of (start, end, match[, part][, before, after]) of the leftmost
+    non-overlapping matches in column ``text``, in order; null where ``when`` is not true or
+    nothing matches. ``part`` is the text of ``group``; ``before`` and ``after`` are up to
+    ``context`` characters between the match and its neighbours of the same pattern.
+
+    Each step is a column of its own, read at least twice or outside lambdas only: Spark puts an
+    expression that is read once into the place that reads it, which in a lambda means once per match.
+    """
+    def c(x):
+        return F.col(f"_{name}_{x}")
+
+    def add(x, value):
+        nonlocal df
+        df = df.withColumn(f"_{name}_{x}", value)
+
+    some = F.size(c("match")) > 0
+    add("match", F.when(when, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
+    add("gaps", F.when(some, F.split(F.col(text), pattern, -1)))
+    add("sizes", F.when(some, F.zip_with(c("match"), F.slice(c("gaps"), 1, F.size(c("match"))),
+                                         lambda m, g: F.char_length(m) + F.char_length(g))))
+    add("blocks", F.when(some, F.transform(F.sequence(F.lit(0), F.floor((F.size(c("sizes")) - 1) / BLOCK).cast("int")),
+                                           lambda b: F.slice(c("sizes"), b * BLOCK + 1, BLOCK))))
+    totals = F.transform(c("blocks"), lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+    add("end", F.flatten(F.zip_with(c("blocks"), F.slice(_sums(totals, F.lit(0)), 1, F.size(c("blocks"))),
+                                    lambda x, s: F.slice(_sums(x, s), 2, F.size(x)))))
+    zipped = {"match": c("match"), "end": c("end")}
+    if group is not None:
+        add("part", F.when(some, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))))
+        zipped["part"] = c("part")
+    if context:
+        zipped["before"] = F.transform(F.slice(c("gaps"), 1, F.size(c("match"))), lambda g: F.right(g, F.lit(context)))
+        zipped["after"] = F.transform(F.slice(c("gaps"), 2, F.size(c("match"))), lambda g: F.left(g, F.lit(context)))
+    for x, value in zipped.items():
+        if x in ("before", "after"):
+            add(x, F.when(some, value))
+    rows = F.arrays_zip(*[c(x) for x in zipped])
+    found = F.transform(rows, lambda z: F.struct(
+        (z[f"_{name}_end"] - F.char_length(z[f"_{name}_match"])).alias("start"), z[f"_{name}_end"].alias("end"),
+        *[z[f"_{name}_{x}"].alias(x) for x in zipped if x != "end"]))
+    df = df.withColumn(name, F.when(some, found))
+    return df.drop(*[x for x in df.columns if x.startswith(f"_{name}_")])
 
 
 def as_spans(matches: Column, kind: str, order: int, keep=None) -> Column:
@@ -88,7 +107,3 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
     cut = F.transform(F.sequence(F.lit(1), F.size(spans)), piece)
     rest = F.substring(text, F.element_at(spans, -1).end + 1, F.char_length(text))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(cut, ""), rest)).otherwise(text)
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
