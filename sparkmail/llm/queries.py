@@ -58,6 +58,13 @@ def op3_secret_scan(spark, sf_dir):
     return digest(found, "spans", [r.kind for r in BASE])
 
 
+@query
+def op4_pii(spark, sf_dir):
+    from sparkmail.llm.pii import BASE, find_pii
+
+    return digest(find_pii(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "spans", list(BASE))
+
+
 @query
 def op8_near_dup(spark, sf_dir):
     from sparkmail.llm.near_dup import near_duplicates
