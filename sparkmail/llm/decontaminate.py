@@ -8,9 +8,9 @@ Fingerprints of documents and benchmark are joined, and in the documents that
 share one, the hits are extended: each window around a shared k-gram is
 compared word by word with the benchmark's windows.
 
-Built-in functions only; the text is read twice (fingerprints, then words of
-the hit documents) and is never shuffled unless the hit list is too large to
-broadcast.
+Built-in functions only; the text is read once for the fingerprints and once
+more for the words of the documents that share one, and is never shuffled
+unless the list of these is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from sparkmail.session import stage_table
 #: A word: neither ASCII punctuation nor white space nor control characters (after A-Z became a-z).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
+#: A fingerprint that every document and the benchmark have.
+MARK = -(2**62)
 
 
 def words_of(text: Column) -> Column:
@@ -87,27 +89,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.explode_outer(winnowed(F.col("g"), window - gram + 1)).alias("print"))
     for n in lengths:
         prints = prints.unionByName(split.where(F.col("n") == n).select(F.explode_outer(gram_hashes(F.col("h"), n)).alias("print")))
-    prints = stage_table(prints.distinct(), "bench-prints")
+    mark = own.sparkSession.range(1).select(F.lit(MARK).alias("print"))
+    prints = stage_table(prints.unionByName(mark).distinct(), "bench-prints")
 
-    # Fingerprints of the documents; for short items every k-gram of their length.
+    # Fingerprints of the documents; for short items every k-gram of their length. Every document
+    # also carries a mark that the benchmark side has too, so that all documents come through the join
+    # with their word counts, and only those with more than the mark are read again.
     # The hash of the text tells apart rows that repeat an id. (explode_outer: Spark would push
     # the filter it infers for explode below these projections and compute them all again in it.)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = base.withColumn("th", F.xxhash64("text"))
-    hashed = keyed.where("text is not null").select("id", "th", word_hashes(words_of(F.col("text"))).alias("h"))
-    wanted = [F.coalesce(winnowed(F.col("g"), window - gram + 1), F.array().cast("array<bigint>"))]
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    hashed = keyed.select("id", "th", word_hashes(words_of(F.col("text"))).alias("h"))
+    wanted = [F.array(F.lit(MARK)), F.coalesce(winnowed(F.col("g"), window - gram + 1), F.array().cast("array<bigint>"))]
     for n in lengths:
         wanted.append(F.coalesce(gram_hashes(F.col("h"), n), F.array().cast("array<bigint>")))
-    found = hashed.withColumn("g", gram_hashes(F.col("h"), gram)).select("id", "th", F.concat(*wanted).alias("p")) \
-        .select("id", "th", F.explode_outer("p").alias("print")).join(if_small(prints), "print")
-    found = found.groupBy("id", "th").agg(F.collect_set("print").alias("prints"))
-    found = stage_table(found, "contaminated").withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
+    found = hashed.withColumn("g", gram_hashes(F.col("h"), gram)) \
+        .select("id", "th", F.size("h").alias("n_words"), F.concat(*wanted).alias("p")) \
+        .select("id", "th", "n_words", F.explode_outer("p").alias("print")).join(if_small(prints), "print")
+    found = found.groupBy("id", "th", "n_words").agg(F.count_if(F.col("print") == MARK).alias("copies"),
+                                                     F.collect_set("print").alias("prints"))
+    found = stage_table(found, "contaminated")
+    hit = stage_table(found.where(F.size("prints") > 1).select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "prints"),
+                      "contaminated-hit")
 
     # Extension: the windows around each shared k-gram.
-    seen = keyed.join(if_small(found), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left") \
-        .withColumn("w", words_of(F.col("text"))) \
-        .withColumn("h", F.when(F.col("prints").isNotNull(), word_hashes(F.col("w")))) \
-        .withColumn("n_words", F.size("w"))
+    seen = keyed.join(if_small(hit), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th"))) \
+        .withColumn("w", words_of(F.col("text"))).withColumn("h", word_hashes(F.col("w"))).withColumn("n_words", F.size("w"))
 
     def places(n):
         """Word positions whose n-gram is a shared fingerprint."""
@@ -124,17 +130,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     tried = [windows_at(F.col("w"), F.coalesce(starts, F.array().cast("array<int>")), window)]
     for n in lengths:
         tried.append(windows_at(F.col("w"), F.coalesce(places(n), F.array().cast("array<int>")), n))
-    seen = stage_table(seen.select("id", "th", "n_words", F.when(F.col("prints").isNotNull(), F.concat(*tried)).alias("tried")),
-                       "contaminated-windows")
-    spans = seen.where(F.size("tried") > 0).select("id", "th", F.explode("tried").alias("t")) \
-        .select("id", "th", "t.*").distinct().join(if_small(own), "words") \
+    spans = seen.select("id", "th", F.explode_outer(F.concat(*tried)).alias("t")).select("id", "th", "t.*").distinct().join(if_small(own), "words") \
         .groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"),
                                  F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("reach"), F.lit(0).alias("words")), lambda a, s: F.struct(
         F.greatest(a.reach, s.stop).alias("reach"),
         (a.words + F.greatest(F.lit(0), s.stop - F.greatest(a.reach, s.start))).alias("words"))).getField("words")
     spans = spans.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("n_hit"), "items")
-    return seen.join(spans, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.join(spans, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
         "id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),

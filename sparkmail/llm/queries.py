@@ -65,6 +65,14 @@ def op4_pii(spark, sf_dir):
     return digest(find_pii(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "spans", list(BASE))
 
 
+@query
+def op6_token_count(spark, sf_dir):
+    from sparkmail.llm.token_count import count_tokens
+
+    found = count_tokens(read(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json")
+    return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 @query
 def op8_near_dup(spark, sf_dir):
     from sparkmail.llm.near_dup import near_duplicates
@@ -73,6 +81,13 @@ def op8_near_dup(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op9_pack(spark, sf_dir):
+    from sparkmail.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", length=1024)
+
+
 @query
 def op10_decontaminate(spark, sf_dir):
     from sparkmail.llm.decontaminate import decontaminate
