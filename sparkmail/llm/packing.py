@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmail.llm.common import python_ready
-from sparkmail.llm.pieces import PieceTable, Splitter, tokenizer_path
+from sparkmail.llm.pieces import IdTable, Splitter, tokenizer_path
 from sparkmail.session import stage_table
 
 #: Pieces of a group, on average.
@@ -40,19 +40,15 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, leng
         def learn(new):
             ids = [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)]
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.array([x for one in ids for x in one], dtype=np.uint32)
-            rows = np.empty(len(ids), dtype=object)
-            rows[:] = np.split(flat, np.cumsum(size)[:-1])
-            return [size, rows]
+            return size, np.array([x for one in ids for x in one], dtype="<u4")
 
-        table = PieceTable(learn)
+        table = IdTable(learn)
         for batch in batches:
             pieces = [split(t or "") for t in batch.column(1).to_pylist()]
             table.add(pieces)
             out = []
             for doc, own in zip(batch.column(0).to_pylist(), pieces):
-                parts = table.values[1][table.numbers(own)].tolist() if own else []
-                ids = np.concatenate([*parts, np.array([end_id], dtype=np.uint32)]).astype("<u4")
+                ids = np.append(table.ids(own), np.array([end_id], dtype="<u4"))
                 for at in range(0, len(ids), length):
                     piece = ids[at:at + length]
                     out.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))

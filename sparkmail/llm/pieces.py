@@ -75,3 +75,27 @@ class PieceTable:
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         return np.fromiter(map(self.rows.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+
+class IdTable(PieceTable):
+    """piece -> its ids, in one flat array. ``learn`` returns [sizes, ids of all new pieces]."""
+
+    def add(self, lists):
+        if len(self.rows) > self.limit:
+            self.rows, self.values = {}, None
+        new = [p for p in set().union(*lists) if p not in self.rows]
+        if new:
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            size, flat = self.learn(new)
+            if self.values is None:
+                self.values = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype="<u4")]
+            known = len(self.values[2])
+            self.values = [np.concatenate([a, b]) for a, b in zip(self.values, (size, known + np.cumsum(size) - size, flat))]
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        if not pieces:
+            return np.empty(0, dtype="<u4")
+        at = self.numbers(pieces)
+        size = self.values[0][at]
+        first = self.values[1][at] - (np.cumsum(size) - size)
+        return self.values[2][np.repeat(first, size) + np.arange(size.sum())]

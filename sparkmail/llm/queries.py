@@ -65,6 +65,15 @@ def op4_pii(spark, sf_dir):
     return digest(find_pii(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "spans", list(BASE))
 
 
+@query
+def op5_language(spark, sf_dir):
+    from sparkmail.llm.language import fit_profiles, held_out, identify
+
+    docs = read(spark, sf_dir, "documents")
+    profiles = fit_profiles(docs.where(~held_out(F.col("doc_id"))), "text", "lang")
+    return identify(docs, profiles).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op6_token_count(spark, sf_dir):
     from sparkmail.llm.token_count import count_tokens
