@@ -82,6 +82,13 @@ def op6_token_count(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query
+def op7_html_text(spark, sf_dir):
+    from sparkmail.llm.html_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op8_near_dup(spark, sf_dir):
     from sparkmail.llm.near_dup import near_duplicates
