@@ -81,6 +81,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     their own texts. A null id is kept; items with a null id count as no item
     but their words are hit. Empty tables are fine; other columns are not read.
     """
+    return judge(docs, items, id_col, text_col, item_id, item_text, window, gram).drop("th")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns as they are. Options as in ``decontaminate``."""
+    found = judge(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    found = stage_table(found.distinct(), "contaminated-rows")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_th"))
+    return docs.join(if_small(found), same, "left_anti")
+
+
+def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``decontaminate`` with the hash of the text, ``th``, which tells apart rows that repeat an id."""
     # Benchmark side: staged, since its size decides how it is joined.
     own = stage_table(item_windows(items, item_id, item_text, window), "bench-windows")
     lengths = sorted(r.n for r in own.select("n").distinct().collect() if r.n < window)  # fewer than ``window`` values
@@ -139,7 +153,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spans = spans.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("n_hit"), "items")
     rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.join(spans, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
-        "id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "id", "th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

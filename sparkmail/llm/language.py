@@ -142,3 +142,16 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str
     python_ready(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")) \
         .mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: str = "text", ranks: int = RANKS) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, i.e. is not ``und``; all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        classify = Classifier(profiles, ranks)
+        for batch in batches:
+            yield batch.filter(pa.array([classify(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    python_ready(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
