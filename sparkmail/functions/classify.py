@@ -57,8 +57,12 @@ def classify_rules(subject, body, sender, rules: R.MailboxRules = R.MAILBOX_RULE
 
 
 def urgency(subject, body, rules: R.MailboxRules = R.MAILBOX_RULES) -> Column:
-    """base + step per phrase found, capped at 1, two decimals (half even)."""
-    text = F.lower(F.substring(F.concat(nz(subject), F.lit(" "), nz(body)), 1, rules.urgency_chars))
+    """base + step per phrase found in the whole text (or its first ``urgency_chars``
+    characters), capped at 1, two decimals (half even on the decimal text of the sum)."""
+    text = F.concat(nz(subject), F.lit(" "), nz(body))
+    if rules.urgency_chars is not None:
+        text = F.substring(text, 1, rules.urgency_chars)
+    text = F.lower(text)
     n_high = sum((text.contains(p).cast("int") for p in rules.urgency_high), F.lit(0))
     n_med = sum((text.contains(p).cast("int") for p in rules.urgency_medium), F.lit(0))
     raw = F.lit(rules.urgency_base) + n_high * F.lit(rules.urgency_high_step) + n_med * F.lit(rules.urgency_medium_step)

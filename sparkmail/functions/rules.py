@@ -40,7 +40,7 @@ class MailboxRules:
     urgency_base: float = 0.3
     urgency_high_step: float = 0.35
     urgency_medium_step: float = 0.2
-    urgency_chars: int = 10000
+    urgency_chars: int | None = None
 
 
 # ---------------------------------------------------------------------------
@@ -92,6 +92,7 @@ TOPIC_CATEGORIES = (
 TOPIC_DEFAULT_CATEGORY = "General"
 
 # Other fixed numbers of the reference application.
+URGENCY_MAX_CHARS = 10000
 HTML_MAX_CHARS = 50000
 PREVIEW_CHARS = 300
 SUBJECT_MAX_CHARS = 1024
@@ -107,6 +108,13 @@ MIN_FEEDBACK_SAMPLES = 5
 UUID_NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 STREAM_ID_PREFIX = "mailbox:"
 VALID_LABEL_PATTERN = "^(spam|ham)$"
+# What a mail row of the reference application holds at most. Not applied unless passed.
+STORED_LIMITS = {"body": HTML_MAX_CHARS, "subject": SUBJECT_MAX_CHARS, "sender": SENDER_MAX_CHARS,
+                 "body_preview": PREVIEW_MAX_CHARS}
+# Markup patterns of the HTML stripper (F6) and the address inside a From header (F7), in order of use.
+HTML_DROP_PATTERNS = (r"<script[^>]*>[\s\S]*?</script>", r"<style[^>]*>[\s\S]*?</style>")
+HTML_TAG_PATTERN = r"<[^>]+>"
+ANGLE_ADDRESS_PATTERN = r"<([^>]+)>"
 # ---------------------------------------------------------------------------
 
 JOB_RULES = KeywordRules(spam_terms=JOB_SPAM_TERMS, promo_terms=JOB_PROMO_TERMS)

@@ -41,20 +41,25 @@ def any_contains(text: Column, terms) -> Column:
     return out
 
 
-def strip_html(c, max_len: int = R.HTML_MAX_CHARS) -> Column:
-    """drop script/style blocks, tags -> space, collapse whitespace, trim, cap."""
+def cut(c, max_len: int | None) -> Column:
+    """The first ``max_len`` characters; the whole text for None."""
+    return _c(c) if max_len is None else F.substring(_c(c), 1, max_len)
+
+
+def strip_html(c, max_len: int | None = None) -> Column:
+    """drop script/style blocks, tags -> space, collapse whitespace, trim; cut only if asked."""
     s = nz(c)
-    s = F.regexp_replace(s, r"(?i)<script[^>]*>[\s\S]*?</script>", " ")
-    s = F.regexp_replace(s, r"(?i)<style[^>]*>[\s\S]*?</style>", " ")
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
+    for pattern in R.HTML_DROP_PATTERNS:
+        s = F.regexp_replace(s, f"(?i){pattern}", " ")
+    s = F.regexp_replace(s, R.HTML_TAG_PATTERN, " ")
     s = F.regexp_replace(s, f"{WS_CLASS}+", " ")
-    return F.substring(F.trim(s), 1, max_len)
+    return cut(F.trim(s), max_len)
 
 
 def sender_address(c) -> Column:
     """address inside ``<...>`` when present, else the trimmed text."""
     s = nz(c)
-    inside = F.regexp_extract(s, r"<([^>]+)>", 1)
+    inside = F.regexp_extract(s, R.ANGLE_ADDRESS_PATTERN, 1)
     has_angle = s.contains("<") & s.contains(">") & (inside != "")
     return F.when(has_angle, py_strip(inside)).otherwise(py_strip(s))
 
@@ -132,21 +137,41 @@ def uuid5(c, namespace: str = R.UUID_NAMESPACE_URL, prefix: str = R.STREAM_ID_PR
     )
 
 
-def compose_text(subject, sender, body, body_preview, max_len: int = R.COMPOSED_TEXT_MAX_CHARS) -> Column:
-    """``Subject: ..\\nFrom: ..\\n\\n<body or preview, stripped>`` capped."""
+def compose_text(subject, sender, body, body_preview, max_len: int | None = None) -> Column:
+    """``Subject: ..\\nFrom: ..\\n\\n<body or preview, stripped>``; cut only if asked."""
     main = py_strip(F.coalesce(F.nullif(_c(body), F.lit("")), F.nullif(_c(body_preview), F.lit("")), F.lit("")))
     s = F.concat(F.lit("Subject: "), nz(subject), F.lit("\nFrom: "), nz(sender), F.lit("\n\n"), main)
-    return F.substring(s, 1, max_len)
+    return cut(s, max_len)
+
+
+# Date, optionally a time, optionally fraction and zone; all parts either with or without separators.
+ISO_EXTENDED = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+ISO_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[T ](\d{2})(\d{2})(\d{2})?((?:[.,]\d{1,6})?)(Z|[+-]\d{2}:?(?:\d{2})?)?)?$"
 
 
 def parse_iso_ts(c) -> Column:
-    """ISO-8601 text (``Z`` or offset allowed) -> timestamp; bad -> null."""
-    return F.try_to_timestamp(_c(c))
+    """ISO-8601 text, extended or compact (``Z`` or offset allowed) -> timestamp. Anything
+    else, a bare year or a bare time too, is null: the shape is checked before the cast, which
+    would complete them."""
+    s = _c(c)
+    # 20240105T100000Z -> 2024-01-05T10:00:00Z; a time without seconds gets them
+    spread = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    spread = F.regexp_replace(spread, r"^(.{10}[T ]\d{2})(\d{2})(\d{2})?", "$1:$2:$3")
+    spread = F.regexp_replace(spread, r":(?=$|Z|[+-])", ":00")
+    full = F.when(s.rlike(ISO_EXTENDED), s).when(s.rlike(ISO_COMPACT), spread)
+    full = F.replace(full, F.lit(","), F.lit("."))
+    # an hour alone, and offsets without colon, in the form that the cast reads
+    full = F.regexp_replace(full, r"^(.{10}[T ]\d{2})(?=$|Z|[+-])", "$1:00")
+    full = F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    full = F.regexp_replace(full, r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
+    return F.try_to_timestamp(full)
 
 
 # RFC 2822 date forms after the weekday is removed: numeric zone, zone name
 # (GMT, EST, ...), and either without seconds.
 RFC2822_PATTERNS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
+# A date without a zone is UTC.
+NO_ZONE = r"\d:\d{2}$"
 
 
 def parse_rfc2822(c, fallback: Column | None = None) -> Column:
@@ -154,6 +179,10 @@ def parse_rfc2822(c, fallback: Column | None = None) -> Column:
     (now, as the reference falls back to the current time)."""
     s = F.regexp_replace(F.trim(nz(c)), r"^[A-Za-z]{3},\s*", "")
     s = F.regexp_replace(s, r"\s+\([^)]*\)$", "")
+    # two-digit years: 69-99 are 19xx, 00-68 are 20xx
+    s = F.regexp_replace(s, r"^(?<day>\d{1,2}\s+[A-Za-z]{3}\s+)(?=(?:69|[7-9]\d)\s)", "${day}19")
+    s = F.regexp_replace(s, r"^(?<day>\d{1,2}\s+[A-Za-z]{3}\s+)(?=\d{2}\s)", "${day}20")
+    s = F.when(s.rlike(NO_ZONE), F.concat(s, F.lit(" +0000"))).otherwise(s)
     ts = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in RFC2822_PATTERNS])
     return F.coalesce(ts, fallback if fallback is not None else F.current_timestamp())
 
@@ -163,6 +192,24 @@ def day(c) -> Column:
     return F.date_format(_c(c), "yyyy-MM-dd")
 
 
+def between_days(df, ts_col: str, start: str | None, end: str | None):
+    """Rows whose time lies on the days ``start..end`` (either may be None), as plain
+    comparisons of the column, so that they reach the Parquet scan and prune row groups."""
+    if not start and not end:
+        return df
+    kind = df.schema[ts_col].dataType
+    if kind.simpleString() not in ("timestamp", "timestamp_ntz", "date"):
+        ts = F.col(ts_col).cast("timestamp")
+        kind = "timestamp"
+    else:
+        ts = F.col(ts_col)
+    if start:
+        df = df.where(ts >= F.lit(start).cast("date").cast(kind))
+    if end:
+        df = df.where(ts < F.date_add(F.lit(end).cast("date"), 1).cast(kind))
+    return df
+
+
 def source_tag(c, default: str = "unknown", n: int = R.SOURCE_TAG_MAX_CHARS) -> Column:
     """pipeline source, empty -> default, capped at n characters."""
     return F.substring(F.coalesce(F.nullif(_c(c).cast("string"), F.lit("")), F.lit(default)), 1, n)

@@ -10,7 +10,7 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
@@ -92,11 +92,15 @@ def reclassify(target: DataFrame, changes: DataFrame, key: str = "message_id",
 
     ``changes`` has (key, corrected_label, user_email, reason, ts). Invalid
     labels are rejected; the log gets one row per valid change that matched
-    a target row, carrying the label it replaced.
+    a target row, carrying the label it replaced: the stored one for a key's
+    first change, that of the change before for later ones (by time, then label).
     """
     ok = changes.where(valid_label("corrected_label"))
     rejected = changes.where(~valid_label("corrected_label"))
-    log = ok.join(target.select(F.col(key), F.col(label_col).alias("original_label")), key, "inner").select(
+    before = F.lag("corrected_label").over(Window.partitionBy(key).orderBy(ts_col, "corrected_label", "user_email", "reason"))
+    log = ok.withColumn("_before", before) \
+        .join(target.select(F.col(key), F.col(label_col).alias("_stored")), key, "inner") \
+        .withColumn("original_label", F.coalesce("_before", "_stored")).select(
         F.col(key).alias("message_id"), "user_email", "original_label", "corrected_label", "reason",
         F.col(ts_col).alias("feedback_timestamp"))
     last = latest_per_key(ok.select(key, ts_col, "corrected_label"), [key], [ts_col]) \

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
-from sparkmail.functions.text import day
+from sparkmail.functions.text import between_days
 
 
 def search(df: DataFrame, user_id=None, spam_label: str | None = None, mailbox_type: str | None = None,
@@ -27,7 +27,7 @@ def search(df: DataFrame, user_id=None, spam_label: str | None = None, mailbox_t
     non-null preview; ``start``/``end``: inclusive dates; ``topic``: equal.
     As in the reference, the text is placed between ``%`` as given, so ``%``
     and ``_`` typed by the user act as LIKE wildcards (``escape=True`` makes
-    them literal).
+    them literal); a backslash is always literal.
     """
     x = df
     if user_id is not None:
@@ -36,16 +36,13 @@ def search(df: DataFrame, user_id=None, spam_label: str | None = None, mailbox_t
         x = x.where(F.col("spam_label") == F.lit(spam_label))
     if mailbox_type:
         x = x.where(F.col("mailbox_type") == F.lit(mailbox_type))
-    esc = _esc if escape else (lambda v: v)
+    esc = _esc if escape else (lambda v: v.replace("\\", "\\\\"))
     if sender:
         x = x.where(F.col("sender").ilike(f"%{esc(sender)}%"))
     if text:
         pat = f"%{esc(text)}%"
         x = x.where(F.col("subject").ilike(pat) | (F.col("body_preview").isNotNull() & F.col("body_preview").ilike(pat)))
-    if start:
-        x = x.where(day(ts_col) >= F.lit(start))
-    if end:
-        x = x.where(day(ts_col) <= F.lit(end))
+    x = between_days(x, ts_col, start, end)
     if topic:
         x = x.where(F.col("topic") == F.lit(topic))
     return x
@@ -103,11 +100,20 @@ def pages_for(total: int, size: int) -> int:
 
 
 def serving_record(df: DataFrame) -> DataFrame:
-    """The list endpoint's record: renamed fields, ISO-8601 time text."""
-    iso = F.date_format(F.col("received_at"), "yyyy-MM-dd'T'HH:mm:ss")
-    cols = {
-        "id": F.col("message_id").cast("string"), "sender": F.col("sender"), "subject": F.col("subject"),
-        "preview": F.col("body_preview"), "received_at": iso, "spam_label": F.col("spam_label"),
-        "topic": F.col("topic"), "urgency_score": F.col("urgency_score"), "mailbox_type": F.col("mailbox_type"),
-    }
-    return df.select(*[c.alias(k) for k, c in cols.items()])
+    """The list endpoint's record. ``timestamp`` is ISO-8601 text with microseconds only if
+    there are any, '' for a null time; a field that ``df`` lacks is null."""
+    ts = F.col("received_at")
+    iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+                   F.when(F.date_format(ts, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(ts, "SSSSSS"))).otherwise(""))
+    made = {"timestamp": F.coalesce(iso, F.lit("")), "message_id": F.col("message_id").cast("string")}
+    return df.select(*[(made[c] if c in made else F.col(c) if c in df.columns else F.lit(None).cast(kind)).alias(c)
+                       for c, kind in SERVING_FIELDS])
+
+
+# The fields of a served message, in order.
+SERVING_FIELDS = (
+    ("message_id", "string"), ("sender", "string"), ("sender_name", "string"), ("subject", "string"), ("body", "string"),
+    ("body_preview", "string"), ("timestamp", "string"), ("spam_label", "string"), ("spam_score", "double"),
+    ("topic", "string"), ("topic_confidence", "double"), ("urgency_score", "double"), ("sentiment_score", "double"),
+    ("attachment_count", "int"), ("cc_count", "int"), ("mailbox_type", "string"),
+)

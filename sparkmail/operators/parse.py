@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkmail.functions import rules as R
 from sparkmail.functions import text as T
 from sparkmail.functions.classify import classify_rules, urgency
-from sparkmail.session import ensure_shipped, spread
+from sparkmail.session import ensure_shipped
 
 
 def _has(c):
@@ -28,7 +28,7 @@ def nested_body(payload) -> "F.Column":
 
     The first text/plain part with data wins; else the top-level body;
     else the first text/html part whose stripped text is not empty. Bodies
-    are url-safe base64; the result is capped at 50,000 characters.
+    are url-safe base64.
     """
     p = F.col(payload) if isinstance(payload, str) else payload
     parts = F.coalesce(p["parts"], F.array())
@@ -41,19 +41,21 @@ def nested_body(payload) -> "F.Column":
             .when(top != "", top)
             .when(F.size(html_ok) > 0, F.element_at(html_ok, 1))
             .otherwise(F.lit("")))
-    return F.substring(body, 1, R.HTML_MAX_CHARS)
+    return body
 
 
-def parse_nested(df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES, now=None) -> DataFrame:
+def parse_nested(df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES, now=None, limits: dict | None = None) -> DataFrame:
     """F7-F13, F16 + F2-F4: nested message JSON (``schemas.NESTED_MESSAGE``)
-    -> the synced-mail row. Rows without an id are dropped."""
+    -> the synced-mail row. Rows without an id are dropped. Texts are whole; ``limits`` (such as
+    ``rules.STORED_LIMITS``) cuts body, subject, sender and body_preview to so many characters."""
+    limits = limits or {}
     h = T.header_map(F.col("payload.headers"))
     subject = F.coalesce(h["subject"], F.lit(""))
     from_ = F.coalesce(h["from"], F.lit(""))
     x = df.where(_has(F.col("id"))).select(
         F.col("id"), subject.alias("subject"), from_.alias("from_header"),
         T.parse_rfc2822(h["date"], now).alias("received_at"),
-        nested_body(F.col("payload")).alias("body"),
+        T.cut(nested_body(F.col("payload")), limits.get("body")).alias("body"),
         T.attachment_count(F.col("payload.parts")).alias("attachment_count"),
         T.cc_count(h["cc"]).alias("cc_count"),
     )
@@ -63,11 +65,11 @@ def parse_nested(df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES, now=Non
     labels = classify_rules(F.col("subject"), F.col("body"), F.col("sender_email"), rules)
     return x.select(
         F.concat(F.lit("gmail-"), F.col("id")).alias("message_id"),
-        F.substring("sender_email", 1, R.SENDER_MAX_CHARS).alias("sender"),
+        T.cut("sender_email", limits.get("sender")).alias("sender"),
         "sender_name",
-        F.substring("subject", 1, R.SUBJECT_MAX_CHARS).alias("subject"),
+        T.cut("subject", limits.get("subject")).alias("subject"),
         F.nullif(F.col("body"), F.lit("")).alias("body"),
-        F.nullif(F.substring("body_preview", 1, R.PREVIEW_MAX_CHARS), F.lit("")).alias("body_preview"),
+        F.nullif(T.cut("body_preview", limits.get("body_preview")), F.lit("")).alias("body_preview"),
         "received_at",
         labels["spam_label"].alias("spam_label"), labels["spam_score"].alias("spam_score"),
         labels["topic"].alias("topic"), labels["mailbox_type"].alias("mailbox_type"),
@@ -82,74 +84,69 @@ EML_SCHEMA = ("path string, message_id string, subject string, from_header strin
               "cc_header string, body string, body_is_html boolean, attachment_count int, ok boolean")
 
 
-def _mime_walk(pdf_iter):
-    """Per Arrow batch: MIME-parse ``content`` bytes with the standard library."""
-    import email
-    from email.header import decode_header
+def _header(message, name: str) -> str:
+    """A header's decoded text, folded lines joined; '' if it is missing."""
+    return " ".join(str(message.get(name, "")).split())
 
+
+def _leaf_text(leaf) -> str | None:
+    """A text part as text; None if its transfer encoding or charset cannot be read. Bytes that
+    the charset does not know become the replacement character."""
+    data = leaf.get_payload(decode=True)
+    if data is None:
+        return None
+    try:
+        return data.decode(leaf.get_content_charset() or "utf-8", errors="replace")
+    except LookupError:
+        return data.decode("utf-8", errors="replace")
+
+
+def _read_message(content: bytes) -> tuple:
+    """(id, subject, from, date, cc, body, whether the body is HTML, attachments): the body is the
+    first readable text part in order, or all of a message that has no parts."""
+    from email import message_from_bytes, policy
+
+    message = message_from_bytes(content, policy=policy.default)
+    leaves = [p for p in message.walk() if not p.is_multipart()]
+    single = len(leaves) == 1 and leaves[0] is message
+    wanted = leaves if single else [p for p in leaves if p.get_content_type() in ("text/plain", "text/html")]
+    body, kind = next(((t, p.get_content_type()) for p in wanted if (t := _leaf_text(p)) is not None), ("", "text/plain"))
+    html = kind == "text/html" or single and "<" in body and ">" in body
+    cc = message.get("Cc")
+    return (_header(message, "Message-ID"), _header(message, "Subject"), _header(message, "From"), message.get("Date"),
+            None if cc is None else str(cc), body, html, sum(p.get_content_disposition() == "attachment" for p in leaves))
+
+
+def _mime_walk(frames):
+    """Per Arrow batch: MIME-parse ``content`` bytes with the standard library. A message that it
+    cannot read keeps its row, with ``ok`` false."""
     import pandas as pd
 
-    def dec(s):
-        if not s:
-            return ""
-        out = []
-        for part, enc in decode_header(str(s)):
-            if isinstance(part, bytes):
-                try:
-                    out.append(part.decode(enc or "utf-8", errors="replace"))
-                except LookupError:
-                    out.append(part.decode("utf-8", errors="replace"))
-            else:
-                out.append(part or "")
-        return " ".join(out)
-
-    def body_of(msg):
-        # Returns (text, is_html) as the mailbox sync path chose it.
-        if msg.is_multipart():
-            for part in msg.walk():
-                ct = part.get_content_type()
-                if ct in ("text/plain", "text/html"):
-                    try:
-                        raw = part.get_payload(decode=True).decode(errors="replace")
-                        return raw, ct == "text/html"
-                    except Exception:  # noqa: BLE001 - undecodable part: try the next one
-                        continue
-            return "", False
-        try:
-            raw = msg.get_payload(decode=True)
-            text = raw.decode(errors="replace") if raw else str(msg.get_payload() or "")
-        except Exception:  # noqa: BLE001
-            text = str(msg.get_payload())[:2000]
-        return text, msg.get_content_type() == "text/html" or ("<" in text and ">" in text)
-
-    for pdf in pdf_iter:
+    names = [f.split(" ")[0] for f in EML_SCHEMA.split(", ")]
+    for frame in frames:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, content in zip(frame["path"], frame["content"]):
             try:
-                msg = email.message_from_bytes(bytes(content))
-                body, is_html = body_of(msg)
-                parts = msg.walk() if msg.is_multipart() else [msg]
-                rows.append((path, (msg.get("Message-ID") or "").strip(), dec(msg.get("Subject", "")),
-                             dec(msg.get("From", "")), msg.get("Date"), msg.get("Cc"), body, bool(is_html),
-                             sum(1 for p in parts if p.get_content_disposition() == "attachment"), True))
-            except Exception:  # noqa: BLE001 - unparsable message: keep the row, flag it
+                found = _read_message(bytes(content))
+                rows.append((path, *[str(x) if isinstance(x, str) else x for x in found], True))
+            except Exception:  # noqa: BLE001 - any fault of one message concerns that message only
                 rows.append((path, "", "", "", None, None, "", False, 0, False))
-        yield pd.DataFrame(rows, columns=["path", "message_id", "subject", "from_header", "date_header",
-                                          "cc_header", "body", "body_is_html", "attachment_count", "ok"])
+        yield pd.DataFrame(rows, columns=names)
 
 
-def parse_eml(binary_df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES) -> DataFrame:
+def parse_eml(binary_df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES, limits: dict | None = None) -> DataFrame:
     """``(path, content)`` rows (as from ``spark.read.format('binaryFile')``)
-    -> synced-mail rows. HTML bodies are stripped natively (F6).
+    -> synced-mail rows. HTML bodies are stripped natively (F6). Texts are whole; ``limits`` as in
+    ``parse_nested``.
 
     The Python side sees Arrow batches capped by both row count and bytes
     (``spark.sql.execution.arrow.maxRecordsPerBatch`` /
     ``maxBytesPerBatch``, 64 MB), so large messages do not pile up in one
     worker's memory."""
     ensure_shipped(binary_df.sparkSession)
-    walked = spread(binary_df.select("path", "content")).mapInPandas(_mime_walk, EML_SCHEMA)
-    body = F.substring(F.when(F.col("body_is_html"), T.strip_html("body")).otherwise(F.col("body")),
-                       1, R.HTML_MAX_CHARS)
+    limits = limits or {}
+    walked = binary_df.select("path", "content").mapInPandas(_mime_walk, EML_SCHEMA)
+    body = T.cut(F.when(F.col("body_is_html"), T.strip_html("body")).otherwise(F.col("body")), limits.get("body"))
     x = walked.withColumn("body", body)
     addr = T.sender_address("from_header")
     labels = classify_rules(F.col("subject"), F.col("body"), addr, rules)
@@ -158,8 +155,8 @@ def parse_eml(binary_df: DataFrame, rules: R.MailboxRules = R.MAILBOX_RULES) ->
     mid = F.coalesce(F.nullif(F.col("message_id"), F.lit("")), F.concat(F.lit("<"), F.col("path"), F.lit(">")))
     return x.select(
         "path", mid.alias("message_id"), addr.alias("sender"), T.sender_name("from_header").alias("sender_name"),
-        F.substring("subject", 1, R.SUBJECT_MAX_CHARS).alias("subject"), F.nullif(F.col("body"), F.lit("")).alias("body"),
-        F.nullif(F.substring(T.preview("body"), 1, R.PREVIEW_MAX_CHARS), F.lit("")).alias("body_preview"),
+        T.cut("subject", limits.get("subject")).alias("subject"), F.nullif(F.col("body"), F.lit("")).alias("body"),
+        F.nullif(T.cut(T.preview("body"), limits.get("body_preview")), F.lit("")).alias("body_preview"),
         T.parse_rfc2822(F.col("date_header")).alias("received_at"),
         labels["spam_label"].alias("spam_label"), labels["spam_score"].alias("spam_score"),
         labels["topic"].alias("topic"), labels["mailbox_type"].alias("mailbox_type"),

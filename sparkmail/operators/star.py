@@ -34,7 +34,7 @@ def build_star(df: DataFrame, ts_col: str = "received_at"):
         F.col("spam_label"), F.col("urgency_score"),
         F.year(ts).alias("year"), F.month(ts).alias("month"),
     )
-    dim_date = df.select(_date_key(ts).alias("date_key")).distinct().select(
+    dim_date = df.select(_date_key(ts).alias("date_key")).where("date_key is not null").distinct().select(
         "date_key", F.to_date(F.col("date_key").cast("string"), "yyyyMMdd").alias("date"),
         (F.col("date_key") / 10000).cast("int").alias("year"))
     dim_sender = df.select(F.coalesce(F.col("sender"), F.lit("")).alias("sender")).distinct().select(
@@ -47,13 +47,12 @@ def build_star(df: DataFrame, ts_col: str = "received_at"):
 def star_join(fact: DataFrame, dim_date: DataFrame, dim_sender: DataFrame, dim_topic: DataFrame) -> DataFrame:
     """Fact rows with their dimension attributes.
 
-    ``dim_date`` has one row per day and ``dim_topic`` one per label of the
-    classifier (both bounded, broadcast). ``dim_sender`` grows with the
-    data, so it is left to the planner: a sort-merge join, or a broadcast
-    when AQE measures it small."""
-    return (fact.join(F.broadcast(dim_date.select("date_key", "date")), "date_key")
-            .join(F.broadcast(dim_topic), "topic_key")
-            .join(dim_sender, "sender_key"))
+    Left joins: a fact row without a date (P2 makes such rows) keeps null date
+    attributes. No side is forced to be broadcast; AQE does it for a dimension
+    that it has measured to be small, and splits a hot sender otherwise."""
+    return (fact.join(dim_date.select("date_key", "date"), "date_key", "left")
+            .join(dim_topic, "topic_key", "left")
+            .join(dim_sender, "sender_key", "left"))
 
 
 def write_star(fact: DataFrame, dims: dict, root: str) -> None:

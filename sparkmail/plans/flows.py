@@ -20,44 +20,71 @@ from sparkmail.operators.paging import top_per_user
 from sparkmail.sources import lake as L
 
 
-def _stage(spark: SparkSession, raw_root: str, lake_root: str, dates_filter, end_date: str, days: int,
-           rules: R.KeywordRules) -> dict:
-    raw = clean_raw(dates_filter(L.read_raw(spark, raw_root)))
-    L.write_partitions(raw, f"{lake_root}/emails_raw", ["ingestion_date", "mailbox_type"])
-    stored = dates_filter(spark.read.parquet(f"{lake_root}/emails_raw"))
-    cls = classify_keyword(stored, rules).withColumn("classification_date", F.col("ingestion_date"))
-    L.write_partitions(cls, f"{lake_root}/emails_classified", ["classification_date", "label"])
-    classified = spark.read.parquet(f"{lake_root}/emails_classified")
-    daily = A.daily_metrics(classified, end_date, days=days)
-    L.write_daily_json(daily, f"{lake_root}/analytics/daily")
-    L.write_table(daily, f"{lake_root}/analytics_daily")
-    # post-checks from the written tables' footers (no re-run of the jobs)
-    n_raw = dates_filter(spark.read.parquet(f"{lake_root}/emails_raw")).count()
-    n_cls = dates_filter(classified.withColumn("ingestion_date", F.col("classification_date"))).count()
-    return {"ingested": n_raw, "classified": n_cls, "daily": f"{lake_root}/analytics_daily"}
+def _between(col: str, start: str, end: str):
+    return F.col(col).between(F.lit(start), F.lit(end))
+
+
+def _chain(spark: SparkSession, raw_root: str, lake_root: str, start: str, end: str, days: int,
+           rules: R.KeywordRules, mailbox_type: str | None, database: str | None) -> dict:
+    """Ingest, classify and aggregate the dates ``start..end``.
+
+    What is written is whole: the raw table by (date, mailbox), so ingesting one
+    mailbox leaves the other; the classified table by date, always from all
+    stored mailboxes of that date, so neither a mailbox nor an old label is left
+    behind; the daily table by date, so other days stay.
+    """
+    raw = L.read_raw(spark, raw_root, date=start if start == end else None, corrupt=True).where(_between("ingestion_date", start, end))
+    good, bad = L.split_corrupt(raw)
+    good = clean_raw(good)
+    if mailbox_type is not None:
+        good = good.where(F.col("mailbox_type") == F.lit(mailbox_type))
+    L.write_partitions(good, f"{lake_root}/emails_raw", ["ingestion_date", "mailbox_type"])
+    L.write_partitions(bad, f"{lake_root}/dead_letters", ["dlq_date"], fmt="json")
+
+    def stored(name, date_col):
+        path = f"{lake_root}/{name}"
+        return spark.read.parquet(path).where(_between(date_col, start, end))
+
+    messages = stored("emails_raw", "ingestion_date")
+    classified = classify_keyword(messages, rules).withColumn("classification_date", F.col("ingestion_date"))
+    L.write_partitions(classified, f"{lake_root}/emails_classified", ["classification_date"])
+    L.write_summary_json(A.run_summary(stored("emails_classified", "classification_date")), f"{lake_root}/summaries/{start}_{end}")
+
+    daily = A.daily_metrics(spark.read.parquet(f"{lake_root}/emails_classified"), end, days=days)
+    L.write_partitions(daily, f"{lake_root}/analytics_daily", ["metric_date"])
+    L.write_daily_json(spark.read.parquet(f"{lake_root}/analytics_daily").where(F.col("metric_date").between(A._shift(end, -days), end)),
+                       f"{lake_root}/analytics/daily")
+    if database:
+        L.create_tables(spark, lake_root, ["emails_raw", "emails_classified", "analytics_daily"], database=database)
+        for name in ("emails_raw", "emails_classified", "analytics_daily"):
+            L.repair_partitions(spark, f"{database}.{name}")
+    return {"ingested": messages.count(), "classified": stored("emails_classified", "classification_date").count(),
+            "daily": f"{lake_root}/analytics_daily", "summary": f"{lake_root}/summaries/{start}_{end}"}
 
 
 def run_day(spark: SparkSession, raw_root: str, lake_root: str, date: str, days: int = 30,
-            rules: R.KeywordRules = R.JOB_RULES, mailbox_type: str | None = None) -> dict:
-    """V3: ingest -> classify -> analytics for one date (optionally one
-    mailbox type). Only those partitions are rewritten (dynamic overwrite);
-    the analytics window ends at ``date``."""
-    def only(d):
-        d = d.where(F.col("ingestion_date") == F.lit(date))
-        return d if mailbox_type is None else d.where(F.col("mailbox_type") == F.lit(mailbox_type))
-
-    return _stage(spark, raw_root, lake_root, only, date, days, rules)
+            rules: R.KeywordRules = R.JOB_RULES, mailbox_type: str | None = None, database: str | None = None) -> dict:
+    """V3: ingest -> classify -> run summary -> analytics for one date. With
+    ``mailbox_type`` only that mailbox is ingested anew. With ``database`` the
+    three tables and their partitions are registered there (S9). The analytics
+    window ends at ``date``."""
+    return _chain(spark, raw_root, lake_root, date, date, days, rules, mailbox_type, database)
 
 
 def backfill(spark: SparkSession, raw_root: str, lake_root: str, start: str, end: str,
-             rules: R.KeywordRules = R.JOB_RULES) -> dict:
+             rules: R.KeywordRules = R.JOB_RULES, database: str | None = None) -> dict:
     """V4: the same chain over ``start..end`` as one job per stage (not a
     loop of daily jobs); every date in the range is rewritten, others kept."""
     import datetime as dt
 
     days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days
-    return _stage(spark, raw_root, lake_root,
-                  lambda d: d.where(F.col("ingestion_date").between(F.lit(start), F.lit(end))), end, days, rules)
+    return _chain(spark, raw_root, lake_root, start, end, days, rules, None, database)
+
+
+def raw_range(spark: SparkSession, raw_root: str) -> tuple[str, str]:
+    """First and last date of the raw folders."""
+    r = L.read_raw(spark, raw_root, corrupt=True).agg(F.min("ingestion_date"), F.max("ingestion_date")).first()
+    return r[0], r[1]
 
 
 def iso_utc(c):
@@ -98,6 +125,29 @@ def publish(df: DataFrame, servers: str, topic: str) -> None:
      .option("topic", topic).save())
 
 
+def retrain_and_register(spark: SparkSession, feedback: DataFrame, root: str, version: str, training_date: str, created_at,
+                         **options):
+    """M8 to M7: retrain on feedback, save the model (it gives labels, not class numbers) and
+    register it as champion. None if there is too little feedback, else the new registry."""
+    from sparkmail.operators import ml as ML
+    from sparkmail.operators import registry as G
+
+    model, pred = ML.retrain(feedback, **options)
+    if model is None:
+        return None
+    path = ML.save_model(model, root, version)
+    report = ML.class_report(pred.select(F.col("feedback").alias("label"), F.col("predicted_label").alias("predicted")))
+    scores = report.agg((F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy"),
+                        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"))
+    row = scores.select(F.lit(version).alias("version"), F.lit(training_date).alias("training_date"), "accuracy", "f1",
+                        F.lit(path).alias("model_path"), F.lit(created_at).cast("timestamp").alias("created_at"))
+    current = G.read_registry(spark, root)
+    has_rows = not current.isEmpty()
+    gen = spark.read.parquet(f"{root}/model_registry").agg(F.max(F.col("generation").cast("long"))).first()[0] if has_rows else 0
+    G.write_registry(G.register(current if has_rows else None, row), root, int(gen or 0) + 1)
+    return G.read_registry(spark, root)
+
+
 def train_and_register(spark: SparkSession, df: DataFrame, root: str, version: str, training_date: str,
                        created_at, promote: str = "always", metric: str = "f1", seed: int = 42, **train_args):
     """The training job end to end (M2-M5, S20, U1, V5): cross-validated fit,

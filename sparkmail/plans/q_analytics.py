@@ -213,3 +213,20 @@ FROM k
 def q_topic_share(spark, sf):
     top = A.top_topics(_events(spark, sf), k=10, by=("user_id",))
     return A.with_shares(top, shown=4, by=("user_id",))
+
+
+@query("unknown_user", sql=f"""
+WITH e AS (SELECT min(user_id) - 1 AS user_id FROM ({EV}))
+SELECT user_id, CAST(0 AS BIGINT) AS total_emails, CAST(0 AS DOUBLE) AS spam_percentage, CAST(0 AS DOUBLE) AS avg_urgency,
+       CAST(0 AS DOUBLE) AS avg_gap_hours, CAST(30 AS BIGINT) AS trend_days, CAST(168 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS volume
+FROM e
+""")
+def q_unknown_user(spark, sf):
+    """A user without mail has zeros, a zero-filled trend and an empty grid."""
+    m = _events(spark, sf)
+    user = m.agg(F.min("user_id")).first()[0] - 1
+    d = A.dashboard(m, END, user_id=user).select("user_id", "total_emails", "spam_percentage", "avg_urgency")
+    g = A.mean_gap_hours(m, user_id=user)
+    t = A.trends(m, END, 30, user_id=user).groupBy("user_id").agg(F.count(F.lit(1)).alias("trend_days"))
+    h = A.heatmap(m, user_id=user).groupBy("user_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("volume").alias("volume"))
+    return d.join(g, "user_id").join(t, "user_id").join(h, "user_id")

@@ -41,21 +41,23 @@ def q_latest_per_conv(spark, sf):
 # --- J4, P12: feedback ---------------------------------------------------------
 
 def _stored_docs(spark, sf):
-    """Classified documents stored for the English mailbox (the merge target)."""
-    return classify_mailbox(_docs(spark, sf), OBSERVED_MAILBOX).where(F.col("lang") == "en") \
+    """All classified documents (the merge target)."""
+    return classify_mailbox(_docs(spark, sf), OBSERVED_MAILBOX) \
         .select(F.col("message_id").alias("email_id"), F.col("spam_label").alias("predicted_label"))
 
 
 def _feedback(spark, sf):
     fb = feedback_from_labels(table(spark, sf, "labels"))
-    return fb.select(F.col("message_id").alias("email_id"), "corrected_label",
+    # every tenth correction is for a message that is not stored
+    eid = F.when(F.col("message_id") % 10 == 3, -F.col("message_id")).otherwise(F.col("message_id"))
+    return fb.select(eid.alias("email_id"), "corrected_label",
                      F.to_timestamp_ntz(F.lit(FB_AT)).alias("feedback_at"))
 
 
 _STORED_SQL = f"""
 st AS (SELECT message_id AS email_id, spam_label AS predicted_label
-       FROM ({sql_mailbox(OBSERVED_MAILBOX)}) WHERE lang = 'en'),
-fb AS (SELECT doc_id AS email_id, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS corrected_label FROM labels)"""
+       FROM ({sql_mailbox(OBSERVED_MAILBOX)})),
+fb AS (SELECT CASE WHEN doc_id % 10 = 3 THEN -doc_id ELSE doc_id END AS email_id, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS corrected_label FROM labels)"""
 
 
 @query("apply_feedback", sql=f"""
@@ -92,7 +94,16 @@ def q_feedback_rows(spark, sf):
 # --- J5: reclassify --------------------------------------------------------------
 
 def _changes(spark, sf):
+    """One change per labelled document, and a second one, back, an hour later for every third."""
     lb = table(spark, sf, "labels")
+    first = _first_changes(lb)
+    again = first.where(F.col("message_id") % 3 == 0).select(
+        "message_id", F.when(F.col("corrected_label") == "spam", F.lit("ham")).otherwise(F.lit("spam")).alias("corrected_label"),
+        "user_email", F.lit("again").alias("reason"), (F.col("feedback_timestamp") + F.expr("INTERVAL 1 HOUR")).alias("feedback_timestamp"))
+    return first.unionByName(again)
+
+
+def _first_changes(lb):
     label = F.when((F.col("toxic") == 1) & (F.col("quality") == 0), F.lit("Spam!")) \
         .when(F.col("toxic") == 1, F.lit("spam")).otherwise(F.lit("ham"))
     return lb.select(
@@ -103,11 +114,14 @@ def _changes(spark, sf):
 
 
 _CHANGES_SQL = f"""
-ch AS (SELECT doc_id AS message_id,
+ch1 AS (SELECT doc_id AS message_id,
               CASE WHEN toxic = 1 AND quality = 0 THEN 'Spam!' WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS corrected_label,
               'reviewer' || CAST(doc_id % 7 AS VARCHAR) || '@uni.example.edu' AS user_email,
-              CASE WHEN quality = 1 THEN 'checked' END AS reason
+              CASE WHEN quality = 1 THEN 'checked' END AS reason, '{FB_AT}' AS made_at
        FROM labels),
+ch AS (SELECT * FROM ch1 UNION ALL
+       SELECT message_id, CASE WHEN corrected_label = 'spam' THEN 'ham' ELSE 'spam' END, user_email, 'again',
+              replace('{FB_AT}', ' 00:', ' 01:') FROM ch1 WHERE message_id % 3 = 0),
 tg AS (SELECT message_id, spam_label FROM ({sql_mailbox(OBSERVED_MAILBOX)}))"""
 
 
@@ -118,8 +132,10 @@ def _reclassify(spark, sf):
 
 @query("reclassify_log", sql=f"""
 WITH {_CHANGES_SQL}
-SELECT ch.message_id, user_email, tg.spam_label AS original_label, corrected_label, reason,
-       '{FB_AT}' AS feedback_timestamp
+SELECT ch.message_id, user_email,
+       coalesce((SELECT max(b.corrected_label) FROM ch b WHERE b.message_id = ch.message_id AND b.made_at < ch.made_at
+                  AND regexp_matches(b.corrected_label, '^(spam|ham)$')), tg.spam_label) AS original_label,
+       corrected_label, reason, made_at AS feedback_timestamp
 FROM ch JOIN tg ON ch.message_id = tg.message_id WHERE regexp_matches(corrected_label, '^(spam|ham)$')
 """)
 def q_reclassify_log(spark, sf):
@@ -130,7 +146,8 @@ def q_reclassify_log(spark, sf):
 @query("reclassify_state", sql=f"""
 WITH {_CHANGES_SQL}
 SELECT tg.message_id, coalesce(ok.corrected_label, tg.spam_label) AS spam_label
-FROM tg LEFT JOIN (SELECT * FROM ch WHERE regexp_matches(corrected_label, '^(spam|ham)$')) ok
+FROM tg LEFT JOIN (SELECT message_id, arg_max(corrected_label, made_at) AS corrected_label FROM ch
+                   WHERE regexp_matches(corrected_label, '^(spam|ham)$') GROUP BY 1) ok
   ON tg.message_id = ok.message_id
 """)
 def q_reclassify_state(spark, sf):
@@ -234,6 +251,30 @@ def q_date_topic(spark, sf):
                     end="2024-01-20").select(*_MSG_COLS.split(", "))
 
 
+@query("search_backslash", sql="""
+SELECT doc_id AS message_id FROM documents WHERE contains(text, chr(92)) OR doc_id % 5 = 0
+""")
+def q_search_backslash(spark, sf):
+    """A backslash in the term is literal; % and _ are wildcards as typed."""
+    d = _docs(spark, sf).withColumn("user_id", F.lit(1)).withColumn(
+        "subject", F.when(F.col("message_id") % 5 == 0, F.lit(r"C:\mail\in")).otherwise(F.lit("other"))) \
+        .withColumn("body_preview", F.col("body"))
+    return P.search(d, text="\\").select("message_id")
+
+
+@query("serving_record", sql=f"""
+SELECT CAST(message_id AS VARCHAR) AS message_id, sender, CAST(NULL AS VARCHAR) AS sender_name, subject, body, body_preview,
+       strftime(received_at, '%Y-%m-%dT%H:%M:%S') ||
+         CASE WHEN strftime(received_at, '%f') <> '000000' THEN '.' || strftime(received_at, '%f') ELSE '' END AS timestamp,
+       spam_label, spam_score, topic, CAST(NULL AS DOUBLE) AS topic_confidence, urgency_score, sentiment_score,
+       CAST(NULL AS INTEGER) AS attachment_count, CAST(NULL AS INTEGER) AS cc_count, mailbox_type
+FROM ({EV})
+""")
+def q_serving_record(spark, sf):
+    """The sixteen served fields."""
+    return P.serving_record(_events(spark, sf))
+
+
 @query("by_id", sql=f"""
 SELECT {_MSG_COLS} FROM ({EV}) WHERE user_id = 8 AND message_id = 0 LIMIT 1
 """)

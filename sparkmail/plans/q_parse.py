@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkmail.functions import text as T
 from sparkmail.operators.parse import parse_eml, parse_nested
 from sparkmail.plans.adapters import table
-from sparkmail.plans.q_text import OBSERVED_MAILBOX, sql_mailbox
+from sparkmail.plans.q_text import OBSERVED_MAILBOX, sql_mailbox, strip_sql
 from sparkmail.plans.registry import query
 
 
@@ -55,15 +55,6 @@ def pack_conversations(conv):
                     F.struct(headers.alias("headers"), body.alias("body"), parts.alias("parts")).alias("payload"))
 
 
-_STRIP = """substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''),
-      '<script[^>]*>[\\s\\S]*?</script>', ' ', 'gi'), '<style[^>]*>[\\s\\S]*?</style>', ' ', 'gi'),
-      '<[^>]+>', ' ', 'g'), '{ws}+', ' ', 'g')), 1, 50000)"""
-
-
-def strip_sql(x: str) -> str:
-    return _STRIP.format(x=x, ws=T.WS_CLASS)
-
-
 _NESTED_SRC = f"""
 WITH t0 AS (SELECT conv_id, role AS r0, text AS x0 FROM conversations WHERE turn = 0),
 ids AS (SELECT DISTINCT conv_id FROM conversations),
@@ -79,9 +70,9 @@ m AS (SELECT 'gmail-' || CAST(ids.conv_id AS VARCHAR) AS message_id,
              CASE WHEN ids.conv_id % 5 = 0 THEN 'override' ELSE coalesce(split_part(x0, chr(10), 1), '') END AS subject,
              'agent' || CAST(ids.conv_id AS VARCHAR) || '@example.org' AS sender,
              'Agent ' || CAST(ids.conv_id AS VARCHAR) AS sender_name,
-             substring(CASE WHEN pl.plain IS NOT NULL THEN pl.plain
+             (CASE WHEN pl.plain IS NOT NULL THEN pl.plain
                             WHEN r0 = 'system' AND coalesce(x0, '') <> '' THEN x0
-                            WHEN h1.html IS NOT NULL THEN h1.html ELSE '' END, 1, 50000) AS body,
+                            WHEN h1.html IS NOT NULL THEN h1.html ELSE '' END) AS body,
              strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(ids.conv_id AS INTEGER)), '%Y-%m-%d %H:%M:%S')
                AS received_at,
              CAST(coalesce(att.n, 0) AS INTEGER) AS attachment_count,
@@ -149,7 +140,7 @@ b AS (SELECT doc_id, source,
 SELECT '<doc' || CAST(doc_id AS VARCHAR) || '@example.org>' AS message_id,
        'u' || CAST(doc_id AS VARCHAR) || '@' || source || '.example.org' AS sender,
        'Src ' || source AS sender_name, 'Doc ' || CAST(doc_id AS VARCHAR) AS subject,
-       substring(body0, 1, 50000) AS body,
+       body0 AS body,
        CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END AS attachment_count,
        CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS cc_count,
        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)), '%Y-%m-%d %H:%M:%S')

@@ -74,7 +74,7 @@ FROM ({DOCS})"""
 
 def sql_mailbox(r: R.MailboxRules, src: str = DOCS, keep: str = "message_id, subject, body, sender, lang, source") -> str:
     t = "lower(coalesce(subject, '') || ' ' || coalesce(body, '') || ' ' || coalesce(sender, ''))"
-    u = "lower(substring(coalesce(subject, '') || ' ' || coalesce(body, ''), 1, %d))" % r.urgency_chars
+    u = "lower(coalesce(subject, '') || ' ' || coalesce(body, ''))"
     dom = ("CASE WHEN strpos(coalesce(sender, ''), '@') > 0 "
            "THEN lower(reverse(split_part(reverse(sender), '@', 1))) ELSE '' END")
     hi = " + ".join(f"CAST(contains({u}, {_q(p)}) AS INTEGER)" for p in r.urgency_high) or "0"
@@ -139,15 +139,19 @@ def q_mailbox_type(spark, sf):
     return c.groupBy("mailbox_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def strip_sql(x: str) -> str:
+    """F6 as SQL, from the same patterns."""
+    out = f"coalesce({x}, '')"
+    for pattern in R.HTML_DROP_PATTERNS:
+        out = f"regexp_replace({out}, '{pattern}', ' ', 'gi')"
+    return f"trim(regexp_replace(regexp_replace({out}, '{R.HTML_TAG_PATTERN}', ' ', 'g'), '{T.WS_CLASS}+', ' ', 'g'))"
+
+
 # --- F6: HTML to text ----------------------------------------------------------
 
 @query("strip_html", sql=f"""
 SELECT page_id,
-  substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-      '<script[^>]*>[\\s\\S]*?</script>', ' ', 'gi'),
-      '<style[^>]*>[\\s\\S]*?</style>', ' ', 'gi'),
-      '<[^>]+>', ' ', 'g'),
-      '{T.WS_CLASS}+', ' ', 'g')), 1, 50000) AS text
+  {strip_sql('html')} AS text
 FROM pages""")
 def q_strip_html(spark, sf):
     p = table(spark, sf, "pages")
@@ -224,8 +228,8 @@ _WS = T.WS_CLASS
 
 @query("compose_text", sql=f"""
 SELECT message_id,
-  substring('Subject: ' || coalesce(subject, '') || chr(10) || 'From: ' || coalesce(sender, '') || chr(10) || chr(10) ||
-    regexp_replace(coalesce(nullif(body, ''), ''), '^{_WS}+|{_WS}+$', '', 'g'), 1, 120000) AS text
+  ('Subject: ' || coalesce(subject, '') || chr(10) || 'From: ' || coalesce(sender, '') || chr(10) || chr(10) ||
+    regexp_replace(coalesce(nullif(body, ''), ''), '^{_WS}+|{_WS}+$', '', 'g')) AS text
 FROM ({DOCS})""")
 def q_compose_text(spark, sf):
     d = _docs(spark, sf)

@@ -63,12 +63,15 @@ def get_spark(app: str = "sparkmail", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one
-    (under the local temp dir) when it is unset, which is the case in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    local master (as in tests) gets a temporary folder; any other master is an
+    error, since its executors would not see that folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sparkmail-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -83,15 +86,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df):
-    """Round-robin the rows over all cores when the scan yields fewer
-    partitions than there are cores (a few large row groups of long text),
-    before CPU-heavy per-row work. On a cluster-sized input the scan already
-    has more partitions and this is a no-op; the check plans but runs no job."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def stage_table(df, name: str, fmt: str = "parquet"):
     """Write ``df`` to a fresh folder under the shared checkpoint folder and
     return it read back: an intermediate used several times is computed

@@ -6,10 +6,12 @@ the folder values into columns and a filter on them prunes whole folders.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkmail import schemas as S
 
@@ -51,23 +53,69 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str =
         return spark.createDataFrame([], schema)
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_raw(spark: SparkSession, root: str, date: str | None = None, schema: StructType = S.RAW_MESSAGE,
-             multi_line: bool = False) -> DataFrame:
-    """Raw JSON messages under ``root/ingestion_date=D/mailbox_type=M``.
+             multi_line: bool = False, corrupt: bool = False) -> DataFrame:
+    """Raw JSON messages under ``root/[ingestion_date=]D/mailbox_type=M``.
+
+    Both layouts may lie side by side; ``root`` may also be one date's folder.
+    The date and the mailbox are read from the file's path, so files of a plain
+    date folder (not ``name=value``) have them too. With ``date`` only that
+    date's folders are read.
 
     A file may hold one object per line or a JSON array per line (Spark
     explodes a top-level array into rows); ``multi_line`` reads files that
-    hold one pretty-printed document. Malformed lines become null rows
-    (PERMISSIVE) instead of failing the job; ``split_bad`` separates them.
+    hold one pretty-printed document. Malformed lines do not fail the job:
+    they are left out, or with ``corrupt`` kept as rows of nulls with their
+    text in ``_corrupt_record`` (see ``split_corrupt``).
     """
-    df = read_or_empty(spark, root, schema, fmt="json", multiLine=str(multi_line).lower(),
-                       mode="PERMISSIVE")
-    if "ingestion_date" not in df.columns:
-        df = df.withColumn("ingestion_date", F.lit(None).cast("string")) \
+    base = root.rstrip("/")
+    typed = StructType([*[f for f in schema.fields if f.name not in ("ingestion_date", "mailbox_type")],
+                        StructField(CORRUPT, StringType())])
+    paths = [base]
+    if date is not None and not re.search(rf"(?:^|[/=]){re.escape(date)}$", base):
+        paths = [p for p in (f"{base}/ingestion_date={date}", f"{base}/{date}") if path_exists(spark, p)]
+    paths = [p for p in paths if path_exists(spark, p)]
+    if paths:
+        r = spark.read.schema(typed).option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE") \
+            .option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", "true")
+        df = r.json(paths)
+        # The path as a column, not partition discovery: a plain date folder holds no name=value.
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        # Spark refuses a query that needs the corrupt record alone; this one needs a second column, too.
+        first = F.substring(F.coalesce(F.col(typed.fields[0].name).cast("string"), F.lit("")), 1, 0)
+        df = df.withColumn(CORRUPT, F.concat(F.col(CORRUPT), first))
+        df = df.select("*", F.nullif(F.regexp_extract(path, DATE_FOLDER, 1), F.lit("")).alias("ingestion_date"),
+                       F.nullif(F.regexp_extract(path, r"/mailbox_type=([^/]*)/", 1), F.lit("")).alias("mailbox_type"))
+    else:
+        df = spark.createDataFrame([], typed).withColumn("ingestion_date", F.lit(None).cast("string")) \
             .withColumn("mailbox_type", F.lit(None).cast("string"))
     if date is not None:
         df = df.where(F.col("ingestion_date") == F.lit(date))
-    return df
+    return df if corrupt else df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+#: The last folder of a path that is a date, alone or as ingestion_date=.
+DATE_FOLDER = r"/(?:ingestion_date=)?(\d{4}-\d{2}-\d{2})/"
+
+
+def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S18 for raw files: ``(good, bad)`` of ``read_raw(..., corrupt=True)``; bad rows are dead letters
+    (record, reason, dlq_date), dated by their folder."""
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull()).select(
+        F.col(CORRUPT).alias("record"), F.lit("malformed json").alias("reason"), F.col("ingestion_date").alias("dlq_date"))
+    return good, bad
+
+
+def read_day_document(spark: SparkSession, root: str, date: str, schema: StructType = S.DAILY) -> DataFrame:
+    """The JSON document ``root/<date>.json``, an object or an array of objects; no such file gives no rows."""
+    path = f"{root.rstrip('/')}/{date}.json"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
 def read_partition(spark: SparkSession, root: str, date: str, mailbox_type: str | None = None,
@@ -142,7 +190,8 @@ def read_daily(spark: SparkSession, root: str, start: str, end: str) -> DataFram
 
 def write_daily_json(daily: DataFrame, root: str) -> None:
     """One JSON document per day, written by the executors
-    (``metric_date=D/part-*.json``); maps and arrays stay JSON objects."""
+    (``metric_date=D/part-*.json``); maps and arrays stay JSON objects. Days that
+    ``daily`` does not have keep their documents."""
     daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("metric_date").json(root)
 
@@ -184,14 +233,14 @@ DDL = {
                           "received_at TIMESTAMP, spam_label STRING, spam_score DOUBLE, topic STRING, "
                           "topic_confidence DOUBLE, urgency_score DOUBLE, sentiment_score DOUBLE, "
                           "ingestion_date STRING, mailbox_type STRING, classification_date STRING, label STRING",
-                          "parquet", "classification_date, label"),
+                          "parquet", "classification_date"),
     "email_features": ("message_id STRING, label STRING, topic STRING, subject_tf_idf ARRAY<DOUBLE>, "
                        "body_tf_idf ARRAY<DOUBLE>, sender_domain STRING, received_at TIMESTAMP, "
                        "training_date STRING", "orc", None),
     "analytics_daily": ("metric_date STRING, daily_volume BIGINT, spam_count BIGINT, spam_rate DOUBLE, "
                         "ham_count BIGINT, topic_distribution MAP<STRING, BIGINT>, avg_urgency_score DOUBLE, "
                         "top_senders_by_domain ARRAY<STRUCT<domain: STRING, count: BIGINT>>, "
-                        "updated_at TIMESTAMP", "parquet", None),
+                        "updated_at TIMESTAMP", "parquet", "metric_date"),
     "model_registry": ("version STRING, training_date STRING, accuracy DOUBLE, f1 DOUBLE, model_path STRING, "
                        "is_champion BOOLEAN, created_at TIMESTAMP", "parquet", None),
 }

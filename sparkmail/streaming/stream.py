@@ -20,7 +20,7 @@ from sparkmail import schemas as S
 from sparkmail.functions import rules as R
 from sparkmail.functions.classify import classify_keyword
 from sparkmail.functions.text import parse_iso_ts, source_tag
-from sparkmail.operators.merge import first_per_key
+from sparkmail.operators.merge import apply_feedback, first_per_key
 from sparkmail.sources.lake import read_or_empty
 
 CORRUPT = "_corrupt_record"
@@ -29,15 +29,16 @@ CORRUPT = "_corrupt_record"
 # --- sources ---------------------------------------------------------------------
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str = "earliest",
-                 max_offsets: int | None = 500) -> DataFrame:
+                 max_offsets: int | None = None, fail_on_data_loss: bool = True) -> DataFrame:
     """Subscribe to ``topic``; ``value`` decoded to text.
 
-    ``maxOffsetsPerTrigger`` bounds a micro-batch (the reference's 500-row
-    flush and backpressure). Needs the spark-sql-kafka package on the
-    cluster's classpath."""
+    Each micro-batch takes all there is, unless ``max_offsets`` bounds it
+    (backpressure). Offsets that the broker has lost stop the stream, unless
+    ``fail_on_data_loss`` is false. Needs the spark-sql-kafka package on
+    the cluster's classpath."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
          .option("subscribe", topic).option("startingOffsets", starting)
-         .option("failOnDataLoss", "false"))
+         .option("failOnDataLoss", str(fail_on_data_loss).lower()))
     if max_offsets:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets))
     return r.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
@@ -108,8 +109,8 @@ def model_labeler(registry_root: str, fallback: Callable[[DataFrame], DataFrame]
         if model is None:
             return (fallback or rule_labeler())(df)
         out = model.transform(df)
-        pred = F.col("predicted_label") if "predicted_label" in out.columns else \
-            F.when(F.col("prediction") == 1.0, F.lit("spam")).otherwise(F.lit("ham"))
+        # The saved pipelines end in labels; another model's class is stored as it is.
+        pred = F.col("predicted_label") if "predicted_label" in out.columns else F.col("prediction").cast("string")
         return out.withColumn("predicted_label", pred) \
             .withColumn("confidence", F.array_max(vector_to_array("probability")).cast("float")) \
             .select(*df.columns, "predicted_label", "confidence")
@@ -124,11 +125,6 @@ def to_results(df: DataFrame) -> DataFrame:
                      source_tag(F.col("pipeline_source")).alias("pipeline_source"))
 
 
-# Micro-batch key sets up to this many rows are broadcast when probing the
-# sink for ids already stored (the count is taken on the cached batch).
-BROADCAST_KEYS_MAX = 2_000_000
-
-
 def classify_batch(batch: DataFrame, batch_id: int, sink: str, dlq: str,
                    labeler: Callable[[DataFrame], DataFrame], key: str = "email_id") -> None:
     """One micro-batch of T3-T5 (also usable on a static DataFrame).
@@ -138,9 +134,9 @@ def classify_batch(batch: DataFrame, batch_id: int, sink: str, dlq: str,
     dead-letter folder.
 
     The all-time check probes the sink's id column with the batch's keys
-    (a left-semi join): when the batch has at most ``BROADCAST_KEYS_MAX``
-    keys they are broadcast, so the stored ids are scanned once in place and
-    never shuffled; a larger batch falls back to a shuffled join.
+    (a left-semi join). AQE broadcasts the batch's keys when it has measured
+    them to be small, so that the stored ids are scanned in place, and joins
+    by shuffle otherwise.
     """
     spark = batch.sparkSession
     parsed = decode(batch).persist()
@@ -152,10 +148,7 @@ def classify_batch(batch: DataFrame, batch_id: int, sink: str, dlq: str,
                                                          StructField("batch_id", StringType())]))
         if "batch_id" in stored.columns:
             stored = stored.where(F.col("batch_id") != F.lit(str(batch_id)))
-        keys = fresh.select(key)
-        if fresh.count() <= BROADCAST_KEYS_MAX:
-            keys = F.broadcast(keys)
-        seen = stored.select(key).join(keys, key, "left_semi")
+        seen = stored.select(key).join(fresh.select(key), key, "left_semi")
         new = fresh.join(seen, key, "left_anti")
         to_results(labeler(new)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         bad.write.mode("overwrite").partitionBy("dlq_date").json(f"{dlq}/batch_id={batch_id}")
@@ -274,14 +267,18 @@ def running_totals(sdf: DataFrame) -> DataFrame:
 # --- T7: emit the latest rows when they change ---------------------------------------------
 
 def emit_if_changed(spark: SparkSession, batch_rows: DataFrame, out: str, state: str, batch_id: int,
-                    limit: int = 100) -> bool:
+                    limit: int = 100, corrections: DataFrame | None = None) -> bool:
     """T7 step, incremental: the newest ``limit`` rows of an append-only
     table equal the newest ``limit`` of (previous top ∪ this batch's rows),
     so each micro-batch reads only its own rows and the previous top (at
     most ``limit`` rows), never the whole table. The new top and its
     fingerprint are kept in ``state/batch_id=N``; the snapshot is appended to
     ``out`` only when the fingerprint changed. Only a one-row fingerprint
-    reaches the driver."""
+    reaches the driver.
+
+    ``corrections`` (email_id, corrected_label, feedback_at) are all human
+    corrections so far; the newest of a shown row is its feedback, so a
+    correction changes the fingerprint and the snapshot is emitted anew."""
     from sparkmail.operators.paging import latest
 
     cols = [f.name for f in S.STREAM_RESULT.fields]
@@ -289,6 +286,8 @@ def emit_if_changed(spark: SparkSession, batch_rows: DataFrame, out: str, state:
     prev = read_or_empty(spark, prev_path, StructType(list(S.STREAM_RESULT.fields) + [StructField("fp", StringType())]))
     prev_fp = prev.select("fp").first() if batch_id > 0 else None
     top = latest(prev.select(*cols).unionByName(batch_rows.select(*cols)), limit=limit)
+    if corrections is not None:
+        top = apply_feedback(top, corrections)[0].select(*cols)
     fp = F.concat_ws(":", F.bit_xor(F.xxhash64("email_id", "predicted_label", "feedback")).cast("string"),
                      F.count(F.lit(1)).cast("string"))
     top = top.withColumn("fp", top.agg(fp).scalar())
@@ -303,16 +302,18 @@ def emit_if_changed(spark: SparkSession, batch_rows: DataFrame, out: str, state:
 
 
 def emit_on_change(source: DataFrame, sink: str, dlq: str, out: str, state: str, checkpoint: str,
-                   limit: int = 100, labeler=None, trigger: dict | None = None, key: str = "email_id"):
+                   limit: int = 100, labeler=None, trigger: dict | None = None, key: str = "email_id", corrections=None):
     """T7 on a stream: store each micro-batch (T3-T5 with state dedup), then
-    emit the latest ``limit`` rows if they changed."""
+    emit the latest ``limit`` rows if they changed. ``corrections(spark)`` gives
+    the table of human corrections as it is at that micro-batch."""
     lab = labeler or rule_labeler()
     trig = trigger or {"processingTime": "1 second"}
 
     def step(b, i):
         store_batch(b, i, sink, lab)
         spark = b.sparkSession
-        emit_if_changed(spark, spark.read.parquet(f"{sink}/batch_id={i}"), out, state, i, limit)
+        emit_if_changed(spark, spark.read.parquet(f"{sink}/batch_id={i}"), out, state, i, limit,
+                        corrections(spark) if corrections else None)
 
     good, bad = split_bad(decode(source))
     q_good = (good.dropDuplicates([key]).writeStream.option("checkpointLocation", f"{checkpoint}/good")

@@ -1,5 +1,7 @@
 """Rule classifiers and labels."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sparkmail import schemas as S
@@ -71,7 +73,7 @@ def test_mailbox_type_by_domain_contains(spark):
 
 def _urgency(subject, body):
     """Reference behaviour, written out: base .3, +.35 per high, +.2 per medium."""
-    text = (subject + " " + (body or ""))[:10000].lower()
+    text = (subject + " " + (body or "")).lower()
     score = 0.3
     for p in R.URGENCY_HIGH:
         if p in text:
@@ -89,10 +91,12 @@ def test_urgency_matches_reference_rule(spark):
     assert got == [_urgency(s, b) for s, b, _ in rows]
 
 
-def test_urgency_reads_first_10000_chars(spark):
+def test_urgency_reads_whole_texts_unless_limited(spark):
     body = "x" * 10005 + " urgent"
-    r = _msgs(spark, [("", body, "")]).select(urgency(F.col("subject"), F.col("body"))).first()[0]
-    assert r == 0.3
+    limited = replace(R.MAILBOX_RULES, urgency_chars=R.URGENCY_MAX_CHARS)
+    r = _msgs(spark, [("", body, "")]).select(urgency(F.col("subject"), F.col("body")),
+                                              urgency(F.col("subject"), F.col("body"), limited)).first()
+    assert tuple(r) == (0.65, 0.3)
 
 
 def test_topic_category_substring_rules(spark):

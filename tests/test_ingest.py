@@ -117,8 +117,45 @@ def test_partition_pruning_in_plan(spark, tmp):
     df = spark.createDataFrame([("1", "2026-01-15", "faculty"), ("2", "2026-01-16", "faculty")],
                                "message_id string, ingestion_date string, mailbox_type string")
     L.write_raw_table(df, os.path.join(tmp, "raw"))
-    plan = L.read_raw(spark, os.path.join(tmp, "raw"), "2026-01-15")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ingestion_date" in plan
+    files = L.read_raw(spark, os.path.join(tmp, "raw"), "2026-01-15").inputFiles()
+    assert files and all("ingestion_date=2026-01-15" in f for f in files)
+
+
+def test_raw_layouts_and_malformed_lines(spark, tmp):
+    """Plain date folders, one folder of a date, pretty documents, arrays and cut lines."""
+    root = os.path.join(tmp, "raw")
+    for folder, name, text in (("2026-01-15/mailbox_type=personal", "a.json", '[{"message_id": "1"}, {"message_id": "2"}]'),
+                               ("2026-01-15/mailbox_type=faculty", "b.json", '{"message_id": "3"}\n{"message_id": "4", "su'),
+                               ("ingestion_date=2026-01-16/mailbox_type=faculty", "c.json", '{"message_id": "5"}')):
+        os.makedirs(os.path.join(root, folder), exist_ok=True)
+        with open(os.path.join(root, folder, name), "w") as f:
+            f.write(text)
+    def rows(df):
+        return sorted((r.message_id, r.ingestion_date, r.mailbox_type) for r in df.collect())
+    first = [("1", "2026-01-15", "personal"), ("2", "2026-01-15", "personal"), ("3", "2026-01-15", "faculty")]
+    assert rows(L.read_raw(spark, root)) == [*first, ("5", "2026-01-16", "faculty")]
+    assert rows(L.read_raw(spark, root, "2026-01-15")) == first
+    assert rows(L.read_raw(spark, f"{root}/2026-01-15", "2026-01-15")) == first
+    assert L.read_raw(spark, root, "2026-01-17").count() == 0 and L.read_raw(spark, root + "/none").count() == 0
+    good, bad = L.split_corrupt(L.read_raw(spark, root, corrupt=True))
+    assert good.count() == 4
+    assert [tuple(r) for r in bad.collect()] == [('{"message_id": "4", "su', "malformed json", "2026-01-15")]
+
+
+def test_day_document(spark, tmp):
+    for name, text in (("2026-01-15", '{"metric_date": "2026-01-15",\n "daily_volume": 3}'), ("2026-01-16", '[{"metric_date": "2026-01-16"}]')):
+        with open(os.path.join(tmp, name + ".json"), "w") as f:
+            f.write(text)
+    assert [r.daily_volume for r in L.read_day_document(spark, tmp, "2026-01-15").collect()] == [3]
+    assert [r.metric_date for r in L.read_day_document(spark, tmp, "2026-01-16").collect()] == ["2026-01-16"]
+    assert L.read_day_document(spark, tmp, "2026-01-17").count() == 0
+
+
+def test_read_features_falls_back(spark, tmp):
+    spark.range(3).write.parquet(tmp + "/classified")
+    assert L.read_features(spark, tmp + "/features", tmp + "/classified").count() == 3
+    spark.range(2).write.orc(tmp + "/features")
+    assert L.read_features(spark, tmp + "/features", tmp + "/classified").count() == 2
 
 
 def test_read_partition(spark, tmp):

@@ -115,8 +115,23 @@ def test_search_pushes_filters_to_parquet(spark, tmp):
 
 
 def test_serving_record(spark):
-    r = P.serving_record(_mail(spark).withColumn("urgency_score", F.lit(0.5))).orderBy("id").first()
-    assert r["id"] == "0" and r["received_at"] == "2026-01-01T00:00:00"
+    r = P.serving_record(_mail(spark).withColumn("urgency_score", F.lit(0.5))).orderBy("message_id").first()
+    assert r["message_id"] == "0" and r["timestamp"] == "2026-01-01T00:00:00" and r["sender_name"] is None
+    assert len(r) == 16
+
+
+def test_reclassify_logs_each_replaced_label(spark):
+    target = spark.createDataFrame([(1, "ham")], "message_id long, spam_label string")
+    changes = spark.createDataFrame([(1, "spam", "u", None, "2026-01-01"), (1, "ham", "u", None, "2026-01-02")],
+                                    "message_id long, corrected_label string, user_email string, reason string, feedback_timestamp string")
+    new, log, _ = M.reclassify(target, changes)
+    assert sorted((r.original_label, r.corrected_label) for r in log.collect()) == [("ham", "spam"), ("spam", "ham")]
+    assert new.first().spam_label == "ham"
+
+
+def test_search_takes_a_backslash_literally(spark):
+    d = spark.createDataFrame([(1, "a\\b", None), (2, "ab", None)], "message_id long, subject string, body_preview string")
+    assert [r.message_id for r in P.search(d, text="\\").collect()] == [1]
 
 
 def test_bucketed_target_is_not_shuffled(spark, tmp):

@@ -24,7 +24,7 @@ def _col(spark, values, fn):
     return [r[0] for r in df.select(fn(F.col("s"))).collect()]
 
 
-def _py_strip_html(text, max_len=50000):
+def _py_strip_html(text, max_len=None):
     if not text:
         return ""
     text = re.sub(r"<script[^>]*>[\s\S]*?</script>", " ", text, flags=re.IGNORECASE)
@@ -34,7 +34,7 @@ def _py_strip_html(text, max_len=50000):
 
 
 def _py_urgency(subject, body):
-    text = (subject + " " + (body or ""))[:10000].lower()
+    text = (subject + " " + (body or "")).lower()
     score = 0.3
     for p in R.URGENCY_HIGH:
         if p in text:

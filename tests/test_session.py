@@ -26,13 +26,6 @@ def test_apply_conf_sets_runtime_settings(spark):
         assert spark.conf.get(k) == v
 
 
-def test_spread_only_when_fewer_partitions_than_cores(spark):
-    few = spark.range(10).coalesce(1)
-    assert SS.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(10).repartition(spark.sparkContext.defaultParallelism + 2)
-    assert SS.spread(many) is many
-
-
 def test_ensure_shipped_once(spark):
     SS.ensure_shipped(spark)
     SS.ensure_shipped(spark)
