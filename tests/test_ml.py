@@ -85,7 +85,7 @@ def test_train_and_predict_pipeline(spark):
     docs = spark.createDataFrame([("winner prize",), ("   ",)], "text string")
     pred, bad = ML.predict(docs, model)
     r = pred.first()
-    assert r["predicted"] == 1.0 and 0.5 < r["confidence"] <= 1.0
+    assert r["predicted"] == "spam" and 0.5 < r["confidence"] <= 1.0
     assert bad.count() == 1
 
 
