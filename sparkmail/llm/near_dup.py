@@ -9,7 +9,7 @@ and not with their square; pairs are confirmed on the full sets.
 
 A star can miss a link between two members of which neither is its centre.
 So buckets that still hold several components are split by further bands,
-with new stars, until two rounds in a row find no new link; buckets whose members are
+with new stars, until a round finds no new link; buckets whose members are
 all in one component need no more pairs. What can still be lost is a document
 whose only link is just above the threshold, inside a large group of which
 it resembles very many members just below it (see the test of that case).
@@ -31,8 +31,9 @@ from sparkmail.session import stage_table
 BANDS, ROWS = 25, 5
 #: Further bands by which an unresolved bucket is split each round.
 SPLIT = 2
-#: Rounds without a new link after which no more are tried.
-BARREN = 2
+#: Rounds of splitting at most; a bucket then agrees in 1 + LEVELS bands. They end earlier, after a
+#: round without a new link.
+LEVELS = 4
 
 
 def _longs(values) -> np.ndarray:
@@ -75,23 +76,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                                               pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
 
     one, two = (texts.select(F.col("id").alias(i), F.col("text").alias(f"text_{i}")) for i in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return one.join(if_small(pairs), "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def stars(members: DataFrame, more: bool) -> DataFrame:
+def stars(members: DataFrame, by_weight: bool) -> DataFrame:
     """(a, b), a < b: each member of a bucket (key, rep, weight, label) of several components with
-    the bucket's centre: the member with the largest weight, i.e. the one that shares buckets with the
-    most others. With ``more``, also with the lightest and with two that a hash of the id picks."""
-    weight = F.col("weight") * F.lit(2.0**20) + F.pmod(F.xxhash64("rep"), F.lit(2**20))
-    picked = [F.max_by("rep", weight), F.min_by("rep", weight), F.max_by("rep", F.xxhash64("rep")),
-              F.min_by("rep", F.xxhash64("rep"))][:4 if more else 1]
-    hubs = members.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"),
-                                      *[f.alias(f"c{i}") for i, f in enumerate(picked)]).where("l0 < l1")
-    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(len(picked))]))).alias("c"),
-                       F.col("l0"))
-    centre = members.select("key", F.col("rep").alias("c"), F.col("label").alias("centre_label"))
-    found = members.join(hubs.join(centre, ["key", "c"]), "key").where("label <> centre_label")
-    return found.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    the bucket's centre, unless both are in one component. The centre is the member with the largest
+    weight, i.e. the one that shares buckets with the most others, or else one that a hash picks,
+    another one in each bucket."""
+    chance = F.xxhash64("rep", "key")
+    order = F.col("weight") * F.lit(2.0**20) + F.pmod(chance, F.lit(2**20)) if by_weight else chance
+    hubs = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", order).alias("c"),
+                                      F.max_by("label", order).alias("centre_label")).where("low < high")
+    return members.join(hubs, "key").where("label <> centre_label") \
+        .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -112,58 +110,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sk = stage_table(sketch(docs, id_col, text_col, size, bands, rows), "near-dup-sketch")
     same = ["n", "key1", "key2"]
+    # A row's class; an id that has rows in several classes links them.
     classes = sk.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"))
-    classes = stage_table(classes, "near-dup-classes")
-    reps = sk.withColumnRenamed("id", "rep").join(classes, ["rep", *same], "left_semi").select("rep", "bands")
-    reps = stage_table(reps, "near-dup-reps")
+    own = stage_table(sk.join(classes, same, "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")),
+                      "near-dup-own")
+    hubs = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
+    hubs = stage_table(hubs, "near-dup-ids")
+    links = own.join(hubs, "id").where("a < rep").select("a", F.col("rep").alias("b")) if hubs.limit(1).count() else None
 
-    # Level 0: one bucket per band key; only buckets with several classes go on.
+    # Level 0: one bucket per band key; only buckets with several classes go on, each member
+    # with the keys of the bands after its own, by which its bucket may be split later.
+    reps = stage_table(own.where("bands is not null").select("rep", "bands").dropDuplicates(["rep"]), "near-dup-reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("c0"), F.max("rep").alias("c1"), F.count("*").alias("m")) \
         .where("c0 < c1").select("key", "m")
-    members = stage_table(members.join(shared, "key"), "near-dup-members")
+    after = F.transform(F.sequence(F.lit(1), F.lit(SPLIT * LEVELS)), lambda i: F.get("bands", F.pmod(F.col("band") + i, F.lit(bands))))
+    members = stage_table(members.join(shared, "key").join(reps, "rep").select("rep", "key", "m", after.alias("next")), "near-dup-members")
     weights = stage_table(members.groupBy("rep").agg(F.sum("m").alias("weight")), "near-dup-weights")
     members = members.drop("m")
-    wanted = stage_table(members.select(F.col("rep").alias("id")).distinct(), "near-dup-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
-        .where("id is not null and text is not null").join(if_small(wanted), "id", "left_semi")
+        .where("id is not null and text is not null") \
+        .join(if_small(weights.select(F.col("rep").alias("id"))), "id", "left_semi")
     texts = stage_table(texts, "near-dup-texts")
 
-    # A row's class; an id that has rows in several classes links them.
-    own = stage_table(sk.select("id", *same).join(classes, same, "left").select("id", "n", "rep"), "near-dup-own")
-    hubs = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
-    same_id = stage_table(own.join(hubs, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "near-dup-ids")
-
-    links, tested, rounds = same_id, None, []
-    labels = wanted.select("id", F.col("id").alias("label"))
-    while True:
-        level = members.join(labels.withColumnRenamed("id", "rep").join(weights, "rep"), "rep")
-        pairs = stars(level, tested is not None)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "near-dup-pairs")
+    linked, tested = None, None
+    labels = weights.withColumn("label", F.col("rep"))
+    for level in range(LEVELS + 1):
+        placed = members.join(if_small(labels), "rep")
+        pairs = stars(placed, by_weight=level == 0)
+        pairs = stage_table(pairs.join(if_small(tested), ["a", "b"], "left_anti") if level else pairs, "near-dup-pairs")
         found = stage_table(confirm(pairs, texts, size, percent), "near-dup-links")
-        rounds.append(found.count())
-        if not any(rounds[-BARREN:]) and len(rounds) > BARREN:
+        tested = tested.unionByName(pairs) if level else pairs
+        if not found.limit(1).count() and (level or links is None):
+            break
+        # The components so far stand for the links that made them.
+        links = found if links is None else links.unionByName(found)
+        linked = stage_table(components(links), "near-dup-linked")
+        links = linked.select(F.col("label").alias("a"), F.col("id").alias("b"))
+        labels = weights.join(linked.withColumnRenamed("id", "rep"), "rep", "left") \
+            .select("rep", "weight", F.coalesce("label", "rep").alias("label"))
+        labels = stage_table(labels, "near-dup-labels")
+        if level == LEVELS:
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(found)
-        linked = components(links)
-        labels = stage_table(wanted.join(linked, "id", "left").select("id", F.coalesce("label", "id").alias("label")),
-                             "near-dup-labels")
         # Buckets of several components in which not every pair was tried: split by the next bands.
-        level = members.join(labels.withColumnRenamed("id", "rep"), "rep")
-        mixed = level.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")) \
-            .where(f"l0 < l1 and m > {2 if len(rounds) == 1 else 4}").select("key")
-        split = members.join(mixed, "key").join(reps, "rep") \
-            .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(SPLIT)))) \
-            .withColumn("next", F.pmod(F.col("band") + F.col("step"), F.lit(bands))) \
-            .select("rep", F.col("next").alias("band"),
-                    F.col("key").bitwiseXOR(F.xxhash64(F.get("bands", F.col("next")), F.lit(1))).alias("key"))
-        members = stage_table(split.distinct(), "near-dup-members")
+        placed = members.join(if_small(labels), "rep")
+        mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")) \
+            .where("low < high and m > 2").select("key")
+        mixed = stage_table(mixed, "near-dup-mixed")
+        split = members.join(if_small(mixed), "key").select("rep", "key", "next", F.explode(F.sequence(F.lit(1), F.lit(SPLIT))).alias("step")) \
+            .select("rep", F.col("key").bitwiseXOR(F.xxhash64(F.element_at("next", F.col("step")), F.lit(1))).alias("key"),
+                    F.slice("next", F.col("step") + 1, F.size("next")).alias("next"))
+        members = stage_table(split, "near-dup-members")
         if not members.limit(1).count():
             break
+    if linked is None:
+        linked = own.select(F.col("rep").alias("id"), F.col("rep").alias("label")).limit(0)
     return own.join(linked.withColumnRenamed("id", "rep"), "rep", "left") \
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id")) \
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id"))) \
         .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, that with the smallest id, all columns as they are. Rows
+    with a null id stay, and so do all rows that repeat a kept id. Options as in ``near_duplicates``."""
+    found = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("id").alias("_id")).distinct()
+    found = stage_table(found, "near-dup-dropped")
+    return docs.join(if_small(found), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
