@@ -167,3 +167,40 @@ def test_train_and_register_flow(spark, tmp):
     # same data, same metric: not better, so version 1 stays champion
     assert reg.count() == 2 and G.champion(reg).first()["version"] == "1"
     assert G.load_champion(spark, tmp) is not None
+
+
+def test_retrain_weights_follow_the_smoothed_idf(spark):
+    """Term weights are ln((1 + n) / (1 + df)) + 1; no vocabulary limit; hashing is opt-in."""
+    import math
+
+    rows = [("cat dog", "a"), ("cat cat", "b"), ("cat bird", "a"), ("cat fish", "b"), ("cat dog", "c")]
+    fb = spark.createDataFrame(rows, "text string, feedback string")
+    model, _ = ML.retrain(fb)
+    terms = model.stages[1].vocabulary
+    weights = dict(zip(terms, model.stages[2].getScalingVec().toArray()))
+    df = {"cat": 5, "dog": 2, "bird": 1, "fish": 1}
+    assert weights == pytest.approx({t: math.log(6 / (1 + n)) + 1 for t, n in df.items()})
+    hashed, pred = ML.retrain(fb, num_features=32)
+    assert {r.predicted_label for r in pred.collect()} <= {"a", "b", "c"}
+
+
+def test_split_does_not_depend_on_partitions(spark):
+    df = spark.range(500).withColumnRenamed("id", "message_id")
+    a = {r[0] for r in ML.split(df.repartition(3), 0.2, 7)[1].collect()}
+    b = {r[0] for r in ML.split(df.coalesce(1), 0.2, 7)[1].collect()}
+    assert a == b and 60 < len(a) < 140
+
+
+def test_training_input_is_computed_once(spark):
+    """The five folds and two settings read a staged table, not the plan of the input."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = [(i, ("winner prize " if i % 2 else "agenda notes ") + str(i), float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "message_id long, text string, label double").mapInPandas(count, "message_id long, text string, label double")
+    ML.train(df, seed=1, folds=2, grid=(0.01, 0.1), parallelism=1)
+    assert seen.value == 40

@@ -127,3 +127,30 @@ def test_complete_to_table(spark, tmp):
     _run(ST.complete_to_table(ST.running_totals(sdf), os.path.join(tmp, "out"), os.path.join(tmp, "ck"), NOW))
     r = ST.read_latest(spark, os.path.join(tmp, "out")).first()
     assert (r["total_emails"], r["spam_count"]) == (3, 2)
+
+
+def test_three_class_champion_is_served_by_its_labels(spark, tmp):
+    from sparkmail.plans.flows import retrain_and_register
+
+    rows = [(f"{w} {i}", c) for c, w in (("ham", "agenda meeting notes"), ("phish", "password account verify"), ("spam", "winner prize claim"))
+            for i in range(4)]
+    fb = spark.createDataFrame(rows, "text string, feedback string")
+    reg = retrain_and_register(spark, fb, tmp, "1", "2026-01-15", dt.datetime(2026, 1, 15))
+    assert [r.is_champion for r in reg.collect()] == [True]
+    src, sink, dlq, ck = (os.path.join(tmp, x) for x in ("in", "sink", "dlq", "ck"))
+    _write_lines(src, "a.json", [_ev(1, "winner prize claim"), _ev(2, "verify password account"), _ev(3, "meeting agenda notes")])
+    _run(ST.stream_classify(ST.file_source(spark, src), sink, dlq, ck, ST.model_labeler(tmp), NOW))
+    assert {r.email_id: r.predicted_label for r in spark.read.parquet(sink).collect()} == {"e1": "spam", "e2": "phish", "e3": "ham"}
+
+
+def test_correction_emits_a_new_snapshot(spark, tmp):
+    out, state = os.path.join(tmp, "out"), os.path.join(tmp, "state")
+    rows = ST.to_results(spark.createDataFrame([("e1", "t", "ham", 0.9, dt.datetime(2026, 1, 15), "m")],
+                                               "email_id string, text string, predicted_label string, confidence double, timestamp timestamp, pipeline_source string"))
+    none = rows.limit(0)
+    fix = spark.createDataFrame([("e1", "spam", dt.datetime(2026, 1, 16))], "email_id string, corrected_label string, feedback_at timestamp")
+    assert ST.emit_if_changed(spark, rows, out, state, 0, corrections=fix.limit(0))
+    assert not ST.emit_if_changed(spark, none, out, state, 1, corrections=fix.limit(0))
+    assert ST.emit_if_changed(spark, none, out, state, 2, corrections=fix)
+    assert not ST.emit_if_changed(spark, none, out, state, 3, corrections=fix)
+    assert [r.feedback for r in spark.read.parquet(out + "/batch_id=2").collect()] == ["spam"]
