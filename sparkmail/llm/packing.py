@@ -10,7 +10,10 @@ below them, so the first bin that a piece fits is found by one descent.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,23 +29,26 @@ from sparkmail.session import stage_table
 GROUP = 4096
 
 
-def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of each document's ids, ``end_id`` included."""
-    def run(batches):
-        import os
+@lru_cache(maxsize=1)
+def id_table(tokenizer: str) -> tuple[Splitter, IdTable]:
+    """What a Python worker knows of a tokenizer; kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path(tokenizer))
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def learn(new):
+        ids = [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(size.sum()))
 
-        library = Tokenizer.from_file(tokenizer_path(tokenizer))
-        split = Splitter(tokenizer)
+    return Splitter(tokenizer), IdTable(learn)
 
-        def learn(new):
-            ids = [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            return size, np.array([x for one in ids for x in one], dtype="<u4")
 
-        table = IdTable(learn)
+def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length: int, end_id: int) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of each document's ids, ``end_id`` included."""
+    def run(batches):
+        split, table = id_table(tokenizer)
         for batch in batches:
             pieces = [split(t or "") for t in batch.column(1).to_pylist()]
             table.add(pieces)
@@ -51,7 +57,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, leng
                 ids = np.append(table.ids(own), np.array([end_id], dtype="<u4"))
                 for at in range(0, len(ids), length):
                     piece = ids[at:at + length]
-                    out.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                    out.append((doc, at, len(piece), zlib.crc32(piece), len(ids)))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

@@ -59,7 +59,7 @@ class PieceTable:
     """piece -> row number; ``learn`` is given the new pieces and returns their values as a list of
     arrays, one entry per piece in each. Emptied when it holds more than ``limit`` pieces."""
 
-    def __init__(self, learn, limit: int = 300_000):
+    def __init__(self, learn, limit: int = 1_000_000):
         self.learn, self.limit = learn, limit
         self.rows: dict[str, int] = {}
         self.values = None

@@ -8,6 +8,8 @@ number of symbols. No tokenizer library takes part.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +84,15 @@ class Merges:
         return left
 
 
+@lru_cache(maxsize=1)
+def count_table(tokenizer: str) -> tuple[Splitter, PieceTable]:
+    """What a Python worker knows of a tokenizer; kept from task to task."""
+    split = Splitter(tokenizer)
+    merges = Merges(split.spec)
+    return split, PieceTable(lambda new: [np.array([1 if p in split.added else n for p, n in zip(
+        new, merges.counts([p.encode() for p in new]).tolist())])])
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row: UTF-8 bytes and tokens of the whole text.
 
@@ -89,13 +100,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     default; nothing is added, cut or padded. Null and empty texts have 0 and
     0. Repeated rows and null ids stay as they are; an empty table gives an
     empty result; other columns are not read. Per Python worker the counts of
-    300,000 pre-tokens are kept.
+    a million pre-tokens are kept.
     """
     def run(batches):
-        split = Splitter(tokenizer)
-        merges = Merges(split.spec)
-        table = PieceTable(lambda new: [np.array([1 if p in split.added else n for p, n in zip(
-            new, merges.counts([p.encode() for p in new]).tolist())])])
+        split, table = count_table(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             pieces = [split(t) for t in texts]
