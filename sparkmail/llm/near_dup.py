@@ -1,18 +1,18 @@
-"""Near-duplicate documents by one-permutation MinHash.
-
-A document is the set of its hashed word shingles. One hash of the set is
-cut into bins (one permutation), empty bins borrow by optimal densification,
-and the bins make bands. Documents with equal sets are one class, and only
-the classes' smallest ids go on. In each band bucket every member is paired
-with the bucket's smallest id only (a star), so pairs grow with the members
-and not with their square; pairs are confirmed on the full sets.
-
-A star can miss a link between two members of which neither is its centre.
-So buckets that still hold several components are split by further bands,
-with new stars, until a round finds no new link; buckets whose members are
-all in one component need no more pairs. What can still be lost is a document
-whose only link is just above the threshold, inside a large group of which
-it resembles very many members just below it (see the test of that case).
+"""Near-duplicate documents, exactly, by prefix filtering.
+
+A document is the set of its hashed word shingles. Documents with equal sets
+are one class, and only the classes' smallest ids go on. The shingles of all
+sets are put into one order, rare ones first. Two sets that are similar
+enough must then have a shingle in common among the first few of each
+(the prefix), so every link is between two members of one prefix shingle's
+bucket, and shingles of a template or passage that many documents share come
+last and make no bucket. Pairs are confirmed on the full sets.
+
+Only the components of the links are wanted. So stars (each member with one
+centre of its bucket) join large groups of similar documents first, with pairs
+that grow with the members and not with their square. Then every pair of a
+bucket whose members are still in different components is tried: no link
+is left out.
 """
 
 from __future__ import annotations
@@ -27,36 +27,88 @@ from sparkmail.llm.common import if_small, python_ready
 from sparkmail.llm.components import components
 from sparkmail.session import stage_table
 
-#: 25 bands of 5 bins: a pair at similarity 0.85 shares none with probability 4e-7, at 0.8 5e-5.
-BANDS, ROWS = 25, 5
-#: Further bands by which an unresolved bucket is split each round.
-SPLIT = 2
-#: Rounds of splitting at most; a bucket then agrees in 1 + LEVELS bands. They end earlier, after a
-#: round without a new link.
-LEVELS = 4
+#: Counters of shingles by hash, from which their order is made, in slices. Shingles that share a counter
+#: count together; this shifts the order, which costs time at most, never a link.
+COUNTERS, SLICES = 1 << 20, 64
+#: Rounds of stars before all remaining pairs are tried.
+STARS = 2
 
 
 def _longs(values) -> np.ndarray:
     return np.asarray(values, dtype=np.uint64).view(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, key1, key2, bands): size of the shingle set, two hashes of the whole set, band keys (none for an empty set)."""
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _slices(total: np.ndarray):
+    """(slice, counts) of the slices of ``total`` that are not zero."""
+    return [(i, part) for i, part in enumerate(total.reshape(SLICES, -1)) if part.any()]
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, n, key1, key2, slice, counts): size of the shingle set and two hashes of the whole set; after
+    these rows (``slice`` null) each task adds its counts of shingles, a row for each slice of counters."""
+    names = ["id", "n", "key1", "key2", "slice", "counts"]
+
     def run(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             found = [S.shingle_set(w, size) for w in S.word_hashes([t or b"" for t in batch.column(1).to_pylist()])]
-            keys = [S.band_keys(S.one_permutation(s, bands * rows), bands) if len(s) else s for s in found]
-            flat = np.concatenate([*keys, np.empty(0, dtype=np.uint64)])
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            total += np.bincount(_counter(np.concatenate([*found, np.empty(0, dtype=np.uint64)])), minlength=COUNTERS)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in found], pa.int64()),
                 pa.array(_longs([S.mix(s).sum(dtype=np.uint64) for s in found])),
                 pa.array(_longs([np.bitwise_xor.reduce(S.mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in found])),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(_longs(flat)))], names=["id", "n", "key1", "key2", "bands"])
+                pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names)
+        parts = _slices(total)
+        none = pa.nulls(len(parts), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in parts], pa.int32()),
+                                          pa.array([p.tobytes() for _, p in parts], pa.binary())], names=names)
 
     python_ready(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
-        .mapInArrow(run, "id long, n long, key1 long, key2 long, bands array<long>")
+        .mapInArrow(run, "id long, n long, key1 long, key2 long, slice int, counts binary")
+
+
+def counters(counts: DataFrame) -> np.ndarray:
+    """The sums of all tasks' (slice, counts): COUNTERS numbers, whatever the size of the table."""
+    def run(batches):
+        total = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
+        for batch in batches:
+            for i, part in zip(*(c.to_pylist() for c in batch.columns)):
+                total[i] += np.frombuffer(part, dtype=np.int64)
+        parts = _slices(total)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()),
+                                          pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["slice", "counts"])
+
+    total = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
+    for r in counts.repartition("slice").mapInArrow(run, "slice int, counts binary").collect():
+        total[r["slice"]] += np.frombuffer(r["counts"], dtype=np.int64)
+    return total.reshape(-1)
+
+
+def prefixes(texts: DataFrame, total: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(rep, n, keys): size and prefix of the shingle set of each (id, text), shingles in order.
+
+    A partner's set has ``percent`` of the n shingles at least, so all but the
+    last ceil(n * percent / 100) - 1 shingles hold the first common one."""
+    # Counts by power of two, as one byte each.
+    rank = np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()
+
+    def run(batches):
+        ranks = np.frombuffer(rank, dtype=np.uint8)
+        for batch in batches:
+            found = [S.shingle_set(w, size) for w in S.word_hashes(batch.column(1).to_pylist())]
+            keys = [s[np.lexsort((s, ranks[_counter(s)]))][:len(s) - max(1, -(-percent * len(s) // 100)) + 1] for s in found]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate([*keys, np.empty(0, dtype=np.uint64)])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in found], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(_longs(flat)))], names=["rep", "n", "keys"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, n long, keys array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -79,21 +131,39 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return one.join(if_small(pairs), "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def stars(members: DataFrame, by_weight: bool) -> DataFrame:
-    """(a, b), a < b: each member of a bucket (key, rep, weight, label) of several components with
-    the bucket's centre, unless both are in one component. The centre is the member with the largest
-    weight, i.e. the one that shares buckets with the most others, or else one that a hash picks,
-    another one in each bucket."""
-    chance = F.xxhash64("rep", "key")
-    order = F.col("weight") * F.lit(2.0**20) + F.pmod(chance, F.lit(2**20)) if by_weight else chance
-    hubs = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", order).alias("c"),
-                                      F.max_by("label", order).alias("centre_label")).where("low < high")
-    return members.join(hubs, "key").where("label <> centre_label") \
-        .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+def _enough(common, n, m, percent: int):
+    """Whether sets of n and m shingles with ``common`` in common are linked."""
+    return (100 + percent) * common >= percent * (n + m)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def stars(members: DataFrame, percent: int, by_weight: bool) -> DataFrame:
+    """(a, b), a < b: each member of a bucket (key, rep, n, weight, label) of several components with
+    the bucket's centre, unless both are in one component or their sizes rule a link out. The centre
+    is the member with the largest weight, i.e. the one that shares buckets with the most others, or
+    else one that a hash picks, another one in each bucket."""
+    chance = F.xxhash64("rep", "key")
+    order = F.col("weight") * F.lit(2.0**20) + F.pmod(chance, F.lit(2**20)) if by_weight else chance
+    hubs = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                      F.max_by(F.struct("rep", "n", "label"), order).alias("c")).where("low < high")
+    return members.join(hubs, "key").where(F.col("label") != F.col("c.label")) \
+        .where(_enough(F.least("n", "c.n"), F.col("n"), F.col("c.n"), percent)) \
+        .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).where("a < b").distinct()
+
+
+def open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of members of a bucket (key, rep, n, pos, label) in different components,
+    but for those that cannot be linked with this shingle as their first common one: what comes from
+    there on in each set (n - pos shingles) bounds the intersection. A linked pair is in the bucket of
+    its first common shingle."""
+    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    members = members.join(mixed, "key", "left_semi").select("key", "rep", "n", "label", (F.col("n") - F.col("pos")).alias("rest"))
+    one, two = (members.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "label", "rest")]) for i in "ab")
+    return one.join(two, "key").where("rep_a < rep_b and label_a <> label_b") \
+        .where(_enough(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b"), percent)) \
+        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
     A document's set holds the distinct ``size``-word shingles of its words
@@ -108,61 +178,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are those of all of them. An empty table gives an empty result; other
     columns of ``docs`` are not read.
     """
-    sk = stage_table(sketch(docs, id_col, text_col, size, bands, rows), "near-dup-sketch")
+    sk = stage_table(sketch(docs, id_col, text_col, size), "near-dup-sketch")
+    total = counters(sk.where("slice is not null").select("slice", "counts"))
+    sk = sk.where("slice is null")
     same = ["n", "key1", "key2"]
     # A row's class; an id that has rows in several classes links them.
     classes = sk.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"))
-    own = stage_table(sk.join(classes, same, "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")),
-                      "near-dup-own")
+    own = stage_table(sk.join(classes, same, "left").select("id", "n", "rep"), "near-dup-own")
     hubs = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
     hubs = stage_table(hubs, "near-dup-ids")
     links = own.join(hubs, "id").where("a < rep").select("a", F.col("rep").alias("b")) if hubs.limit(1).count() else None
 
-    # Level 0: one bucket per band key; only buckets with several classes go on, each member
-    # with the keys of the bands after its own, by which its bucket may be split later.
-    reps = stage_table(own.where("bands is not null").select("rep", "bands").dropDuplicates(["rep"]), "near-dup-reps")
-    members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    # One bucket per shingle of a prefix; only buckets with several ids go on.
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
+        .where("id is not null and text is not null")
+    reps = stage_table(own.where("id = rep").select("id").distinct(), "near-dup-reps")
+    found = stage_table(prefixes(texts.join(if_small(reps), "id", "left_semi"), total, size, percent), "near-dup-prefixes")
+    members = found.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("c0"), F.max("rep").alias("c1"), F.count("*").alias("m")) \
         .where("c0 < c1").select("key", "m")
-    after = F.transform(F.sequence(F.lit(1), F.lit(SPLIT * LEVELS)), lambda i: F.get("bands", F.pmod(F.col("band") + i, F.lit(bands))))
-    members = stage_table(members.join(shared, "key").join(reps, "rep").select("rep", "key", "m", after.alias("next")), "near-dup-members")
+    members = stage_table(members.join(shared, "key"), "near-dup-members")
     weights = stage_table(members.groupBy("rep").agg(F.sum("m").alias("weight")), "near-dup-weights")
     members = members.drop("m")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
-        .where("id is not null and text is not null") \
-        .join(if_small(weights.select(F.col("rep").alias("id"))), "id", "left_semi")
-    texts = stage_table(texts, "near-dup-texts")
+    texts = stage_table(texts.join(if_small(weights.select(F.col("rep").alias("id"))), "id", "left_semi"), "near-dup-texts")
 
-    linked, tested = None, None
-    labels = weights.withColumn("label", F.col("rep"))
-    for level in range(LEVELS + 1):
-        placed = members.join(if_small(labels), "rep")
-        pairs = stars(placed, by_weight=level == 0)
-        pairs = stage_table(pairs.join(if_small(tested), ["a", "b"], "left_anti") if level else pairs, "near-dup-pairs")
-        found = stage_table(confirm(pairs, texts, size, percent), "near-dup-links")
-        tested = tested.unionByName(pairs) if level else pairs
-        if not found.limit(1).count() and (level or links is None):
-            break
-        # The components so far stand for the links that made them.
-        links = found if links is None else links.unionByName(found)
+    def labelled(links):
+        """The components of ``links``, which stand for the links from then on, and all labels."""
         linked = stage_table(components(links), "near-dup-linked")
-        links = linked.select(F.col("label").alias("a"), F.col("id").alias("b"))
         labels = weights.join(linked.withColumnRenamed("id", "rep"), "rep", "left") \
             .select("rep", "weight", F.coalesce("label", "rep").alias("label"))
-        labels = stage_table(labels, "near-dup-labels")
-        if level == LEVELS:
-            break
-        # Buckets of several components in which not every pair was tried: split by the next bands.
+        return linked, linked.select(F.col("label").alias("a"), F.col("id").alias("b")), stage_table(labels, "near-dup-labels")
+
+    linked, tested = None, None
+    labels = weights.withColumn("label", F.col("rep"))
+    if links is not None:
+        linked, links, labels = labelled(links)
+    for step in range(STARS + 1):
         placed = members.join(if_small(labels), "rep")
-        mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")) \
-            .where("low < high and m > 2").select("key")
-        mixed = stage_table(mixed, "near-dup-mixed")
-        split = members.join(if_small(mixed), "key").select("rep", "key", "next", F.explode(F.sequence(F.lit(1), F.lit(SPLIT))).alias("step")) \
-            .select("rep", F.col("key").bitwiseXOR(F.xxhash64(F.element_at("next", F.col("step")), F.lit(1))).alias("key"),
-                    F.slice("next", F.col("step") + 1, F.size("next")).alias("next"))
-        members = stage_table(split, "near-dup-members")
-        if not members.limit(1).count():
-            break
+        pairs = stars(placed, percent, by_weight=step == 0) if step < STARS else open_pairs(placed, percent)
+        pairs = stage_table(pairs.join(if_small(tested), ["a", "b"], "left_anti") if step else pairs, "near-dup-pairs")
+        found = stage_table(confirm(pairs, texts, size, percent), "near-dup-links")
+        tested = tested.unionByName(pairs) if step else pairs
+        if found.limit(1).count():
+            linked, links, labels = labelled(found if links is None else links.unionByName(found))
     if linked is None:
         linked = own.select(F.col("rep").alias("id"), F.col("rep").alias("label")).limit(0)
     return own.join(linked.withColumnRenamed("id", "rep"), "rep", "left") \

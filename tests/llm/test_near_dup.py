@@ -95,3 +95,29 @@ def test_band_agreement_follows_similarity(n):
         rates.append((S.one_permutation(a, 125) == S.one_permutation(b, 125)).mean())
     real = len(both) / (len(both) + len(one) + len(two))
     assert abs(np.mean(rates) - real) < 0.05
+
+
+def template_group(n, own, shared, words=300, size=3):
+    """n documents of one template in pairs: ``own`` words at the end are each document's alone, the ``shared`` before them its pair's."""
+    base = [f"t{i}" for i in range(words)]
+    return [(i, " ".join([*base, *[f"p{i // 2}x{k}" for k in range(shared)], *[f"o{i}x{k}" for k in range(own)]])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [200, 600])
+def test_every_link_in_a_large_template_group(spark, n):
+    """Each document is linked with exactly one other (0.857) and similar to all others just below the threshold (0.798)."""
+    rows = template_group(n, 26, 12)
+    assert run(spark, rows) == {i: (336, i - i % 2, i % 2 == 0) for i, _ in rows}
+    if n == 200:
+        assert run(spark, rows) == brute(rows, 3, 85)
+
+
+def test_large_group_of_changed_words_exactly(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = [f"v{k}" for k in range(150)]
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(150)] = f"u{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
