@@ -30,6 +30,8 @@ from sparkmail.session import stage_table
 #: Counters of shingles by hash, from which their order is made, in slices. Shingles that share a counter
 #: count together; this shifts the order, which costs time at most, never a link.
 COUNTERS, SLICES = 1 << 20, 64
+#: Bits of a set's signature, by which most pairs are ruled out without their texts.
+BITS = 1024
 #: Rounds of stars before all remaining pairs are tried.
 STARS = 2
 
@@ -42,9 +44,16 @@ def _counter(found: np.ndarray) -> np.ndarray:
     return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _slices(total: np.ndarray):
+def _slices(total: np.ndarray, kind: type):
     """(slice, counts) of the slices of ``total`` that are not zero."""
-    return [(i, part) for i, part in enumerate(total.reshape(SLICES, -1)) if part.any()]
+    return [(i, part.astype(kind)) for i, part in enumerate(total.reshape(SLICES, -1)) if part.any()]
+
+
+def _signature(found: np.ndarray) -> bytes:
+    """Per bit, whether an odd number of the set's shingles fall on it: two sets' signatures differ in as
+    many bits at most as there are shingles in only one of them."""
+    odd = np.bincount(((found >> np.uint64(24)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -62,7 +71,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 pa.array(_longs([S.mix(s).sum(dtype=np.uint64) for s in found])),
                 pa.array(_longs([np.bitwise_xor.reduce(S.mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in found])),
                 pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names)
-        parts = _slices(total)
+        parts = _slices(total, np.uint32)
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in parts], pa.int32()),
                                           pa.array([p.tobytes() for _, p in parts], pa.binary())], names=names)
@@ -78,8 +87,8 @@ def counters(counts: DataFrame) -> np.ndarray:
         total = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
         for batch in batches:
             for i, part in zip(*(c.to_pylist() for c in batch.columns)):
-                total[i] += np.frombuffer(part, dtype=np.int64)
-        parts = _slices(total)
+                total[i] += np.frombuffer(part, dtype=np.uint32)
+        parts = _slices(total, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()),
                                           pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["slice", "counts"])
 
@@ -90,12 +99,12 @@ def counters(counts: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, total: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(rep, n, keys): size and prefix of the shingle set of each (id, text), shingles in order.
+    """(rep, n, sig, keys): size, signature and prefix of the shingle set of each (id, text), shingles in order.
 
     A partner's set has ``percent`` of the n shingles at least, so all but the
     last ceil(n * percent / 100) - 1 shingles hold the first common one."""
-    # Counts by power of two, as one byte each.
-    rank = np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()
+    # Counts by their logarithm, as one byte each.
+    rank = np.minimum(np.ceil(6 * np.log2(total + 1)), 255).astype(np.uint8).tobytes()
 
     def run(batches):
         ranks = np.frombuffer(rank, dtype=np.uint8)
@@ -105,10 +114,26 @@ def prefixes(texts: DataFrame, total: np.ndarray, size: int, percent: int) -> Da
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, dtype=np.uint64)])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in found], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(_longs(flat)))], names=["rep", "n", "keys"])
+                batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_signature(s) for s in found], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(_longs(flat)))], names=["rep", "n", "sig", "keys"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, n long, sig binary, keys array<long>")
+
+
+def possible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose (rep, n, sig) do not rule a link out: linked sets have at most
+    (100 - percent) / (100 + percent) of their sizes' sum in only one of them."""
+    def run(batches):
+        for batch in batches:
+            a, b, both, one, two = batch.columns
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8) for c in (one, two))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            kept = pa.array((100 + percent) * apart <= (100 - percent) * both.to_numpy())
+            yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], names=["a", "b"])
 
-    return texts.select("id", "text").mapInArrow(run, "rep long, n long, keys array<long>")
+    one, two = (sigs.select(F.col("rep").alias(i), F.col("n").alias(f"n_{i}"), F.col("sig").alias(f"sig_{i}")) for i in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.expr("n_a + n_b").alias("both"), "sig_a", "sig_b") \
+        .mapInArrow(run, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -127,7 +152,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()),
                                               pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
 
-    one, two = (texts.select(F.col("id").alias(i), F.col("text").alias(f"text_{i}")) for i in "ab")
+    one, two = (texts.join(if_small(pairs.select(F.col(i).alias("id")).distinct()), "id", "left_semi")
+                .select(F.col("id").alias(i), F.col("text").alias(f"text_{i}")) for i in "ab")
     return one.join(if_small(pairs), "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -137,16 +163,16 @@ def _enough(common, n, m, percent: int):
 
 
 def stars(members: DataFrame, percent: int, by_weight: bool) -> DataFrame:
-    """(a, b), a < b: each member of a bucket (key, rep, n, weight, label) of several components with
-    the bucket's centre, unless both are in one component or their sizes rule a link out. The centre
+    """(a, b), a < b: each member of a bucket (key, rep, n, pos, weight, label) of several components with
+    the bucket's centre, unless both are in one component or a link is ruled out as in ``open_pairs``. The centre
     is the member with the largest weight, i.e. the one that shares buckets with the most others, or
     else one that a hash picks, another one in each bucket."""
     chance = F.xxhash64("rep", "key")
     order = F.col("weight") * F.lit(2.0**20) + F.pmod(chance, F.lit(2**20)) if by_weight else chance
     hubs = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                      F.max_by(F.struct("rep", "n", "label"), order).alias("c")).where("low < high")
+                                      F.max_by(F.struct("rep", "n", "pos", "label"), order).alias("c")).where("low < high")
     return members.join(hubs, "key").where(F.col("label") != F.col("c.label")) \
-        .where(_enough(F.least("n", "c.n"), F.col("n"), F.col("c.n"), percent)) \
+        .where(_enough(F.least(F.expr("n - pos"), F.expr("c.n - c.pos")), F.col("n"), F.col("c.n"), percent)) \
         .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).where("a < b").distinct()
 
 
@@ -189,18 +215,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = stage_table(hubs, "near-dup-ids")
     links = own.join(hubs, "id").where("a < rep").select("a", F.col("rep").alias("b")) if hubs.limit(1).count() else None
 
-    # One bucket per shingle of a prefix; only buckets with several ids go on.
+    # One bucket per shingle of a prefix; only buckets with several members go on.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
         .where("id is not null and text is not null")
     reps = stage_table(own.where("id = rep").select("id").distinct(), "near-dup-reps")
     found = stage_table(prefixes(texts.join(if_small(reps), "id", "left_semi"), total, size, percent), "near-dup-prefixes")
     members = found.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("c0"), F.max("rep").alias("c1"), F.count("*").alias("m")) \
-        .where("c0 < c1").select("key", "m")
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = stage_table(members.join(shared, "key"), "near-dup-members")
     weights = stage_table(members.groupBy("rep").agg(F.sum("m").alias("weight")), "near-dup-weights")
     members = members.drop("m")
-    texts = stage_table(texts.join(if_small(weights.select(F.col("rep").alias("id"))), "id", "left_semi"), "near-dup-texts")
+    sigs = found.select("rep", "n", "sig")
 
     def labelled(links):
         """The components of ``links``, which stand for the links from then on, and all labels."""
@@ -216,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for step in range(STARS + 1):
         placed = members.join(if_small(labels), "rep")
         pairs = stars(placed, percent, by_weight=step == 0) if step < STARS else open_pairs(placed, percent)
+        pairs = possible(pairs, sigs, percent)
         pairs = stage_table(pairs.join(if_small(tested), ["a", "b"], "left_anti") if step else pairs, "near-dup-pairs")
         found = stage_table(confirm(pairs, texts, size, percent), "near-dup-links")
         tested = tested.unionByName(pairs) if step else pairs
