@@ -121,3 +121,12 @@ def test_large_group_of_changed_words_exactly(spark):
             words[rng.randrange(150)] = f"u{rng.randrange(10**9)}"
         rows.append((i, " ".join(words)))
     assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
+def test_repeated_id_with_two_texts_has_the_links_of_both(spark):
+    rng = random.Random(3)
+    one, two = ([f"{c}{rng.randrange(10**6)}" for _ in range(100)] for c in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, "x"])), (3, " ".join([*two, "y"])), (4, "other words only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.component_id) for r in near_duplicates(df, size=3, percent=85).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
