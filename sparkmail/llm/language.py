@@ -145,13 +145,16 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str
 
 
 def keep_identified(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: str = "text", ranks: int = RANKS) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, i.e. is not ``und``; all columns as they are."""
+    """The rows of ``docs`` whose text has a language, i.e. is not ``und``; all columns as they are.
+    Without profiles no language can be told, and only texts without a letter are left out."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         classify = Classifier(profiles, ranks)
         for batch in batches:
-            yield batch.filter(pa.array([classify(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            known = [classify(t)[0] != UNKNOWN if profiles else len(ngrams(t or "")[0]) > 0 for t in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     python_ready(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sparkmail.llm.language import Classifier, fit_profiles, held_out, identify, ngrams
+from sparkmail.llm.language import Classifier, fit_profiles, held_out, identify, keep_identified, ngrams
 from tests_support import documents
 
 
@@ -62,3 +62,9 @@ def test_edge_cases(spark):
     assert identify(df, profiles).count() == len(rows)
     assert [(r.lang_pred, r.score) for r in identify(df, []).collect()] == [("und", 0.0)] * len(rows)
     assert identify(df.limit(0), profiles).count() == 0 and fit_profiles(df.limit(0), "text", "lang") == []
+
+
+def test_without_profiles_only_texts_without_a_letter_go(spark):
+    df = spark.createDataFrame([(1, "the cat", None), (2, "12 !?", None), (3, None, None), (4, "", None), (5, "é", None)], "doc_id long, text string, lang string")
+    assert fit_profiles(df, "text", "lang") == []
+    assert sorted(r.doc_id for r in keep_identified(df, []).collect()) == [1, 5]
