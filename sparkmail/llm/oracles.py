@@ -107,3 +107,48 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    step = "list_reduce(range(8), lambda b, i: xor(b >> 1, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END), {})"
+    return ("xor(list_reduce(list_transform(string_split(" + text + ", ''), lambda c: ord(c)::BIGINT), lambda a, c: xor(a >> 8, "
+            + step.format("xor(a, c) % 256") + "), 4294967295::BIGINT), 4294967295::BIGINT)")
+
+
+def _merkle(levels: int = 20, top_levels: int = 12) -> str:
+    """Trees of 3 ** levels leaves at most, level by level; the second kind of tree joins the first ones' roots."""
+    def field(c):
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    steps = [f"""docs AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {_crc32('doc_id::VARCHAR')} % 2 = 0
+        THEN replace(text, chr(10), '') ELSE text END AS seen FROM documents),
+    leaves AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {leaf('text')} AS leaf, {leaf('seen')} AS claim FROM docs),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+    a0 AS (SELECT tree, pos, leaf AS d, n FROM placed),
+    f0 AS (SELECT doc_id, leaf, tree, pos, n, claim AS cur, '' AS proof FROM placed)"""]
+
+    def climb(name, f, levels, keep):
+        for k in range(levels):
+            # A run's digests as one list; a tree of one node stays as it is.
+            steps.append(f"""{name}r{k} AS (SELECT tree, pos // 3 AS pos, n, list(d ORDER BY pos) AS ds FROM {name}{k} GROUP BY tree, pos // 3, n),
+    {name}{k + 1} AS (SELECT tree, pos, (n + 2) // 3 AS n, CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d FROM {name}r{k}),
+    {f}{k + 1} AS (SELECT {keep}, f.tree, f.pos // 3 AS pos, (f.n + 2) // 3 AS n,
+        CASE WHEN f.n = 1 THEN cur ELSE sha256(array_to_string(ds[:f.pos % 3], '') || cur || array_to_string(ds[f.pos % 3 + 2:], '')) END AS cur,
+        CASE WHEN f.n = 1 THEN proof ELSE proof || array_to_string(ds[:f.pos % 3], '') || array_to_string(ds[f.pos % 3 + 2:], '') END AS proof
+        FROM {f}{k} f JOIN {name}r{k} r ON f.tree = r.tree AND f.pos // 3 = r.pos)""")
+
+    climb("a", "f", levels, "doc_id, leaf")
+    steps.append(f"""b0 AS (SELECT '^' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, d, count(*) OVER () AS n, tree AS source FROM a{levels}),
+    g0 AS (SELECT doc_id, leaf, b.d AS subroot, b.tree, b.pos, b.n, cur, proof FROM f{levels} f JOIN b0 b ON f.tree = b.source)""")
+    climb("b", "g", top_levels, "doc_id, leaf, subroot")
+    return "WITH " + ",\n    ".join(steps) + f"""
+    SELECT doc_id, leaf, subroot, b.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = b.d AS verified
+    FROM g{top_levels} g JOIN b{top_levels} b ON g.tree = b.tree"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle()

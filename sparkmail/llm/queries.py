@@ -112,6 +112,32 @@ def op10_decontaminate(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    from sparkmail.llm.runs import periodic_runs
+
+    found = periodic_runs(read(spark, sf_dir, "documents"), loop=True, texts=False).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_quality_rules(spark, sf_dir):
+    from sparkmail.llm.quality_rules import fit_references, judge_quality
+
+    docs = read(spark, sf_dir, "documents")
+    return judge_quality(docs, fit_references(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    from sparkmail.llm.merkle import merkle_manifest
+
+    docs = read(spark, sf_dir, "documents")
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
+    tampered = F.when(odd, F.col("text")).otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return merkle_manifest(docs, claim={"text": tampered}).drop("proof").withColumnRenamed("id", "doc_id")
+
+
 def queries():
     return dict(QUERIES)
 
