@@ -21,6 +21,8 @@ from sparkmail.session import ensure_shipped, stage_table
 
 #: Queries whose score arrays are held at once.
 TILE = 64
+#: A term's products are added place by place if fewer than one in DENSE of a tile's scores have any.
+DENSE = 8
 
 
 def postings(rows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -47,12 +49,10 @@ def score_type(q: dict, c: dict) -> type:
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Positions of the k highest scores (ids ascend, so earlier wins a tie), ``own`` left out."""
-    at = np.searchsorted(ids, own)
-    if at < len(ids) and ids[at] == own:
-        scores, shift = np.delete(scores, at), at
-    else:
-        shift = len(ids)
+    """Positions of the k highest scores (ids ascend, so earlier wins a tie), rows with the id ``own`` left out."""
+    at, end = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+    if end > at:
+        scores = np.delete(scores, slice(at, end))
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         sure = np.flatnonzero(scores > least)
@@ -60,17 +60,17 @@ def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray
         found = np.concatenate([sure, ties])
     else:
         found = np.arange(len(scores))
-    return found + (found >= shift)
+    return found + (found >= at) * (end - at)
 
 
 def search_block(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(query_id, vec_id, score): each query's k best of one corpus block."""
-    empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+    """(query_id, query, vec_id, score): each query row's k best of one corpus block; ``query`` tells apart rows that repeat an id."""
+    names = ("query_id", "query", "vec_id", "score")
     if queries.empty or corpus.empty:
-        return empty
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
     corpus = corpus.sort_values("id")
     ids, lists = corpus["id"].to_numpy(), postings(corpus["weights"].tolist())
-    out = []
+    out: list[list[np.ndarray]] = [[] for _ in names]
     for at in range(0, len(queries), TILE):
         tile = queries.iloc[at:at + TILE]
         asked = postings(tile["weights"].tolist())
@@ -82,48 +82,51 @@ def search_block(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.Data
                 continue
             doc, value = lists[term]
             weight, value = weight.astype(kind), value.astype(kind)
-            if len(row) == len(tile) and len(doc) == len(ids):
-                np.multiply.outer(weight, value, out=part)
-                scores += part
-            elif len(doc) == len(ids):
-                scores[row] += np.multiply.outer(weight, value)
-            else:
+            if DENSE * len(row) * len(doc) < len(tile) * len(ids):
                 scores[np.ix_(row, doc)] += np.multiply.outer(weight, value)
-        for own, line in zip(tile["id"].tolist(), scores):
+                continue
+            # A term that most rows have: its postings as arrays over all rows, zero where it is missing.
+            one, all_ = np.zeros(len(tile), dtype=kind), np.zeros(len(ids), dtype=kind)
+            one[row], all_[doc] = weight, value
+            np.multiply.outer(one, all_, out=part)
+            scores += part
+        for own, number, line in zip(tile["id"].tolist(), tile["row"].tolist(), scores):
             found = best_of(line, ids, own, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[found], "score": line[found].astype(np.int64)}))
-    return pd.concat(out) if out else empty
+            for column, values in zip(out, (np.full(len(found), own), np.full(len(found), number), ids[found], line[found].astype(np.int64))):
+                column.append(values)
+    return pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, out)})
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = 8192, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest inner products with the corpus.
 
     Both inputs have ``id`` (long) and ``weights`` (array of long, term = place
-    in the array; arrays may differ in length, a missing term counts 0). The
-    corpus row with the query's own id is left out; ties go to the smaller
-    id. Rows with a null id or null weights take no part; of repeated ids the
-    smallest array counts. Queries with no candidate have no row. ``block``
-    and ``query_block`` bound a task's memory, not the search: every query
-    meets every block.
+    in the array; arrays may differ in length, a missing term counts 0). Corpus
+    rows with the query's own id are left out; ties go to the smaller id.
+    Rows with a null id or null weights take no part. Corpus rows that repeat an
+    id are candidates each; a query id that is repeated gets the k best of all
+    its rows together. Queries with no candidate have no row; other columns
+    are not read. ``block`` and ``query_block`` bound a task's memory, not the
+    search: every query meets every block.
     """
     spark = corpus.sparkSession
     ensure_shipped(spark)
 
     def rows(df, name):
-        return stage_table(df.where("id is not null and weights is not null")
-                           .groupBy("id").agg(F.min("weights").alias("weights")), name)
+        return stage_table(df.where("id is not null and weights is not null").select("id", "weights")
+                           .withColumn("row", F.monotonically_increasing_id()), name)
 
     corpus, queries = rows(corpus, "topk-corpus"), rows(queries, "topk-queries")
     blocks = max(1, math.ceil(corpus.count() / block))
     query_blocks = max(1, math.ceil(queries.count() / query_block))
 
     def dealt(df, own, n_own, other, n_other):
-        return df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n_own)).cast("int")) \
+        return df.withColumn(own, F.pmod(F.xxhash64("row", F.lit(own)), F.lit(n_own)).cast("int")) \
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     q = dealt(queries, "qb", query_blocks, "cb", blocks).groupBy("qb", "cb")
     c = dealt(corpus, "cb", blocks, "qb", query_blocks).groupBy("qb", "cb")
-    parts = q.cogroup(c).applyInPandas(lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score long")
+    parts = q.cogroup(c).applyInPandas(lambda a, b: search_block(a, b, k), "query_id long, query long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

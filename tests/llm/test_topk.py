@@ -38,7 +38,7 @@ def test_blocks_ties_and_sparse_rows(spark):
 def test_exact_for_large_weights(size):
     rng = np.random.default_rng(0)
     rows = {i: [int(v) for v in rng.integers(-size, size + 1, 16)] for i in range(100)}
-    block = pd.DataFrame({"id": list(rows), "weights": list(rows.values())})
+    block = pd.DataFrame({"id": list(rows), "weights": list(rows.values()), "row": list(rows)})
     got = search_block(block, block, 3)
     want = {(q, i, s) for q, _, i, s in brute(rows, rows, 3)}
     assert set(got[["query_id", "vec_id", "score"]].itertuples(index=False, name=None)) == want
@@ -50,4 +50,22 @@ def test_vectors_that_take_no_part(spark):
     vectors = scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 64)
     assert {(r.id, tuple(r.weights)) for r in vectors.collect()} == {(0, (32, -1)), (None, (64,)), (6, ()), (7, (16, 64))}
     got = [tuple(r) for r in top_k(vectors.where("id % 20 = 0"), vectors).collect()]
-    assert sorted(got) == [(0, 1, 7, 448), (0, 2, 6, 0)]
+    assert sorted(got) == [(0, 1, 7, 448), (0, 2, 7, 448), (0, 3, 6, 0)]
+
+
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    rows = [(1, [5]), (1, [9]), (2, [1]), (20, [2]), (20, [3])]
+    df = spark.createDataFrame(rows, "id long, weights array<long>")
+    got = sorted(tuple(r) for r in top_k(df.where("id = 20"), df, k=3).collect())
+    assert got == [(20, 1, 1, 27), (20, 2, 1, 18), (20, 3, 1, 15)]
+    got = sorted(tuple(r) for r in top_k(df.where("id = 2"), df, k=9).collect())
+    assert got == [(2, 1, 1, 9), (2, 2, 1, 5), (2, 3, 20, 3), (2, 4, 20, 2)]
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.9, 1.0])
+def test_scattered_and_whole_terms_score_alike(share):
+    rng = np.random.default_rng(1)
+    rows = {i: [int(v) if rng.random() < share else 0 for v in rng.integers(-9, 10, 24)] for i in range(200)}
+    block = pd.DataFrame({"id": list(rows), "weights": list(rows.values()), "row": list(rows)})
+    got = search_block(block, block, 7)
+    assert set(got[["query_id", "vec_id", "score"]].itertuples(index=False, name=None)) == {(q, i, s) for q, _, i, s in brute(rows, rows, 7)}
