@@ -1,8 +1,8 @@
 """Packing of documents into fixed-length token sequences.
 
-A document's ids are cut at every full length; the pieces (all but a
-document's last are full) are dealt at random into groups of bounded size, and
-each group is packed by first-fit decreasing. The open bins of a group are the
+A document's ids are cut at every full length. Documents are dealt at random
+into groups; a full piece is a sequence by itself, and the documents' last pieces
+(one each, so a group is bounded) are packed by first-fit decreasing. The open bins of a group are the
 leaves of a tournament tree whose inner nodes hold the largest capacity
 below them, so the first bin that a piece fits is found by one descent.
 """
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmail.llm.common import python_ready
-from sparkmail.llm.pieces import IdTable, Splitter, tokenizer_path
+from sparkmail.llm.pieces import IdTable, Splitter, per_list, tokenizer_path
 from sparkmail.session import stage_table
 
-#: Pieces of a group, on average.
-GROUP = 4096
+#: Documents of a group, on average.
+GROUP = 2048
+#: How byte-level BPE writes a space.
+SPACE = "\u0120"
 
 
 @lru_cache(maxsize=1)
@@ -37,10 +39,30 @@ def id_table(tokenizer: str) -> tuple[Splitter, IdTable]:
 
     library = Tokenizer.from_file(tokenizer_path(tokenizer))
 
+    spaced = np.zeros(max(library.get_vocab().values()) + 1, dtype=bool)
+    spaced[[i for token, i in library.get_vocab().items() if token.startswith(SPACE)]] = True
+
     def learn(new):
-        ids = [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return size, np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(size.sum()))
+        # Words with the space before them can be encoded as one text, which the library cuts into just
+        # these words again; that saves a call a word.
+        words, others, sizes, ids = [], [], [], []
+        for p in new:
+            (words if len(p) > 1 and p[0] == " " and p[1:].isalpha() else others).append(p)
+        done = []
+        for at in range(0, len(words), 4096):
+            own = words[at:at + 4096]
+            found = np.array(library.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+            first = np.flatnonzero(spaced[found])  # a word's first id is the only one with a space
+            if len(first) == len(own):
+                done += own
+                sizes.append(np.diff(np.append(first, len(found))))
+                ids.append(found)
+            else:
+                others += own
+        found = [e.ids for e in library.encode_batch_fast(others, add_special_tokens=False)]
+        sizes.append(np.array([len(x) for x in found], dtype=np.int64))
+        ids.append(np.fromiter(chain.from_iterable(found), dtype="<u4"))
+        return done + others, np.concatenate(sizes), np.concatenate(ids)
 
     return Splitter(tokenizer), IdTable(learn)
 
@@ -50,16 +72,19 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, leng
     def run(batches):
         split, table = id_table(tokenizer)
         for batch in batches:
-            pieces = [split(t or "") for t in batch.column(1).to_pylist()]
-            table.add(pieces)
-            out = []
-            for doc, own in zip(batch.column(0).to_pylist(), pieces):
-                ids = np.append(table.ids(own), np.array([end_id], dtype="<u4"))
-                for at in range(0, len(ids), length):
-                    piece = ids[at:at + length]
-                    out.append((doc, at, len(piece), zlib.crc32(piece), len(ids)))
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+            lists = [split(t or "") for t in batch.column(1).to_pylist()]
+            size, ids = table.ids([p for own in lists for p in own])
+            total = per_list(lists, size)
+            ids = np.insert(ids, np.cumsum(total), end_id)  # behind each document's own
+            total += 1
+            first = np.cumsum(total) - total
+            count = -(-total // length)
+            doc = np.repeat(np.arange(len(total)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * length
+            size = np.minimum(length, total[doc] - start)
+            view = memoryview(ids.view(np.uint8))
+            sums = [zlib.crc32(view[a:b]) for a, b in zip((4 * (first[doc] + start)).tolist(), (4 * (first[doc] + start + size)).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, size, sums, total[doc]))],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     python_ready(docs.sparkSession)
@@ -96,7 +121,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     exactly one piece each; ``start`` counts the ids before the piece and
     ``offset`` its place in its sequence, where pieces lie without gaps from 0.
     No sequence is longer than ``length``. ``sequence_id`` is group * 2**32 +
-    bin; sequences of a group are independent of all others.
+    bin, or negative for a sequence that one full piece fills; sequences of a group are independent of all others.
 
     A null or empty text is its end id alone. Repeated rows and null ids are
     packed row by row. An empty table gives an empty result; other columns
@@ -104,15 +129,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     pieces = cut_pieces(docs, id_col, text_col, tokenizer, length, end_id).withColumn("row", F.monotonically_increasing_id())
     pieces = stage_table(pieces, "pieces")  # tokenized once; row numbers fixed
-    groups = max(1, math.ceil(pieces.count() / group))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    # A document is dealt by its last piece, which alone needs a place beside others.
+    last = F.col("start") + F.col("length") == F.col("doc_tokens")
+    groups = max(1, math.ceil(pieces.where(last).count() / group))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = ", ".join(f"{c} long" for c in names)
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "row"], ascending=[False, True])
         bins, offsets = first_fit(rows["length"].tolist(), length)
         rows["sequence_id"] = rows["deal"].astype("int64") * 2**32 + np.array(bins, dtype=np.int64)
         rows["offset"] = np.array(offsets, dtype=np.int64)
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return rows[names]
 
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(groups)))
-    return dealt.groupBy("deal").applyInPandas(fill, schema)
+    # Sequences of one full piece are numbered by the piece's row, below zero.
+    full = pieces.where(~last).select(*names[:5], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = pieces.where(last).withColumn("deal", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(groups)))
+    return dealt.groupBy("deal").applyInPandas(fill, schema).unionByName(full)

@@ -55,47 +55,78 @@ class Splitter:
         return out
 
 
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.empty(1024, dtype=dtype), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.used + len(more)
+        if need > len(self.data):
+            data = np.empty(max(need, 2 * len(self.data)), dtype=self.data.dtype)
+            data[:self.used] = self.data[:self.used]
+            self.data = data
+        self.data[self.used:need] = more
+        self.used = need
+
+
 class PieceTable:
-    """piece -> row number; ``learn`` is given the new pieces and returns their values as a list of
-    arrays, one entry per piece in each. Emptied when it holds more than ``limit`` pieces."""
+    """piece -> number; ``learn`` is given the new pieces and returns an array with the value of each.
+    Emptied when it holds more than ``limit`` pieces."""
 
     def __init__(self, learn, limit: int = 1_000_000):
         self.learn, self.limit = learn, limit
+        self.clear()
+
+    def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.values = None
+        self.values = Grown(np.int64)
 
-    def add(self, lists: list[list[str]]) -> None:
-        if len(self.rows) > self.limit:
-            self.rows, self.values = {}, None
-        new = [p for p in set().union(*lists) if p not in self.rows]
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            got = self.learn(new)
-            self.values = got if self.values is None else [np.concatenate([a, b]) for a, b in zip(self.values, got)]
+    def store(self, new: list[str]) -> None:
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.values.extend(self.learn(new))
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.rows.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        """The numbers of ``pieces``, all looked up once; only unknown ones are learnt."""
+        if len(self.rows) > self.limit:
+            self.clear()
+        get = self.rows.get
+        found = list(map(get, pieces))
+        if None in found:
+            self.store(list(dict.fromkeys(p for p, n in zip(pieces, found) if n is None)))
+            found = list(map(get, pieces))
+        return np.array(found, dtype=np.int64)
+
+    def of(self, pieces: list[str]) -> np.ndarray:
+        at = self.numbers(pieces)  # may replace the array of values
+        return self.values.data[at]
 
 
 class IdTable(PieceTable):
-    """piece -> its ids, in one flat array. ``learn`` returns [sizes, ids of all new pieces]."""
+    """piece -> its ids. ``learn`` returns the new pieces in an order of its own, their sizes and all their ids."""
 
-    def add(self, lists):
-        if len(self.rows) > self.limit:
-            self.rows, self.values = {}, None
-        new = [p for p in set().union(*lists) if p not in self.rows]
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            size, flat = self.learn(new)
-            if self.values is None:
-                self.values = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype="<u4")]
-            known = len(self.values[2])
-            self.values = [np.concatenate([a, b]) for a, b in zip(self.values, (size, known + np.cumsum(size) - size, flat))]
-
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        if not pieces:
-            return np.empty(0, dtype="<u4")
+    def clear(self):
+        self.rows = {}
+        self.size, self.first, self.flat = Grown(np.int64), Grown(np.int64), Grown("<u4")
+
+    def store(self, new):
+        new, size, ids = self.learn(new)
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.size.extend(size)
+        self.first.extend(self.flat.used + np.cumsum(size) - size)
+        self.flat.extend(ids)
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids in order)."""
         at = self.numbers(pieces)
-        size = self.values[0][at]
-        first = self.values[1][at] - (np.cumsum(size) - size)
-        return self.values[2][np.repeat(first, size) + np.arange(size.sum())]
+        size = self.size.data[at]
+        first = self.first.data[at] - (np.cumsum(size) - size)
+        return size, self.flat.data[np.repeat(first, size) + np.arange(int(size.sum()))]
+
+
+def per_list(lists: list[list], values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (one for each element of all ``lists``) by list."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    end = np.cumsum([0, *map(len, lists)])
+    return total[end[1:]] - total[end[:-1]]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmail.llm.common import python_ready
-from sparkmail.llm.pieces import PieceTable, Splitter
+from sparkmail.llm.pieces import PieceTable, Splitter, per_list
 
 NONE = np.int32(2**31 - 1)
 
@@ -89,8 +89,8 @@ def count_table(tokenizer: str) -> tuple[Splitter, PieceTable]:
     """What a Python worker knows of a tokenizer; kept from task to task."""
     split = Splitter(tokenizer)
     merges = Merges(split.spec)
-    return split, PieceTable(lambda new: [np.array([1 if p in split.added else n for p, n in zip(
-        new, merges.counts([p.encode() for p in new]).tolist())])])
+    return split, PieceTable(lambda new: np.array([1 if p in split.added else n for p, n in zip(
+        new, merges.counts([p.encode() for p in new]).tolist())]))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -107,8 +107,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             pieces = [split(t) for t in texts]
-            table.add(pieces)
-            counts = [int(table.values[0][table.numbers(p)].sum()) if p else 0 for p in pieces]
+            counts = per_list(pieces, table.of([p for own in pieces for p in own]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
                                               pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
