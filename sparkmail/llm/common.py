@@ -19,7 +19,7 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def python_ready(spark: SparkSession, batch_rows: int = 256) -> None:
+def python_ready(spark: SparkSession, batch_rows: int = 128) -> None:
     """Before an operator runs Python on the executors: ship the package, and keep
     Arrow batches to few rows, as a text may be long."""
     ensure_shipped(spark)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
 U = np.uint64
-#: Bytes of text hashed at once (a longer text makes a chunk of its own).
-CHUNK = 2 << 20
+#: Bytes of text hashed at once; a longer text is hashed part by part, cut between words (so only a word may be longer).
+CHUNK = 1 << 17
 #: Odd multiplier of the rolling word hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 SPACES = (0x20, *range(0x09, 0x0E))
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,34 +49,56 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def parts_of(texts: list[bytes]):
+    """(number of the text, part): texts, long ones cut at white space after CHUNK bytes each."""
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > CHUNK:
+            gap = GAP.search(t, at + CHUNK)
+            end = gap.start() if gap else len(t)
+            yield i, t[at:end]
+            at = end
+        yield i, t[at:] if at else t
+
+
 def chunks(texts: list[bytes]):
-    """Runs of texts of CHUNK bytes at most together (or one text)."""
+    """Runs of (number, part) of about CHUNK bytes together."""
     run, size = [], 0
-    for t in texts:
+    for i, t in parts_of(texts):
         if run and size + len(t) + 1 > CHUNK:
             yield run
             run, size = [], 0
-        run.append(t)
+        run.append((i, t))
         size += len(t) + 1
     if run:
         yield run
 
 
+def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes (the last one white space) start, and their hashes."""
+    codes, space = byte_codes()
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space[raw]]).astype(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    up, down = powers(len(raw) + 1)
+    total = codes[raw]
+    total *= up[:len(raw)]
+    np.cumsum(total, out=total)
+    words = total[end - 1]
+    words[start > 0] -= total[start[start > 0] - 1]
+    words *= down[start]
+    words += (end - start).astype(U)
+    return start, mix(words)
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """Per text the 64-bit hashes of its words, in order."""
-    out: list[np.ndarray] = []
-    codes, space = byte_codes()
+    out: list[list[np.ndarray]] = [[] for _ in texts]
     for run in chunks(texts):
-        raw = np.frombuffer(b"\n".join(run) + b"\n", dtype=np.uint8)
-        gap = space[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
-        start, end = edge[0::2], edge[1::2]
-        up, down = powers(len(raw) + 1)
-        total = np.concatenate([[U(0)], np.cumsum(codes[raw] * up[:len(raw)], dtype=U)])
-        words = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
-        bounds = np.cumsum([len(t) + 1 for t in run])[:-1]
-        out += np.split(words, np.searchsorted(start, bounds))
-    return out
+        start, words = _hashes(np.frombuffer(b"\n".join(t for _, t in run) + b"\n", dtype=np.uint8))
+        bounds = np.cumsum([len(t) + 1 for _, t in run])[:-1]
+        for (i, _), own in zip(run, np.split(words, np.searchsorted(start, bounds))):
+            out[i].append(own)
+    return [own[0] if len(own) == 1 else np.concatenate(own) for own in out]
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:

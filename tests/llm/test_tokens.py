@@ -103,3 +103,16 @@ def test_first_fit_is_first_fit():
             free += [100] * (want == len(free))
             assert (b, o) == (want, 100 - free[want])
             free[want] -= size
+
+
+def test_long_texts_are_hashed_part_by_part(monkeypatch):
+    import numpy as np
+
+    from sparkmail.llm import shingles as S
+
+    texts = [b"", b" a  B c", b"x" * 500 + b" y", " ".join(f"Wort{i}é" for i in range(400)).encode(), b"\t\n"]
+    want = S.word_hashes(texts)
+    assert [len(w) for w in want] == [0, 3, 2, 400, 0]
+    monkeypatch.setattr(S, "CHUNK", 64)
+    monkeypatch.setattr(S, "_POWERS", {})
+    assert all(np.array_equal(a, b) for a, b in zip(S.word_hashes(texts), want))
