@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkmail.session import ensure_shipped
 
-#: Rows of two or three numbers that are broadcast at most (some 100 MB); a larger table is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of two or three numbers that are broadcast at most (some 25 MB as a hash table); a larger table is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmail.llm.common import ascii_lower, if_small
+from sparkmail.operators.ranks import col, unused
 from sparkmail.session import stage_table
 
 #: A word: neither ASCII punctuation nor white space nor control characters (after A-Z became a-z).
@@ -85,10 +86,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns as they are. Options as in ``decontaminate``."""
-    found = judge(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    """The rows of ``docs`` without a hit, all columns as they are, whatever their names. Options as in ``decontaminate``.
+
+    Null and empty texts stay, rows with a null id or a repeated one are judged by their own texts, and an
+    empty table gives an empty result."""
+    key, text = unused(docs.columns, "_id", "_th")
+    found = judge(docs, items, id_col, text_col, **options).where("contaminated").select(F.col("id").alias(key), F.col("th").alias(text))
     found = stage_table(found.distinct(), "contaminated-rows")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_th"))
+    same = col(id_col).eqNullSafe(F.col(key)) & F.xxhash64(col(text_col)).eqNullSafe(F.col(text))
     return docs.join(if_small(found), same, "left_anti")
 
 

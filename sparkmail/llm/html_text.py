@@ -40,10 +40,12 @@ ASIDE_WORDS = re.compile(
     r"sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|signup|login|share|sharing|social|related|"
     r"recommend\w*|comments?|disqus|reply|replies|respond|pagination|pager|toolbar|popup|modal|overlay|hidden|copyright|legal|form)"
     r"(?=$|[\s_-])")
+#: A tag ends before the next < outside quotes, so that pages without closing > or quotes take time in
+#: proportion to their length.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|(?P<text>[^<]+)|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*+>|(?P<text>[^<]+)|<", re.S | re.I)
+ATTRIBUTE = re.compile(r"""(?<![a-z-])([a-z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
 
 
 @dataclass

@@ -1,18 +1,19 @@
-"""Near-duplicate documents, exactly, by prefix filtering.
+"""Near-duplicate documents by one-permutation sketches, and exactly.
 
 A document is the set of its hashed word shingles. Documents with equal sets
-are one class, and only the classes' smallest ids go on. The shingles of all
-sets are put into one order, rare ones first. Two sets that are similar
-enough must then have a shingle in common among the first few of each
-(the prefix), so every link is between two members of one prefix shingle's
-bucket, and shingles of a template or passage that many documents share come
-last and make no bucket. Pairs are confirmed on the full sets.
-
-Only the components of the links are wanted. So stars (each member with one
-centre of its bucket) join large groups of similar documents first, with pairs
-that grow with the members and not with their square. Then every pair of a
-bucket whose members are still in different components is tried: no link
-is left out.
+are one class, and only the classes' smallest ids go on. One pass over the text
+makes a sketch of each set (one-permutation hashing with optimal
+densification) and cuts it into bands; classes with an equal band share a
+bucket, and each member of a bucket is paired with one centre (a star), so the
+pairs grow with the members and not with their square. Pairs are confirmed on the
+full sets, and their components found.
+
+Bands can miss a link, and a star tests only the pairs with its centre. So what the
+stars leave in different components goes through prefix filtering: the shingles of
+all sets are put into one order, rare ones first, and two sets that are similar enough
+must have a shingle in common among the first few of each (the prefix). Every pair of
+such a bucket that is still in different components is tried: no link is left out, and
+shingles of a template or passage that many documents share come last and make no bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from sparkmail.llm import shingles as S
 from sparkmail.llm.common import if_small, python_ready
 from sparkmail.llm.components import components
+from sparkmail.operators.ranks import col, unused
 from sparkmail.session import stage_table
 
 #: Counters of shingles by hash, from which their order is made, in slices. Shingles that share a counter
@@ -32,7 +34,10 @@ from sparkmail.session import stage_table
 COUNTERS, SLICES = 1 << 20, 64
 #: Bits of a set's signature, by which most pairs are ruled out without their texts.
 BITS = 1024
-#: Rounds of stars before all remaining pairs are tried.
+#: Bins and bands of a sketch: sets with similarity s share a band with probability 1 - (1 - s**5)**25,
+#: which is 0.99995 at 0.8.
+BINS, BANDS = 125, 25
+#: Rounds of stars in the bands' buckets before all remaining pairs are tried by prefixes.
 STARS = 2
 
 
@@ -57,9 +62,10 @@ def _signature(found: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, key1, key2, slice, counts): size of the shingle set and two hashes of the whole set; after
-    these rows (``slice`` null) each task adds its counts of shingles, a row for each slice of counters."""
-    names = ["id", "n", "key1", "key2", "slice", "counts"]
+    """(id, n, key1, key2, bands, slice, counts): size of the shingle set, two hashes of the whole set and the bands of
+    its sketch; after these rows (``slice`` null) each task adds its counts of shingles, a row for each slice of counters."""
+    names = ["id", "n", "key1", "key2", "bands", "slice", "counts"]
+    listed = pa.list_(pa.int64())
 
     def run(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -70,15 +76,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 batch.column(0), pa.array([len(s) for s in found], pa.int64()),
                 pa.array(_longs([S.mix(s).sum(dtype=np.uint64) for s in found])),
                 pa.array(_longs([np.bitwise_xor.reduce(S.mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in found])),
+                pa.array([_longs(S.band_keys(S.one_permutation(s, BINS), BANDS)) if len(s) else None for s in found], listed),
                 pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names)
         parts = _slices(total, np.uint32)
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in parts], pa.int32()),
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), listed), pa.array([i for i, _ in parts], pa.int32()),
                                           pa.array([p.tobytes() for _, p in parts], pa.binary())], names=names)
 
     python_ready(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
-        .mapInArrow(run, "id long, n long, key1 long, key2 long, slice int, counts binary")
+        .mapInArrow(run, "id long, n long, key1 long, key2 long, bands array<long>, slice int, counts binary")
 
 
 def counters(counts: DataFrame) -> np.ndarray:
@@ -162,17 +169,16 @@ def _enough(common, n, m, percent: int):
     return (100 + percent) * common >= percent * (n + m)
 
 
-def stars(members: DataFrame, percent: int, by_weight: bool) -> DataFrame:
-    """(a, b), a < b: each member of a bucket (key, rep, n, pos, weight, label) of several components with
-    the bucket's centre, unless both are in one component or a link is ruled out as in ``open_pairs``. The centre
-    is the member with the largest weight, i.e. the one that shares buckets with the most others, or
-    else one that a hash picks, another one in each bucket."""
-    chance = F.xxhash64("rep", "key")
-    order = F.col("weight") * F.lit(2.0**20) + F.pmod(chance, F.lit(2**20)) if by_weight else chance
+def stars(members: DataFrame, percent: int, step: int) -> DataFrame:
+    """(a, b), a < b: each member of a bucket (key, rep, n, label) of several components with the bucket's centre, unless
+    both are in one component or their sizes rule a link out. The centre is picked by a hash: at first the same
+    for all buckets that a set is in, which keeps the pairs few; then another one in each bucket."""
+    order = F.xxhash64("rep") if step == 0 else F.xxhash64("rep", "key", F.lit(step))
     hubs = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                      F.max_by(F.struct("rep", "n", "pos", "label"), order).alias("c")).where("low < high")
-    return members.join(hubs, "key").where(F.col("label") != F.col("c.label")) \
-        .where(_enough(F.least(F.expr("n - pos"), F.expr("c.n - c.pos")), F.col("n"), F.col("c.n"), percent)) \
+                                      F.min_by(F.struct("rep", "n", "label"), order).alias("c")).where("low < high").select("key", "c")
+    hubs = stage_table(hubs, "near-dup-stars")
+    return members.join(if_small(hubs), "key").where(F.col("label") != F.col("c.label")) \
+        .where(_enough(F.least(F.col("n"), F.col("c.n")), F.col("n"), F.col("c.n"), percent)) \
         .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).where("a < b").distinct()
 
 
@@ -215,38 +221,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = stage_table(hubs, "near-dup-ids")
     links = own.join(hubs, "id").where("a < rep").select("a", F.col("rep").alias("b")) if hubs.limit(1).count() else None
 
-    # One bucket per shingle of a prefix; only buckets with several members go on.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")) \
         .where("id is not null and text is not null")
     reps = stage_table(own.where("id = rep").select("id").distinct(), "near-dup-reps")
     found = stage_table(prefixes(texts.join(if_small(reps), "id", "left_semi"), total, size, percent), "near-dup-prefixes")
-    members = found.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = stage_table(members.join(shared, "key"), "near-dup-members")
-    weights = stage_table(members.groupBy("rep").agg(F.sum("m").alias("weight")), "near-dup-weights")
-    members = members.drop("m")
     sigs = found.select("rep", "n", "sig")
+    # One bucket per band, and one per shingle of a prefix (only those with several members go on).
+    bands = sk.join(if_small(reps), "id", "left_semi").where("n > 0").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+
+    def by_prefix(labels):
+        members = found.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
+        shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        return open_pairs(stage_table(members.join(shared, "key"), "near-dup-members").join(if_small(labels), "rep"), percent)
 
     def labelled(links):
         """The components of ``links``, which stand for the links from then on, and all labels."""
         linked = stage_table(components(links), "near-dup-linked")
-        labels = weights.join(linked.withColumnRenamed("id", "rep"), "rep", "left") \
-            .select("rep", "weight", F.coalesce("label", "rep").alias("label"))
+        labels = reps.select(F.col("id").alias("rep")).join(linked.withColumnRenamed("id", "rep"), "rep", "left") \
+            .select("rep", F.coalesce("label", "rep").alias("label"))
         return linked, linked.select(F.col("label").alias("a"), F.col("id").alias("b")), stage_table(labels, "near-dup-labels")
 
     linked, tested = None, None
-    labels = weights.withColumn("label", F.col("rep"))
+    labels = reps.select(F.col("id").alias("rep"), F.col("id").alias("label"))
     if links is not None:
         linked, links, labels = labelled(links)
     for step in range(STARS + 1):
-        placed = members.join(if_small(labels), "rep")
-        pairs = stars(placed, percent, by_weight=step == 0) if step < STARS else open_pairs(placed, percent)
+        pairs = stars(bands.join(if_small(labels), "rep"), percent, step) if step < STARS else by_prefix(labels)
         pairs = possible(pairs, sigs, percent)
         pairs = stage_table(pairs.join(if_small(tested), ["a", "b"], "left_anti") if step else pairs, "near-dup-pairs")
-        found = stage_table(confirm(pairs, texts, size, percent), "near-dup-links")
+        confirmed = stage_table(confirm(pairs, texts, size, percent), "near-dup-links")
         tested = tested.unionByName(pairs) if step else pairs
-        if found.limit(1).count():
-            linked, links, labels = labelled(found if links is None else links.unionByName(found))
+        if confirmed.limit(1).count():
+            linked, links, labels = labelled(confirmed if links is None else links.unionByName(confirmed))
     if linked is None:
         linked = own.select(F.col("rep").alias("id"), F.col("rep").alias("label")).limit(0)
     return own.join(linked.withColumnRenamed("id", "rep"), "rep", "left") \
@@ -256,8 +262,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, that with the smallest id, all columns as they are. Rows
-    with a null id stay, and so do all rows that repeat a kept id. Options as in ``near_duplicates``."""
-    found = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("id").alias("_id")).distinct()
+    """One document of each component, that with the smallest id, all columns as they are, whatever their names.
+
+    Rows with a null id stay, and so do null and empty texts and all rows that repeat a kept id; an empty table
+    gives an empty result. Options as in ``near_duplicates``."""
+    key = unused(docs.columns, "_id")[0]
+    found = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("id").alias(key)).distinct()
     found = stage_table(found, "near-dup-dropped")
-    return docs.join(if_small(found), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    return docs.join(if_small(found), col(id_col) == F.col(key), "left_anti")

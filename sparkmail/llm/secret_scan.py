@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmail.llm import spans as P
+from sparkmail.operators.ranks import col, unused
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules=BASE + MORE, nam
     trigrams = sorted({t for q in queries.values() for x in q for t in x})
     given = [c for c in docs.columns if c.lower() != name.lower()]
     # Own names, so that no column of docs can clash.
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    df = docs.select(F.struct(*[col(c) for c in given]).alias("_row"), F.coalesce(col(text_col), F.lit("")).alias("_text"))
     df = add_index(df, "_text", "_index", trigrams)
     for r in rules:
         df = P.add_matches(df, "_text", f"_{r.kind}", r.pattern, satisfies(queries[r.kind], "_index", trigrams), r.group)
@@ -168,7 +169,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules=BASE + MORE, nam
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules=BASE + MORE, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each stretch of the text that secrets cover replaced by ``mask``; all rows stay."""
-    found = find_secrets(docs, text_col, rules, "_spans").withColumn("_merged", P.merged(F.col("_spans")))
-    text = F.when(F.size("_merged") > 0, P.masked(F.col(text_col), F.col("_merged"), mask)).otherwise(F.col(text_col))
-    return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with each stretch of the text that secrets cover replaced by ``mask``.
+
+    All rows and columns stay, whatever their names; a null text stays null, an empty one empty; repeated
+    rows are masked alike; an empty table gives an empty result.
+    """
+    spans, union = unused(docs.columns, "_spans", "_merged")
+    found = find_secrets(docs, text_col, rules, spans).withColumn(union, P.merged(F.col(spans)))
+    text = F.when(F.size(union) > 0, P.masked(col(text_col), F.col(union), mask)).otherwise(col(text_col))
+    return found.select(*[text.alias(c) if c == text_col else col(c) for c in docs.columns])

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmail.operators.ranks import col
 from sparkmail.session import stage_table
 
 #: Sorts after every character a key can go on with.
@@ -94,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("rule_verdict")) \
         .withColumn("rule_host_key", host_key(F.col("rule_host"))) \
         .withColumn("rule_key", F.concat("rule_host_key", F.lit(SEP), "rule_path"))
-    urls = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")) \
+    urls = pages.select(host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path")) \
         .distinct().withColumn("host_key", host_key(F.col("host")))
     hosts = rules.select(F.col("rule_host_key").alias("key")).distinct()
     inner = sweep(urls.select(F.col("host_key").alias("key")), hosts) \
@@ -109,7 +110,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .groupBy("host", "path").agg(F.max_by(F.struct("rule_host", "rule_path", "rule_verdict"), size).alias("won"))
     new = ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c.lower() not in new]
-    rows = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    # The columns of pages travel as one, so that none can clash.
+    rows = pages.select(F.struct(*[col(c) for c in keep]).alias("page") if keep else F.lit(None).alias("page"),
+                        host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path"))
     return rows.join(judged, ["host", "path"], "left").select(
-        *keep, "host", "path", F.concat("won.rule_host", "won.rule_path").alias("rule"),
+        *[F.col("page").getField(c).alias(c) for c in keep], "host", "path", F.concat("won.rule_host", "won.rule_path").alias("rule"),
         F.coalesce("won.rule_verdict", F.lit(default)).alias("verdict"))

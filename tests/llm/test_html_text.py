@@ -3,6 +3,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from sparkmail.llm.html_text import extract, parse, scores, text_at
 from tests_support import pages
 
@@ -75,3 +77,17 @@ def test_scores_are_shares():
     p = parse(page("<nav>menu</nav><article><p>text here</p></article>"))
     found = scores(p)
     assert {p.path(i) for i in found} == {"html>body>article"} and all(0 < s <= 1 for s in found.values())
+
+
+@pytest.mark.parametrize("shape", ["<div class='x", "<a ", "<!x", "<div aaaa", "<a \"", "<p x='\">", "</", "<script", "<div class=\"a b'"])
+def test_malformed_pages_take_time_in_proportion(shape):
+    import time
+
+    start = time.time()
+    parse(shape * (2_000_000 // len(shape)))
+    assert time.time() - start < 20
+
+
+def test_markup_characters_inside_quotes_stay_in_the_tag():
+    page = parse('<div title="a > b" data-x=\'<b>\'><p>one <br/>two</p></div>')
+    assert [b[0] for b in page.blocks] == ["one two"]
