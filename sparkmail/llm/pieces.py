@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import regex
@@ -73,9 +74,9 @@ class Grown:
 
 class PieceTable:
     """piece -> number; ``learn`` is given the new pieces and returns an array with the value of each.
-    Emptied when it holds more than ``limit`` pieces."""
+    When it holds more than ``limit`` pieces, the half learnt first stays: the frequent ones are met early."""
 
-    def __init__(self, learn, limit: int = 1_000_000):
+    def __init__(self, learn, limit: int = 400_000):
         self.learn, self.limit = learn, limit
         self.clear()
 
@@ -83,6 +84,9 @@ class PieceTable:
         self.rows: dict[str, int] = {}
         self.values = Grown(np.int64)
 
+    def cut(self, kept: int) -> None:
+        self.values.used = kept
+
     def store(self, new: list[str]) -> None:
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.values.extend(self.learn(new))
@@ -90,7 +94,9 @@ class PieceTable:
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of ``pieces``, all looked up once; only unknown ones are learnt."""
         if len(self.rows) > self.limit:
-            self.clear()
+            kept = self.limit // 2
+            self.rows = dict(islice(self.rows.items(), kept))
+            self.cut(kept)
         get = self.rows.get
         found = list(map(get, pieces))
         if None in found:
@@ -110,6 +116,10 @@ class IdTable(PieceTable):
         self.rows = {}
         self.size, self.first, self.flat = Grown(np.int64), Grown(np.int64), Grown("<u4")
 
+    def cut(self, kept):
+        self.flat.used = int(self.first.data[kept])
+        self.size.used = self.first.used = kept
+
     def store(self, new):
         new, size, ids = self.learn(new)
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))

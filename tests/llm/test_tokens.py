@@ -116,3 +116,18 @@ def test_long_texts_are_hashed_part_by_part(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 64)
     monkeypatch.setattr(S, "_POWERS", {})
     assert all(np.array_equal(a, b) for a, b in zip(S.word_hashes(texts), want))
+
+
+def test_a_full_table_forgets_the_pieces_learnt_last():
+    import numpy as np
+
+    from sparkmail.llm.pieces import IdTable, PieceTable
+
+    table = IdTable(lambda new: (new[::-1], np.array([len(p) for p in new[::-1]]), np.array([ord(c) for p in new[::-1] for c in p], dtype="<u4")), limit=20)
+    lengths = PieceTable(lambda new: np.array([len(p) for p in new]), limit=20)
+    for k in range(30):
+        pieces = [f"p{i}" for i in range(k, k + 9)] + ["a", "bb"]
+        size, ids = table.ids(pieces)
+        assert size.tolist() == lengths.of(pieces).tolist() == [len(p) for p in pieces]
+        assert "".join(map(chr, ids)) == "".join(pieces)
+        assert len(table.rows) <= 40
