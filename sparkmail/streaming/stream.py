@@ -21,6 +21,7 @@ from sparkmail.functions import rules as R
 from sparkmail.functions.classify import classify_keyword
 from sparkmail.functions.text import parse_iso_ts, source_tag
 from sparkmail.operators.merge import apply_feedback, first_per_key
+from sparkmail.sources.buckets import BucketTable
 from sparkmail.sources.lake import read_or_empty
 
 CORRUPT = "_corrupt_record"
@@ -158,6 +159,27 @@ def classify_batch(batch: DataFrame, batch_id: int, sink: str, dlq: str,
         parsed.unpersist()
 
 
+def classify_batch_by_store(batch: DataFrame, batch_id: int, sink: str, dlq: str, labeler: Callable[[DataFrame], DataFrame],
+                            ids: str, key: str = "email_id", buckets: int = 64) -> None:
+    """``classify_batch`` with the ids seen so far in a bucketed table under ``ids``: a batch opens the files of its own
+    ids' buckets only, and a batch that is run again finds what it added before."""
+    table = BucketTable(batch.sparkSession, ids, [key], buckets)
+    if not table.manifest()["number"]:
+        table.create(batch.sparkSession.createDataFrame([], StructType([StructField(key, StringType())])))
+    parsed = decode(batch).persist()
+    fresh = None
+    try:
+        good, bad = split_bad(parsed)
+        fresh = first_per_key(good, [key], ["timestamp"]).persist()
+        new = table.append_unseen(fresh.select(key), tag=str(batch_id))
+        to_results(labeler(fresh.join(new, key, "left_semi"))).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        bad.write.mode("overwrite").partitionBy("dlq_date").json(f"{dlq}/batch_id={batch_id}")
+    finally:
+        if fresh is not None:
+            fresh.unpersist()
+        parsed.unpersist()
+
+
 def store_batch(batch: DataFrame, batch_id: int, sink: str, labeler: Callable[[DataFrame], DataFrame]) -> None:
     """Label one micro-batch of validated, deduplicated events and write it
     to ``sink/batch_id=N`` (overwrite: a retried batch replaces itself)."""
@@ -206,11 +228,18 @@ def stream_classify(source: DataFrame, sink: str, dlq: str, checkpoint: str,
     (``classify_batch``) -- no state, but a scan of the stored id column per
     batch.
 
+    ``dedup="store"``: one query; the ids are kept in a bucketed table under the checkpoint, of which each batch opens
+    the buckets of its own ids (``classify_batch_by_store``).
+
     ``trigger`` defaults to the reference's 300 s flush; tests pass
     ``{"availableNow": True}`` to drain the input and stop.
     """
     lab = labeler or rule_labeler()
     trig = trigger or {"processingTime": "300 seconds"}
+    if dedup == "store":
+        q = (source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+            lambda b, i: classify_batch_by_store(b, i, sink, dlq, lab, f"{checkpoint.rstrip('/')}-ids", key)).trigger(**trig).start())
+        return StreamGroup(q)
     if dedup == "sink":
         q = (source.writeStream.option("checkpointLocation", checkpoint)
              .foreachBatch(lambda b, i: classify_batch(b, i, sink, dlq, lab)).trigger(**trig).start())

@@ -154,3 +154,22 @@ def test_correction_emits_a_new_snapshot(spark, tmp):
     assert ST.emit_if_changed(spark, none, out, state, 2, corrections=fix)
     assert not ST.emit_if_changed(spark, none, out, state, 3, corrections=fix)
     assert [r.feedback for r in spark.read.parquet(out + "/batch_id=2").collect()] == ["spam"]
+
+
+def test_stored_ids_in_buckets_give_the_same_results_as_state(spark, tmp):
+    src, ck = os.path.join(tmp, "in"), os.path.join(tmp, "ck")
+
+    def put(ids, n):
+        rows = [(json.dumps({"email_id": i, "text": f"t {n}", "timestamp": f"2024-01-0{n}T00:00:00Z"}),) for i in ids]
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(src)
+
+    put(["a", "b", "a", "c"], 1)
+    put(["b", "d"], 2)
+    sinks = [os.path.join(tmp, f"sink{i}") for i in range(2)]
+    for sink, dedup in zip(sinks, ("state", "store")):
+        _run(ST.stream_classify(ST.file_source(spark, src, max_files=1), sink, f"{sink}-dlq", f"{ck}-{dedup}", trigger=NOW, dedup=dedup))
+    put(["a", "e"], 3)
+    for sink, dedup in zip(sinks, ("state", "store")):  # after a restart
+        _run(ST.stream_classify(ST.file_source(spark, src, max_files=1), sink, f"{sink}-dlq", f"{ck}-{dedup}", trigger=NOW, dedup=dedup))
+    got = [sorted(r.email_id for r in spark.read.parquet(s).collect()) for s in sinks]
+    assert got == [["a", "b", "c", "d", "e"]] * 2
