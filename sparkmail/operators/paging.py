@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
 from sparkmail.functions.text import between_days
+from sparkmail.operators.ranks import PART_ROWS, with_position
+from sparkmail.session import stage_table
 
 
 def search(df: DataFrame, user_id=None, spam_label: str | None = None, mailbox_type: str | None = None,
@@ -72,6 +74,30 @@ def page(df: DataFrame, page_no: int = 1, size: int = 50, ts_col: str = "receive
     return df.orderBy(F.col(ts_col).desc(), F.col(id_col).desc()).offset((page_no - 1) * size).limit(size)
 
 
+def write_page_index(df: DataFrame, root: str, ts_col: str = "received_at", id_col: str = "message_id", part_rows: int = PART_ROWS) -> None:
+    """W5 for deep pages: ``df`` newest first, in range partitions that are folders of the table ``root``/rows, and
+    ``root``/parts with the rows before each. One sort of the table, then any page opens one or two partitions.
+
+    Null times come last, as in ``page``. ``df`` must not have columns ``part`` and ``position``."""
+    order = [F.col(ts_col).desc_nulls_last(), F.col(id_col).desc_nulls_last()]
+    placed = with_position(stage_table(df, "page-rows"), order, position="position", part="part", part_rows=part_rows)
+    # A partition is a folder with one file of sorted rows: they come sorted from one task each.
+    placed.repartition("part").sortWithinPartitions("part", "position").write.mode("overwrite").partitionBy("part").parquet(f"{root}/rows")
+    rows = df.sparkSession.read.parquet(f"{root}/rows")
+    rows.groupBy(F.col("part").cast("int").alias("part")).agg(F.min("position").alias("first"), F.max("position").alias("last")) \
+        .coalesce(1).write.mode("overwrite").parquet(f"{root}/parts")
+
+
+def indexed_page(spark, root: str, page_no: int = 1, size: int = 50) -> DataFrame:
+    """The rows of ``page`` from an index, in order. Only the partitions that hold the page are read."""
+    first = (max(1, int(page_no)) - 1) * size
+    parts = spark.read.parquet(f"{root}/parts").where((F.col("last") >= first) & (F.col("first") < first + size))
+    # As many as a page spans: two, unless pages are larger than partitions.
+    wanted = [str(r.part) for r in parts.select("part").collect()]
+    return spark.read.parquet(f"{root}/rows").where(F.col("part").cast("string").isin(wanted)) \
+        .where(F.col("position").between(first, first + size - 1)).orderBy("position").drop("part", "position")
+
+
 def page_after(df: DataFrame, last_ts, last_id, size: int = 50, ts_col: str = "received_at",
                id_col: str = "message_id") -> DataFrame:
     """Keyset paging for deep pages: rows strictly after (last_ts, last_id)

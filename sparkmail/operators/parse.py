@@ -84,9 +84,32 @@ EML_SCHEMA = ("path string, message_id string, subject string, from_header strin
               "cc_header string, body string, body_is_html boolean, attachment_count int, ok boolean")
 
 
+def _decoded(value: str) -> str:
+    """A header value with its encoded words (RFC 2047) decoded, folded lines joined; words in an unknown
+    encoding stay as they are."""
+    from email.errors import HeaderParseError
+    from email.header import decode_header
+
+    if "=?" not in value:
+        return " ".join(value.split())
+    out = []
+    try:
+        for part, charset in decode_header(value):
+            if isinstance(part, str):
+                out.append(part)
+                continue
+            try:
+                out.append(part.decode(charset or "ascii", errors="replace"))
+            except LookupError:
+                out.append(part.decode("utf-8", errors="replace"))
+    except HeaderParseError:
+        return " ".join(value.split())
+    return " ".join("".join(out).split())
+
+
 def _header(message, name: str) -> str:
-    """A header's decoded text, folded lines joined; '' if it is missing."""
-    return " ".join(str(message.get(name, "")).split())
+    """A header's decoded text; '' if it is missing."""
+    return _decoded(str(message.get(name, "")))
 
 
 def _leaf_text(leaf) -> str | None:
@@ -106,15 +129,17 @@ def _read_message(content: bytes) -> tuple:
     first readable text part in order, or all of a message that has no parts."""
     from email import message_from_bytes, policy
 
-    message = message_from_bytes(content, policy=policy.default)
+    # The light policy leaves headers as text; the default one builds a full grammar of each, which takes most of the time.
+    message = message_from_bytes(content, policy=policy.compat32)
     leaves = [p for p in message.walk() if not p.is_multipart()]
     single = len(leaves) == 1 and leaves[0] is message
     wanted = leaves if single else [p for p in leaves if p.get_content_type() in ("text/plain", "text/html")]
     body, kind = next(((t, p.get_content_type()) for p in wanted if (t := _leaf_text(p)) is not None), ("", "text/plain"))
     html = kind == "text/html" or single and "<" in body and ">" in body
     cc = message.get("Cc")
-    return (_header(message, "Message-ID"), _header(message, "Subject"), _header(message, "From"), message.get("Date"),
-            None if cc is None else str(cc), body, html, sum(p.get_content_disposition() == "attachment" for p in leaves))
+    date = message.get("Date")
+    return (_header(message, "Message-ID"), _header(message, "Subject"), _header(message, "From"), None if date is None else _decoded(str(date)),
+            None if cc is None else _decoded(str(cc)), body, html, sum(p.get_content_disposition() == "attachment" for p in leaves))
 
 
 def _mime_walk(frames):

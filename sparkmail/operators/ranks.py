@@ -68,6 +68,9 @@ def with_position(df: DataFrame, order: list[Column], by: list[str] = [], positi
     # Null-safe keys of the groups, for the join below.
     keyed = df.withColumn(key, F.struct(*[col(c) for c in by]) if by else F.lit(0))
     ranged = range_sorted(keyed, [*[col(c) for c in by], *order], parts, part, row)
+    if parts == 1 and not by:
+        placed = ranged.withColumn(position, col(row))
+        return placed.select(*[col(c) for c in df.columns], position, *([part] if keep_part else []))
     counts = ranged.groupBy(part, key).agg(F.min(row).alias(least), F.count("*").alias(n))
     counts = stage_table(counts, "ranges-counts")
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,3 +81,34 @@ def with_position(df: DataFrame, order: list[Column], by: list[str] = [], positi
     placed = ranged.join(offsets, (F.col(part) == F.col(f"{part}_o")) & F.col(key).eqNullSafe(F.col(f"{key}_o"))) \
         .withColumn(position, (F.col(row) + F.col(offset)).cast("long"))
     return placed.select(*[col(c) for c in df.columns], position, *([part] if keep_part else []))
+
+
+def rank_statistics(df: DataFrame, score: str = "score", label: str = "label", part_rows: int = PART_ROWS) -> DataFrame:
+    """M4: (positives, negatives, auc, ks) of scores against 0/1 labels, exactly, ties counted half.
+
+    ``auc`` is the Mann-Whitney statistic over all pairs of a positive and a negative, ``ks`` the greatest distance of their
+    distributions. Rows are counted by score first; the distinct scores are range-partitioned and the counts below
+    each are summed within partitions, plus those of the partitions before. Rows with a null score or label are left out;
+    without a positive or a negative both are null. Jobs run when called.
+    """
+    rows = df.select(col(score).cast("double").alias("score"), (col(label) > 0).alias("positive")).where("score is not null and positive is not null")
+    counts = stage_table(rows.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")), "scores")
+    parts = max(1, math.ceil(counts.count() / part_rows))
+    ranged = range_sorted(counts, [F.col("score")], parts, "part", "row", "scores-sorted")
+    totals = ranged.groupBy("part").agg(F.sum("p").alias("part_p"), F.sum("n").alias("part_n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", F.coalesce(F.sum("part_p").over(before), F.lit(0)).alias("p_before"),
+                            F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("n_before"))
+    # One row per partition: as many as there are, which ``part_rows`` bounds.
+    own = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("p_seen", F.sum("p").over(own)).withColumn("n_seen", F.sum("n").over(own)).join(offsets, "part") \
+        .withColumn("p_seen", F.col("p_seen") + F.col("p_before")).withColumn("n_seen", F.col("n_seen") + F.col("n_before"))
+    wide = "decimal(38,0)"
+    all_p, all_n = (counts.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for c in ("p", "n"))
+    pairs = (F.col("p").cast("decimal(18,0)") * (2 * F.col("n_seen") - F.col("n")).cast("decimal(19,0)")).cast(wide)
+    ks = F.abs(F.col("p_seen") / F.lit(max(all_p, 1)) - F.col("n_seen") / F.lit(max(all_n, 1)))
+    found = placed.agg(F.sum(pairs).alias("twice"), F.max(ks).alias("ks"))
+    both = F.lit(bool(all_p and all_n))
+    return found.select(
+        F.lit(all_p).cast("long").alias("positives"), F.lit(all_n).cast("long").alias("negatives"),
+        F.when(both, F.col("twice").cast("double") / (2.0 * max(all_p, 1) * max(all_n, 1))).alias("auc"), F.when(both, F.col("ks")).alias("ks"))

@@ -17,6 +17,7 @@ from sparkmail.operators import analytics as A
 from sparkmail.operators.classify import classify_keyword
 from sparkmail.operators.ingest import clean_raw
 from sparkmail.operators.paging import top_per_user
+from sparkmail.session import stage_table
 from sparkmail.sources import lake as L
 
 
@@ -34,12 +35,15 @@ def _chain(spark: SparkSession, raw_root: str, lake_root: str, start: str, end:
     behind; the daily table by date, so other days stay.
     """
     raw = L.read_raw(spark, raw_root, date=start if start == end else None, corrupt=True).where(_between("ingestion_date", start, end))
-    good, bad = L.split_corrupt(raw)
+    # The raw JSON is parsed once; both halves are written from the staged rows.
+    good, bad = L.split_corrupt(stage_table(raw, "raw"))
     good = clean_raw(good)
     if mailbox_type is not None:
         good = good.where(F.col("mailbox_type") == F.lit(mailbox_type))
     L.write_partitions(good, f"{lake_root}/emails_raw", ["ingestion_date", "mailbox_type"])
     L.write_partitions(bad, f"{lake_root}/dead_letters", ["dlq_date"], fmt="json")
+    # A date without dead letters now may have had some before.
+    L.keep_partitions(spark, f"{lake_root}/dead_letters", "dlq_date", [r[0] for r in bad.select("dlq_date").distinct().collect()], start, end)
 
     def stored(name, date_col):
         path = f"{lake_root}/{name}"
@@ -110,9 +114,10 @@ def to_events(df: DataFrame, per_user: int, source: str = "mailbox") -> DataFram
 
 
 def to_kafka_rows(df: DataFrame, key: str = "email_id") -> DataFrame:
-    """(key, value) rows for a Kafka sink; value = JSON of the row,
-    source tag defaulted to 'unknown' and cut to 32 characters."""
-    x = df
+    """(key, value) rows for a Kafka sink; value = JSON of the row, source tag
+    defaulted to 'unknown' and cut to 32 characters. ``user_id``, which tells the
+    newest messages of each user apart, is not part of an event."""
+    x = df.drop("user_id")
     if "pipeline_source" in x.columns:
         x = x.withColumn("pipeline_source", T.source_tag(F.col("pipeline_source")))
     return x.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[F.col(c) for c in x.columns]))

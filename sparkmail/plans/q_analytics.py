@@ -4,24 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkmail.functions import rules as R
 from sparkmail.operators import analytics as A
 from sparkmail.plans.adapters import MESSAGES_FROM_EVENTS_SQL as EV, messages_from_events, table
 from sparkmail.plans.registry import query
 
-END = "2024-01-30"      # fixed end date of the test data (never "today")
+# First and last day of the stored messages, and the day before the last, in SQL.
+FIRST = "(SELECT strftime(min(ts), '%Y-%m-%d') FROM events)"
+LAST = "(SELECT strftime(max(ts), '%Y-%m-%d') FROM events)"
+BEFORE = "(SELECT strftime(max(ts) - INTERVAL 1 DAY, '%Y-%m-%d') FROM events)"
 
 
 def _events(spark, sf):
     return messages_from_events(table(spark, sf, "events"))
 
 
+def all_days(messages) -> tuple[str, int]:
+    """The last day of the messages and how many days before it the first one is; 1970-01-01 and 0 if there are none."""
+    r = messages.agg(F.date_format(F.max("received_at"), "yyyy-MM-dd").alias("last"),
+                     F.date_diff(F.max("received_at").cast("date"), F.min("received_at").cast("date")).alias("days")).first()
+    return (r["last"], r["days"]) if r["last"] else ("1970-01-01", 0)
+
+
 # Shared SQL pieces for the oracle. ``dom`` is F10 (sender domain).
 DOM = "CASE WHEN strpos(sender, '@') > 0 THEN lower(reverse(split_part(reverse(sender), '@', 1))) ELSE '' END"
 
 
 @query("daily_metrics", sql=f"""
 WITH m AS ({EV}),
-w AS (SELECT * FROM m WHERE classification_date BETWEEN '2023-12-31' AND '2024-01-30'),
+w AS (SELECT * FROM m WHERE classification_date BETWEEN {FIRST} AND {LAST}),
 d AS (SELECT classification_date AS metric_date, count(*) AS daily_volume,
              count(*) FILTER (WHERE spam_label = 'spam') AS spam_count,
              count(*) FILTER (WHERE spam_label = 'ham') AS ham_count,
@@ -41,7 +52,9 @@ SELECT d.metric_date, daily_volume, spam_count, ham_count,
 FROM d LEFT JOIN t USING (metric_date) LEFT JOIN s USING (metric_date)
 """)
 def q_daily_metrics(spark, sf):
-    d = A.daily_metrics(_events(spark, sf), END, days=30, top_k=10)
+    m = _events(spark, sf)
+    end, days = all_days(m)
+    d = A.daily_metrics(m, end, days=days, top_k=10)
     return d.select("metric_date", "daily_volume", "spam_count", "ham_count", "spam_rate",
                     "avg_urgency_score",
                     A.topic_map_text("topic_distribution").alias("topic_distribution"),
@@ -51,13 +64,15 @@ def q_daily_metrics(spark, sf):
 @query("daily_top_senders", sql=f"""
 WITH m AS ({EV}),
 c AS (SELECT classification_date AS metric_date, {DOM} AS domain, count(*) AS n FROM m
-      WHERE classification_date BETWEEN '2023-12-31' AND '2024-01-30' GROUP BY 1, 2)
+      WHERE classification_date BETWEEN {FIRST} AND {LAST} GROUP BY 1, 2)
 SELECT metric_date, string_agg(domain || '=' || CAST(n AS VARCHAR), ',' ORDER BY rk) AS top_senders_by_domain
 FROM (SELECT *, row_number() OVER (PARTITION BY metric_date ORDER BY n DESC, domain) AS rk FROM c)
 WHERE rk <= 3 GROUP BY 1
 """)
 def q_daily_top_senders(spark, sf):
-    t = A.daily_top_senders(_events(spark, sf), END, days=30, k=3)
+    m = _events(spark, sf)
+    end, days = all_days(m)
+    t = A.daily_top_senders(m, end, days=days, k=3)
     return t.select("metric_date", A.senders_text("top_senders_by_domain").alias("top_senders_by_domain"))
 
 
@@ -79,8 +94,8 @@ a AS (SELECT user_id, count(*) AS total_emails,
              CAST(sum(CAST(urgency_score AS DECIMAL(38,12))) AS DOUBLE) / count(urgency_score) AS u,
              CAST(sum(CAST(sentiment_score AS DECIMAL(38,12))) AS DOUBLE) / count(sentiment_score) AS s,
              avg(length(body)) AS len,
-             count(*) FILTER (WHERE strftime(received_at, '%Y-%m-%d') = '2024-01-30') AS td,
-             count(*) FILTER (WHERE strftime(received_at, '%Y-%m-%d') = '2024-01-29') AS yd,
+             count(*) FILTER (WHERE strftime(received_at, '%Y-%m-%d') = {LAST}) AS td,
+             count(*) FILTER (WHERE strftime(received_at, '%Y-%m-%d') = {BEFORE}) AS yd,
              min(received_at) AS mn, max(received_at) AS mx, count(received_at) AS n_ts
       FROM m GROUP BY user_id)
 SELECT user_id, total_emails, spam_count,
@@ -99,7 +114,8 @@ FROM a
 
 @query("dashboard_scalars", sql=_DASH_SQL)
 def q_dashboard(spark, sf):
-    return A.dashboard(_events(spark, sf), today=END)
+    m = _events(spark, sf)
+    return A.dashboard(m, today=all_days(m)[0])
 
 
 @query("mean_gap", sql=f"""
@@ -119,19 +135,26 @@ c AS (SELECT user_id, strftime(received_at, '%Y-%m-%d') AS date, count(*) AS tot
              count(*) FILTER (WHERE spam_label = 'spam') AS spam,
              count(*) FILTER (WHERE spam_label <> 'spam') AS ham,
              count(*) FILTER (WHERE urgency_score > 0.6) AS urgent
-      FROM m WHERE strftime(received_at, '%Y-%m-%d') BETWEEN '2024-01-01' AND '2024-01-30' GROUP BY 1, 2),
+      FROM m WHERE strftime(received_at, '%Y-%m-%d') BETWEEN {FIRST} AND {LAST} GROUP BY 1, 2),
 sp AS (SELECT u.user_id, strftime(g.d, '%Y-%m-%d') AS date
        FROM (SELECT DISTINCT user_id FROM m) u,
-            (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS d) g),
+            (SELECT unnest(generate_series(CAST({FIRST} AS DATE), CAST({LAST} AS DATE), INTERVAL 1 DAY)) AS d) g),
 t AS (SELECT sp.user_id, sp.date, coalesce(total, 0) AS total, coalesce(spam, 0) AS spam,
              coalesce(ham, 0) AS ham, coalesce(urgent, 0) AS urgent
       FROM sp LEFT JOIN c ON sp.user_id = c.user_id AND sp.date = c.date)
 """
 
 
+def _trend(spark, sf):
+    """The trend of all days."""
+    m = _events(spark, sf)
+    end, days = all_days(m)
+    return A.trends(m, end, days=days + 1)
+
+
 @query("trend_filled", sql=_TREND_SQL + "SELECT * FROM t")
 def q_trend(spark, sf):
-    return A.trends(_events(spark, sf), END, days=30)
+    return _trend(spark, sf)
 
 
 @query("range_totals", sql=_TREND_SQL + """
@@ -140,7 +163,7 @@ SELECT user_id, CAST(sum(total) AS BIGINT) AS total_in_range, CAST(sum(spam) AS
 FROM t GROUP BY user_id
 """)
 def q_range_totals(spark, sf):
-    return A.range_totals(A.trends(_events(spark, sf), END, days=30))
+    return A.range_totals(_trend(spark, sf))
 
 
 @query("day_change", sql=_TREND_SQL + """
@@ -152,7 +175,7 @@ SELECT user_id, date, total, coalesce(lag(total) OVER (PARTITION BY user_id ORDE
 FROM t
 """)
 def q_day_change(spark, sf):
-    return A.day_change_series(A.trends(_events(spark, sf), END, days=30))
+    return A.day_change_series(_trend(spark, sf))
 
 
 @query("heatmap_grid", sql=f"""
@@ -168,16 +191,9 @@ def q_heatmap(spark, sf):
     return A.heatmap(_events(spark, sf))
 
 
-_TOPIC_CAT_SQL = """CASE
-  WHEN contains(lower(t), 'academic') OR contains(lower(t), 'course') OR contains(lower(t), 'student') OR contains(lower(t), 'syllabus') THEN 'Academic'
-  WHEN contains(lower(t), 'research') OR contains(lower(t), 'grant') OR contains(lower(t), 'paper') THEN 'Research'
-  WHEN contains(lower(t), 'event') OR contains(lower(t), 'seminar') OR contains(lower(t), 'conference') THEN 'Events'
-  WHEN contains(lower(t), 'admin') OR contains(lower(t), 'hr') OR contains(lower(t), 'policy') OR contains(lower(t), 'announcement') THEN 'Admin'
-  WHEN contains(lower(t), 'it') OR contains(lower(t), 'technical') THEN 'IT'
-  WHEN contains(lower(t), 'finance') OR contains(lower(t), 'budget') THEN 'Finance'
-  WHEN contains(lower(t), 'shop') OR contains(lower(t), 'order') THEN 'Shopping'
-  WHEN contains(lower(t), 'newsletter') OR contains(lower(t), 'subscribe') THEN 'Newsletter'
-  ELSE 'General' END"""
+_TOPIC_CAT_SQL = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in words) + f" THEN '{name}'"
+    for words, name in R.TOPIC_CATEGORIES) + f" ELSE '{R.TOPIC_DEFAULT_CATEGORY}' END"
 
 
 @query("top_topics", sql=f"""
@@ -218,15 +234,16 @@ def q_topic_share(spark, sf):
 @query("unknown_user", sql=f"""
 WITH e AS (SELECT min(user_id) - 1 AS user_id FROM ({EV}))
 SELECT user_id, CAST(0 AS BIGINT) AS total_emails, CAST(0 AS DOUBLE) AS spam_percentage, CAST(0 AS DOUBLE) AS avg_urgency,
-       CAST(0 AS DOUBLE) AS avg_gap_hours, CAST(30 AS BIGINT) AS trend_days, CAST(168 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS volume
+       CAST(0 AS DOUBLE) AS avg_gap_hours, (SELECT date_diff('day', CAST({FIRST} AS DATE), CAST({LAST} AS DATE)) + 1) AS trend_days, CAST(168 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS volume
 FROM e
 """)
 def q_unknown_user(spark, sf):
     """A user without mail has zeros, a zero-filled trend and an empty grid."""
     m = _events(spark, sf)
     user = m.agg(F.min("user_id")).first()[0] - 1
-    d = A.dashboard(m, END, user_id=user).select("user_id", "total_emails", "spam_percentage", "avg_urgency")
+    end, days = all_days(m)
+    d = A.dashboard(m, end, user_id=user).select("user_id", "total_emails", "spam_percentage", "avg_urgency")
     g = A.mean_gap_hours(m, user_id=user)
-    t = A.trends(m, END, 30, user_id=user).groupBy("user_id").agg(F.count(F.lit(1)).alias("trend_days"))
+    t = A.trends(m, end, days + 1, user_id=user).groupBy("user_id").agg(F.count(F.lit(1)).alias("trend_days"))
     h = A.heatmap(m, user_id=user).groupBy("user_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("volume").alias("volume"))
     return d.join(g, "user_id").join(t, "user_id").join(h, "user_id")

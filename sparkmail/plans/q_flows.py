@@ -17,7 +17,7 @@ from sparkmail.operators.quality import validate
 from sparkmail.operators.star import build_star, star_join
 from sparkmail.plans import flows as FL
 from sparkmail.plans.adapters import MESSAGES_FROM_EVENTS_SQL as EV
-from sparkmail.plans.q_analytics import DOM, END, _TOPIC_CAT_SQL, _events
+from sparkmail.plans.q_analytics import DOM, FIRST, LAST, _TOPIC_CAT_SQL, _events, all_days
 from sparkmail.plans.q_io import _RAW_SQL, _raw_records
 from sparkmail.plans.q_stream import EVENT_RULES
 from sparkmail.plans.q_text import _UUID_SQL
@@ -210,7 +210,7 @@ SELECT email_id AS key,
 FROM v
 """)
 def q_republish(spark, sf):
-    return FL.to_kafka_rows(FL.to_events(_events(spark, sf), per_user=5).drop("user_id"))
+    return FL.to_kafka_rows(FL.to_events(_events(spark, sf), per_user=5))
 
 
 @query("event_fields", sql=_EVENTS_SQL + "SELECT * FROM v")
@@ -316,20 +316,44 @@ def q_star_null_time(spark, sf):
 
 @query("star_dims", sql=f"""
 SELECT (SELECT count(DISTINCT strftime(received_at, '%Y%m%d')) FROM ({EV})) AS dates,
-       (SELECT count(DISTINCT sender) FROM ({EV})) AS senders,
-       (SELECT count(DISTINCT topic) FROM ({EV})) AS topics
+       (SELECT count(DISTINCT sender) FROM ({EV})) AS senders, (SELECT count(DISTINCT sender) FROM ({EV})) AS last_sender_key,
+       (SELECT count(DISTINCT topic) FROM ({EV})) AS topics, (SELECT count(DISTINCT topic) FROM ({EV})) AS last_topic_key
 """)
 def q_star_dims(spark, sf):
+    """Dimensions without gaps in their keys."""
     _, dd, ds, dt = build_star(_events(spark, sf))
-    n = lambda d: d.agg(F.count(F.lit(1))).scalar()  # noqa: E731 - scalar subqueries, no join
-    return dd.agg(F.count(F.lit(1)).alias("dates")).select("dates", n(ds).alias("senders"), n(dt).alias("topics"))
+
+    def one(d, c):
+        return d.agg(c).scalar()  # scalar subqueries, no join
+    n = F.count(F.lit(1))
+    return dd.agg(n.alias("dates")).select("dates", one(ds, n).alias("senders"), one(ds, F.max("sender_key")).alias("last_sender_key"),
+                                           one(dt, n).alias("topics"), one(dt, F.max("topic_key")).alias("last_topic_key"))
+
+
+@query("star_reload", sql=f"""
+WITH m AS (SELECT sender, max(CAST(user_id % 2 = 0 AS INTEGER)) AS old FROM ({EV}) GROUP BY 1)
+SELECT sender, row_number() OVER (ORDER BY old DESC, sender) AS sender_key FROM m
+""")
+def q_star_reload(spark, sf):
+    """A second load keeps the keys of the first and numbers new members behind them."""
+    m = _events(spark, sf)
+    _, _, senders, topics = build_star(m.where("user_id % 2 = 0"))
+    _, _, again, _ = build_star(m, existing={"sender": senders, "topic": topics})
+    return again.select("sender", "sender_key")
 
 
 # --- W7, S8, S13: reads of the stored daily table ---------------------------------------------------
 
+def _daily(spark, sf):
+    """The daily table over all days."""
+    m = _events(spark, sf)
+    end, days = all_days(m)
+    return A.daily_metrics(m, end, days=days)
+
+
 def _daily_stored(spark, sf):
     path = scratch_path(spark, "analytics_daily")
-    L.write_table(A.daily_metrics(_events(spark, sf), END, days=30), path)
+    L.write_table(_daily(spark, sf), path)
     return spark.read.parquet(path)
 
 
@@ -343,7 +367,7 @@ d AS (SELECT classification_date AS metric_date, count(*) AS daily_volume,
 @query("daily_range", sql=f"WITH {_DAILY_SQL} SELECT * FROM d WHERE metric_date BETWEEN '2024-01-10' AND '2024-01-20'")
 def q_daily_range(spark, sf):
     path = scratch_path(spark, "analytics_daily")
-    L.write_table(A.daily_metrics(_events(spark, sf), END, days=30), path)
+    L.write_table(_daily(spark, sf), path)
     d = L.read_daily(spark, path, "2024-01-10", "2024-01-20")
     return A.daily_range(d, "2024-01-10", "2024-01-20").select("metric_date", "daily_volume", "spam_count",
                                                                "spam_rate")
@@ -351,7 +375,7 @@ def q_daily_range(spark, sf):
 
 @query("spam_trend", sql=f"WITH {_DAILY_SQL} SELECT * FROM d")
 def q_spam_trend(spark, sf):
-    return A.spam_trend(_daily_stored(spark, sf), END, days=30)
+    return A.spam_trend(_daily_stored(spark, sf), *all_days(_events(spark, sf)))
 
 
 @query("topics_of", sql=f"""
@@ -447,12 +471,12 @@ def q_sender_domain(spark, sf):
 @query("daily_topic_map", sql=f"""
 SELECT metric_date, string_agg(topic || '=' || CAST(n AS VARCHAR), ',' ORDER BY topic) AS topic_distribution
 FROM (SELECT classification_date AS metric_date, topic, count(*) AS n FROM ({EV})
-      WHERE classification_date BETWEEN '2023-12-31' AND '2024-01-30' AND topic IS NOT NULL GROUP BY 1, 2)
+      WHERE classification_date BETWEEN {FIRST} AND {LAST} AND topic IS NOT NULL GROUP BY 1, 2)
 GROUP BY 1
 """)
 def q_daily_topic_map(spark, sf):
     """A3 alone: the per-day topic -> count map (shown as sorted text)."""
-    d = A.daily_metrics(_events(spark, sf), END, days=30)
+    d = _daily(spark, sf)
     return d.select("metric_date", A.topic_map_text("topic_distribution").alias("topic_distribution"))
 
 

@@ -14,7 +14,7 @@ from sparkmail import schemas as S
 from sparkmail.operators import analytics as A
 from sparkmail.operators.ingest import clean_raw
 from sparkmail.plans.adapters import MESSAGES_FROM_EVENTS_SQL as EV
-from sparkmail.plans.q_analytics import END, _events
+from sparkmail.plans.q_analytics import FIRST, LAST, _events, all_days
 from sparkmail.plans.registry import query
 from sparkmail.session import scratch_path
 from sparkmail.sources import lake as L
@@ -112,7 +112,7 @@ def q_partition_list(spark, sf):
 @query("roundtrip_orc", sql=f"""
 SELECT CAST(message_id AS VARCHAR) AS message_id, spam_label AS label, topic,
        CASE WHEN strpos(sender, '@') > 0 THEN lower(reverse(split_part(reverse(sender), '@', 1))) ELSE '' END
-         AS sender_domain, received_at, '{END}' AS training_date
+         AS sender_domain, received_at, '2024-01-30' AS training_date
 FROM ({EV})
 """)
 def q_roundtrip_orc(spark, sf):
@@ -120,7 +120,7 @@ def q_roundtrip_orc(spark, sf):
     m = _events(spark, sf)
     feats = m.select(F.col("message_id").cast("string").alias("message_id"), F.col("spam_label").alias("label"),
                      "topic", sender_domain("sender").alias("sender_domain"), "received_at",
-                     F.lit(END).alias("training_date"))
+                     F.lit("2024-01-30").alias("training_date"))
     path = scratch_path(spark, "features")
     L.write_table(feats, path, fmt="orc")
     return L.read_features(spark, path, path + "-missing")
@@ -132,11 +132,13 @@ SELECT classification_date AS metric_date, count(*) AS daily_volume,
        count(*) FILTER (WHERE spam_label = 'spam') AS spam_count,
        count(*) FILTER (WHERE spam_label = 'ham') AS ham_count,
        string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics
-FROM m WHERE classification_date BETWEEN '2023-12-31' AND '2024-01-30' GROUP BY 1
+FROM m WHERE classification_date BETWEEN {FIRST} AND {LAST} GROUP BY 1
 """)
 def q_roundtrip_daily_json(spark, sf):
     root = scratch_path(spark, "daily-json")
-    L.write_daily_json(A.daily_metrics(_events(spark, sf), END, days=30), root)
+    m = _events(spark, sf)
+    end, days = all_days(m)
+    L.write_daily_json(A.daily_metrics(m, end, days=days), root)
     back = spark.read.schema(S.DAILY).json(root)
     return back.select("metric_date", "daily_volume", "spam_count", "ham_count",
                        F.array_join(F.array_sort(F.map_keys("topic_distribution")), ",").alias("topics"))

@@ -11,6 +11,7 @@ from sparkmail.plans.adapters import MESSAGES_FROM_EVENTS_SQL as EV, feedback_fr
 from sparkmail.plans.q_analytics import _events
 from sparkmail.plans.q_text import OBSERVED_MAILBOX, _docs, sql_mailbox
 from sparkmail.plans.registry import query
+from sparkmail.session import scratch_path
 
 FB_AT = "2024-02-01 00:00:00"
 
@@ -205,6 +206,18 @@ def q_page_k(spark, sf):
     return P.page(_events(spark, sf), page_no=3, size=50).select(*_MSG_COLS.split(", "))
 
 
+@query("page_from_index", sql=f"""
+WITH p AS (SELECT *, row_number() OVER (ORDER BY received_at DESC, message_id DESC) AS pos, count(*) OVER () AS n FROM ({EV}))
+SELECT {_MSG_COLS} FROM p WHERE pos > (n // 100) * 50 AND pos <= (n // 100) * 50 + 50
+""")
+def q_page_from_index(spark, sf):
+    """The page in the middle of the list, from the index."""
+    m = _events(spark, sf).select(*_MSG_COLS.split(", "))
+    root = scratch_path(spark, "pages")
+    P.write_page_index(m, root, part_rows=4096)
+    return P.indexed_page(spark, root, page_no=m.count() // 100 + 1, size=50)
+
+
 @query("page_after", sql=f"""
 SELECT {_MSG_COLS} FROM ({EV})
 WHERE received_at < TIMESTAMP '2024-01-15 12:00:00'

@@ -9,7 +9,10 @@ from sparkmail.functions import rules as R
 from sparkmail.operators import ml as ML
 from sparkmail.operators import registry as G
 from sparkmail.operators.classify import classify_mailbox, register_classifier
+from sparkmail.operators.ranks import rank_statistics
 from sparkmail.plans.adapters import (
+    MESSAGES_FROM_EVENTS_SQL as EV,
+    messages_from_events,
     FEEDBACK_FROM_LABELS_SQL as FB, MESSAGES_FROM_DOCUMENTS_SQL as DOCS, feedback_from_labels, table,
 )
 from sparkmail.plans.q_text import OBSERVED_KEYWORD, OBSERVED_MAILBOX, _docs, sql_keyword, sql_mailbox
@@ -196,6 +199,22 @@ SELECT message_id, label, CASE WHEN CAST('0x' || substr(sha1('7:' || CAST(messag
 FROM ({src})"""
 
 
+@query("rank_statistics", sql=f"""
+WITH m AS (SELECT urgency_score AS s, spam_label = 'spam' AS p FROM ({EV}) WHERE urgency_score IS NOT NULL),
+c AS (SELECT s, count(*) FILTER (WHERE p) AS p, count(*) FILTER (WHERE NOT p) AS n FROM m GROUP BY 1),
+t AS (SELECT sum(p) AS tp, sum(n) AS tn FROM c),
+r AS (SELECT p, n, sum(p) OVER w AS p_seen, sum(n) OVER w AS n_seen FROM c WINDOW w AS (ORDER BY s))
+SELECT CAST(any_value(tp) AS BIGINT) AS positives, CAST(any_value(tn) AS BIGINT) AS negatives,
+       round(CAST(sum(p * (2 * n_seen - n)) AS DOUBLE) / (2.0 * any_value(tp) * any_value(tn)), 12) AS auc,
+       round(max(abs(p_seen / tp - n_seen / tn)), 12) AS ks
+FROM r, t
+""")
+def q_rank_statistics(spark, sf):
+    """M4: how well urgency tells spam, over all pairs of a spam and a ham message."""
+    m = messages_from_events(table(spark, sf, "events")).withColumn("label", (F.col("spam_label") == "spam").cast("int"))
+    return rank_statistics(m, "urgency_score", part_rows=512).withColumn("auc", F.round("auc", 12)).withColumn("ks", F.round("ks", 12))
+
+
 @query("train_eval", sql=f"""
 SELECT split, count(*) AS n, true AS beats_majority, true AS auc_in_range FROM ({_LABELLED_SQL_SPLIT.format(src=LABELLED_SQL)}) GROUP BY 1
 """)

@@ -101,6 +101,20 @@ def read_raw(spark: SparkSession, root: str, date: str | None = None, schema: St
 DATE_FOLDER = r"/(?:ingestion_date=)?(\d{4}-\d{2}-\d{2})/"
 
 
+def keep_partitions(spark: SparkSession, root: str, name: str, values: list[str], start: str, end: str) -> list[str]:
+    """Deletes the folders ``name=value`` under ``root`` for values in ``start..end`` but those in ``values``; returns their values."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for s in fs.listStatus(path) if fs.exists(path) else []:
+        folder = s.getPath().getName()
+        value = folder[len(name) + 1:]
+        if folder.startswith(f"{name}=") and start <= value <= end and value not in values:
+            fs.delete(s.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S18 for raw files: ``(good, bad)`` of ``read_raw(..., corrupt=True)``; bad rows are dead letters
     (record, reason, dlq_date), dated by their folder."""
