@@ -93,6 +93,7 @@ def test_page_from_index_equals_sorting_and_opens_few_files(spark, tmp):
     for k, size in ((1, 50), (7, 33), (20, 50), (21, 50), (2, 400)):
         got = indexed_page(spark, tmp, k, size)
         assert [r.message_id for r in got.collect()] == [r.message_id for r in page(df, k, size).collect()]
-        if size <= 50:
-            plan = got._jdf.queryExecution().executedPlan().toString()
-            assert "part#" in plan[plan.index("PartitionFilters:"):].split("]")[0] and 1 <= len(wanted_parts(spark, tmp, k, size)) <= 2
+        if size <= 50 and k <= 20:  # there is such a page
+            plan = indexed_page(spark, tmp, k, size)._jdf.queryExecution().executedPlan().toString()
+            assert "part#" in plan[plan.index("PartitionFilters:"):].split("]")[0]
+            assert 1 <= len(wanted_parts(spark, tmp, k, size)) <= 2
