@@ -142,3 +142,62 @@ def q_roundtrip_daily_json(spark, sf):
     back = spark.read.schema(S.DAILY).json(root)
     return back.select("metric_date", "daily_volume", "spam_count", "ham_count",
                        F.array_join(F.array_sort(F.map_keys("topic_distribution")), ",").alias("topics"))
+
+
+# --- S2, S3, S13, U2: parts of stored tables, and what is missing ---
+
+def _stored_messages(spark, sf):
+    """The messages as a table by date and mailbox; (root, messages)."""
+    root = scratch_path(spark, "messages")
+    m = _events(spark, sf).select("message_id", "user_id", "topic", "spam_label", "mailbox_type", "classification_date")
+    L.write_partitions(m, root, ["classification_date", "mailbox_type"])
+    return root, m
+
+
+@query("partition_scan", sql=f"""
+SELECT message_id, user_id, topic, spam_label, mailbox_type, classification_date FROM ({EV})
+WHERE classification_date = {LAST} AND mailbox_type = 'faculty'
+""")
+def q_partition_scan(spark, sf):
+    """S3: one mailbox of the last date; the other folders are not read."""
+    root, m = _stored_messages(spark, sf)
+    found = L.read_partition(spark, root, all_days(_events(spark, sf))[0], "faculty", date_col="classification_date")
+    return found.select(*m.columns[:4], "mailbox_type", F.col("classification_date").cast("string").alias("classification_date"))
+
+
+@query("missing_input", sql=f"SELECT message_id, topic, spam_label FROM ({EV})")
+def q_missing_input(spark, sf):
+    """A table that is there and one that is not, which has no rows but the columns."""
+    root, m = _stored_messages(spark, sf)
+    there = L.read_or_empty(spark, root, m.schema)
+    return there.unionByName(L.read_or_empty(spark, f"{root}-of-nobody", m.schema)).select("message_id", "topic", "spam_label")
+
+
+@query("day_document", sql=f"""
+SELECT {LAST} AS metric_date, count(*) AS daily_volume, count(*) FILTER (WHERE spam_label = 'spam') AS spam_count,
+       count(*) FILTER (WHERE spam_label = 'ham') AS ham_count
+FROM ({EV}) WHERE classification_date = {LAST} HAVING count(*) > 0
+""")
+def q_day_document(spark, sf):
+    """The last day's metrics as a JSON document and back; the day after has none."""
+    m = _events(spark, sf)
+    last = all_days(m)[0]
+    root = scratch_path(spark, "days")
+    L.write_summary_json(A.daily_metrics(m, last, days=0).drop("updated_at"), f"{root}/{last}.json")
+    found = L.read_day_document(spark, root, last).unionByName(L.read_day_document(spark, root, A._shift(last, 1)))
+    return found.select("metric_date", "daily_volume", "spam_count", "ham_count")
+
+
+@query("partition_union", sql=f"""
+SELECT DISTINCT classification_date, mailbox_type FROM ({EV}) WHERE topic = 'error' OR topic = 'signup'
+""")
+def q_partition_union(spark, sf):
+    """The partitions of two tables, each once."""
+    names = []
+    for topic in ("error", "signup"):
+        root = scratch_path(spark, "named")
+        L.write_partitions(_events(spark, sf).where(F.col("topic") == topic).select("message_id", "classification_date", "mailbox_type"),
+                           root, ["classification_date", "mailbox_type"])
+        names.append(L.list_partitions(spark.read.parquet(root).withColumn("classification_date", F.col("classification_date").cast("string")),
+                                       ["classification_date", "mailbox_type"]))
+    return L.union_partitions(*names)

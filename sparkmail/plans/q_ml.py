@@ -298,3 +298,13 @@ def q_train_register(spark, sf):
     reg = train_and_register(spark, _train_input(spark, sf), root, "1", "2024-01-30", dt.datetime(2024, 1, 30), seed=7, parallelism=2)
     return reg.select("version", "training_date", "is_champion",
                       F.col("model_path").startswith(root).alias("saved_under_root"))
+
+
+@query("tokenized_table", sql=f"""
+WITH t AS (SELECT message_id, string_split_regex(lower(coalesce(body, '')), '[ \\t\\n\\x0B\\f\\r]') AS tokens FROM ({DOCS}))
+SELECT message_id, md5(rtrim(array_to_string(tokens, chr(1)), chr(1))) AS tokens_md5 FROM t
+""")
+def q_tokenized(spark, sf):
+    """The tokenized table written and read back; tokens as a digest."""
+    t = ML.write_tokenized(_docs(spark, sf).select("message_id", "body"), scratch_path(spark, "tokenized"))
+    return t.select("message_id", F.md5(F.concat_ws("\x01", "tokens")).alias("tokens_md5"))

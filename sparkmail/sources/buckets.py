@@ -24,6 +24,8 @@ from sparkmail.operators.ranks import col, unused
 
 #: Folders of a bucket from which on an append puts them together.
 MOST_FOLDERS = 8
+#: Tags of merges that a manifest keeps, so that a repeated one is known.
+TAGS = 1000
 MANIFEST = "manifest-"
 
 
@@ -111,10 +113,13 @@ class BucketTable:
         made = self._write(df, f"data-{uuid.uuid4().hex[:12]}")
         return self._publish(old, schema=df.schema.json(), buckets={b: [f] for b, f in made.items()})
 
-    def merge(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    def merge(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], tag: str | None = None) -> list[int]:
         """Replaces the touched buckets by ``apply(their rows, changes)`` and returns their numbers. ``apply`` must give rows
-        with the table's columns and keys of these buckets only. ``changes`` is read twice; without any the table stays as it is."""
+        with the table's columns and keys of these buckets only. ``changes`` is read twice; without any the table stays as it is.
+        A merge repeated with the ``tag`` of one of the last ``TAGS`` merges changes nothing."""
         old = self.manifest()
+        if tag is not None and tag in old["done"]:
+            return []
         touched = self.touched(changes)
         if not touched:
             return []
@@ -125,7 +130,8 @@ class BucketTable:
         if strange:
             raise ValueError(f"rows of buckets {sorted(strange)}, which no change touched")
         kept = {b: f for b, f in old["buckets"].items() if int(b) not in touched}
-        self._publish(old, buckets=kept | {b: [f] for b, f in made.items()})
+        done = old["done"] if tag is None else dict(list(old["done"].items())[1 - TAGS:]) | {tag: ""}
+        self._publish(old, buckets=kept | {b: [f] for b, f in made.items()}, done=done)
         return touched
 
     def append_unseen(self, rows: DataFrame, tag: str, most_folders: int = MOST_FOLDERS) -> DataFrame:

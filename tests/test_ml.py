@@ -204,3 +204,14 @@ def test_training_input_is_computed_once(spark):
     df = spark.createDataFrame(rows, "message_id long, text string, label double").mapInPandas(count, "message_id long, text string, label double")
     ML.train(df, seed=1, folds=2, grid=(0.01, 0.1), parallelism=1)
     assert seen.value == 40
+
+
+def test_tokenized_table(spark, tmp):
+    """Rows and columns stay, a null text is empty, weights are those of the formula."""
+    df = spark.createDataFrame([(1, "The cat THE dog", "a"), (2, None, "b"), (3, "cat  bird", "c"), (3, "cat  bird", "c")], "message_id long, body string, _text string")
+    t = ML.write_tokenized(df, f"{tmp}/t")
+    got = sorted((r.message_id, r._text, r.tokens, r.kept) for r in t.collect())
+    assert got == [(1, "a", ["the", "cat", "the", "dog"], ["cat", "dog"]), (2, "b", [""], [""]),
+                   (3, "c", ["cat", "", "bird"], ["cat", "", "bird"])] + [(3, "c", ["cat", "", "bird"], ["cat", "", "bird"])]
+    weights = {r.message_id: sorted(float(v) for v in r.features.values) for r in t.collect()}
+    assert weights[1] == pytest.approx(sorted([math.log(5 / 4), math.log(5 / 2)]))
