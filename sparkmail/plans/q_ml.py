@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
@@ -10,6 +11,7 @@ from sparkmail.operators import ml as ML
 from sparkmail.operators import registry as G
 from sparkmail.operators.classify import classify_mailbox, register_classifier
 from sparkmail.operators.ranks import rank_statistics
+from sparkmail.operators.term_model import fit_term_model, term_dictionary
 from sparkmail.plans.adapters import (
     MESSAGES_FROM_EVENTS_SQL as EV,
     messages_from_events,
@@ -17,7 +19,7 @@ from sparkmail.plans.adapters import (
 )
 from sparkmail.plans.q_text import OBSERVED_KEYWORD, OBSERVED_MAILBOX, _docs, sql_keyword, sql_mailbox
 from sparkmail.plans.registry import query
-from sparkmail.session import scratch_path
+from sparkmail.session import scratch_path, stage_table
 
 
 def _labelled(spark, sf):
@@ -308,3 +310,27 @@ def q_tokenized(spark, sf):
     """The tokenized table written and read back; tokens as a digest."""
     t = ML.write_tokenized(_docs(spark, sf).select("message_id", "body"), scratch_path(spark, "tokenized"))
     return t.select("message_id", F.md5(F.concat_ws("\x01", "tokens")).alias("tokens_md5"))
+
+
+@query("term_dictionary", sql="""
+WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
+d AS (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1)
+SELECT row_number() OVER (ORDER BY term) - 1 AS idx, term, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 9) AS idf FROM d
+""")
+def q_term_dictionary(spark, sf):
+    """M8: the terms numbered in their order, with their document frequencies and idf."""
+    docs = table(spark, sf, "documents")
+    d = term_dictionary(ML.tfidf(docs, "doc_id", "text"), docs.count())
+    return d.select("idx", "term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("retrain_terms", sql=f"SELECT message_id, label AS feedback, true AS agrees FROM ({LABELLED_SQL})")
+def q_retrain_terms(spark, sf):
+    """M8 with terms in a table: its chance of spam is that of the model of ``retrain`` (up to 0.02: both are iterated) for every message."""
+    l = _labelled(spark, sf)
+    rows = stage_table(l.select("message_id", F.col("body").alias("text"), F.col("label").alias("feedback")), "labelled")
+    mine = fit_term_model(rows).predict(rows)
+    _, theirs = ML.retrain(rows)
+    theirs = theirs.select("message_id", vector_to_array("probability").alias("other"))
+    return mine.join(theirs, "message_id").select(
+        "message_id", "feedback", (F.abs(F.element_at("probability", -1) - F.element_at("other", -1)) < 0.02).alias("agrees"))
