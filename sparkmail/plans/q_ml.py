@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from sparkmail.functions import rules as R
 from sparkmail.operators import ml as ML
 from sparkmail.operators import registry as G
 from sparkmail.operators.classify import classify_mailbox, register_classifier
+from sparkmail.operators.grid import grid_search
 from sparkmail.operators.ranks import rank_statistics
 from sparkmail.operators.term_model import fit_term_model, term_dictionary
 from sparkmail.plans.adapters import (
@@ -233,6 +235,21 @@ def q_train_eval(spark, sf):
         F.col("auc").between(0, 1).alias("auc_in_range"))
 
 
+@query("grid_search", sql=f"""
+WITH t AS (SELECT (label = 'spam')::INT AS y, CAST('0x' || substr(sha1('fold:7:' || CAST(message_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS f
+           FROM ({LABELLED_SQL}))
+SELECT CAST(m.fold AS INTEGER) AS fold, p.penalty, count(*) FILTER (WHERE f <> fold) AS trained, count(*) FILTER (WHERE f = fold) AS held,
+       round(avg(y) FILTER (WHERE f <> fold), 2) AS mean_score
+FROM t, range(5) m(fold), (VALUES (0.01::DOUBLE), (0.1::DOUBLE)) p(penalty) GROUP BY 1, 2, m.fold
+""")
+def q_grid_search(spark, sf):
+    """M3: ten models in the same passes. Each model's mean chance of spam on its training rows is their share of spam, as it is where
+    the gradient by the intercept vanishes; a model that is not at the minimum has another."""
+    rows = PipelineModel(stages=ML.spam_features()).transform(_train_input(spark, sf))
+    found = grid_search(rows, "counts", ML.HASHED_FEATURES, (0.01, 0.1), 5, seed=7)
+    return found.results.select("fold", "penalty", "trained", "held", F.round("mean_score", 2).alias("mean_score"))
+
+
 @query("predict", sql=f"""
 SELECT message_id, true AS known_label, true AS confident FROM ({DOCS})
 WHERE regexp_replace(coalesce(body, ''), '^ +| +$', '', 'g') <> ''
