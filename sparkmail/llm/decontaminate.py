@@ -5,16 +5,19 @@ Texts become words, words become hashed k-grams, and of every ``window - k +
 that share ``window`` consecutive words share all k-grams of that span and so
 the fingerprint chosen from it: no shared span of that length is missed.
 Fingerprints of documents and benchmark are joined, and in the documents that
-share one, the hits are extended: each window around a shared k-gram is
-compared word by word with the benchmark's windows.
+share one, the hits are extended: fingerprints carry their places, and each
+window around a shared one is compared word by word with the benchmark's windows.
 
-Built-in functions only; the text is read once for the fingerprints and once
-more for the words of the documents that share one, and is never shuffled
-unless the list of these is too large to broadcast.
+Built-in functions only; the text is read once for the fingerprints, once to
+count words and once more for the words of the documents that share a
+fingerprint, and is never shuffled unless the list of these is too large to
+broadcast. Work on a text grows with its words and shared places alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,9 @@ from sparkmail.session import stage_table
 
 #: A word: neither ASCII punctuation nor white space nor control characters (after A-Z became a-z).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing, to count them.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
-#: A fingerprint that every document and the benchmark have.
-MARK = -(2**62)
 
 
 def words_of(text: Column) -> Column:
@@ -44,10 +47,20 @@ def gram_hashes(hashes: Column, k: int) -> Column:
                   lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in range(k)]))
 
 
-def winnowed(grams: Column, span: int) -> Column:
-    """Of each ``span`` consecutive k-gram hashes the smallest, without repeats; null if there are fewer."""
+def least_of(grams: Column, span: int) -> Column:
+    """Of each ``span`` consecutive k-gram hashes the smallest; null if there are fewer."""
     # Not array_min(slice(..)): slice copies the whole array each time.
-    return F.array_distinct(_count(F.lit(0), F.size(grams) - span, lambda i: F.least(*[F.get(grams, i + j) for j in range(span)])))
+    return _count(F.lit(0), F.size(grams) - span, lambda i: F.least(*[F.get(grams, i + j) for j in range(span)]))
+
+
+def chosen(grams: Column, least: Column, span: int) -> Column:
+    """The places of the k-grams that are the smallest of some ``span`` consecutive ones (all of them, if equal)."""
+    def kept(p):
+        # The windows that hold place p start at p - span + 1 .. p; there is none before 0 or beyond the last.
+        tests = [F.get(least, p - j).eqNullSafe(F.get(grams, p)) for j in range(span)]
+        return reduce(lambda x, y: x | y, tests)
+
+    return F.when(F.size(least) > 0, F.filter(F.sequence(F.lit(0), F.size(grams) - 1), kept))
 
 
 def word_hashes(words: Column) -> Column:
@@ -100,65 +113,59 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``decontaminate`` with the hash of the text, ``th``, which tells apart rows that repeat an id."""
-    # Benchmark side: staged, since its size decides how it is joined.
+    # Benchmark side: staged, since its size decides how it is joined. Fingerprints carry the length of their window.
     own = stage_table(item_windows(items, item_id, item_text, window), "bench-windows")
     lengths = sorted(r.n for r in own.select("n").distinct().collect() if r.n < window)  # fewer than ``window`` values
+    span = window - gram + 1
     split = own.withColumn("h", word_hashes(F.split("words", " ")))
     prints = split.where(F.col("n") == window).withColumn("g", gram_hashes(F.col("h"), gram)).select(
-        F.explode_outer(winnowed(F.col("g"), window - gram + 1)).alias("print"))
+        "n", F.explode_outer(least_of(F.col("g"), span)).alias("print"))
     for n in lengths:
-        prints = prints.unionByName(split.where(F.col("n") == n).select(F.explode_outer(gram_hashes(F.col("h"), n)).alias("print")))
-    mark = own.sparkSession.range(1).select(F.lit(MARK).alias("print"))
-    prints = stage_table(prints.unionByName(mark).distinct(), "bench-prints")
-
-    # Fingerprints of the documents; for short items every k-gram of their length. Every document
-    # also carries a mark that the benchmark side has too, so that all documents come through the join
-    # with their word counts, and only those with more than the mark are read again.
-    # The hash of the text tells apart rows that repeat an id. (explode_outer: Spark would push
-    # the filter it infers for explode below these projections and compute them all again in it.)
+        prints = prints.unionByName(split.where(F.col("n") == n).select("n", F.explode_outer(gram_hashes(F.col("h"), n)).alias("print")))
+    prints = stage_table(prints.distinct(), "bench-prints")
+
+    # Fingerprints of the documents with their places; for short items every k-gram of their length. Only those that the
+    # benchmark has come through the join. The hash of the text tells apart rows that repeat an id. (explode_outer:
+    # Spark would push the filter it infers for explode below these projections and compute them all again in it.)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    hashed = keyed.select("id", "th", word_hashes(words_of(F.col("text"))).alias("h"))
-    wanted = [F.array(F.lit(MARK)), F.coalesce(winnowed(F.col("g"), window - gram + 1), F.array().cast("array<bigint>"))]
+    hashed = keyed.select("id", "th", word_hashes(words_of(F.col("text"))).alias("h")).withColumn("g", gram_hashes(F.col("h"), gram)) \
+        .withColumn("least", least_of(F.col("g"), span))
+
+    def placed(n, places, grams):
+        found = F.transform(places, lambda p: F.struct(F.lit(n).alias("n"), p.alias("at"), F.get(grams, p).alias("print")))
+        return F.coalesce(found, F.array().cast("array<struct<n:int,at:int,print:bigint>>"))
+
+    wanted = [placed(window, chosen(F.col("g"), F.col("least"), span), F.col("g"))]
     for n in lengths:
-        wanted.append(F.coalesce(gram_hashes(F.col("h"), n), F.array().cast("array<bigint>")))
-    found = hashed.withColumn("g", gram_hashes(F.col("h"), gram)) \
-        .select("id", "th", F.size("h").alias("n_words"), F.concat(*wanted).alias("p")) \
-        .select("id", "th", "n_words", F.explode_outer("p").alias("print")).join(if_small(prints), "print")
-    found = found.groupBy("id", "th", "n_words").agg(F.count_if(F.col("print") == MARK).alias("copies"),
-                                                     F.collect_set("print").alias("prints"))
-    found = stage_table(found, "contaminated")
-    hit = stage_table(found.where(F.size("prints") > 1).select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "prints"),
+        hashed = hashed.withColumn(f"g{n}", gram_hashes(F.col("h"), n))
+        wanted.append(placed(n, F.when(F.size(f"g{n}") > 0, F.sequence(F.lit(0), F.size(f"g{n}") - 1)), F.col(f"g{n}")))
+    shared = hashed.select("id", "th", F.explode_outer(F.concat(*wanted)).alias("p")).select("id", "th", "p.*") \
+        .join(if_small(prints), ["n", "print"])
+    hit = stage_table(shared.groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.collect_set(F.struct("n", "at")).alias("shared")),
                       "contaminated-hit")
 
     # Extension: the windows around each shared k-gram.
-    seen = keyed.join(if_small(hit), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th"))) \
-        .withColumn("w", words_of(F.col("text"))).withColumn("h", word_hashes(F.col("w"))).withColumn("n_words", F.size("w"))
+    seen = keyed.join(if_small(hit), F.col("id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th"))) \
+        .withColumn("w", words_of(F.col("text"))).withColumn("n_words", F.size("w"))
 
     def places(n):
-        """Word positions whose n-gram is a shared fingerprint."""
-        g = F.col(f"g{n}")
-        return F.when(F.size(g) > 0, F.filter(F.sequence(F.lit(0), F.size(g) - 1),
-                                              lambda i: F.array_contains(F.col("prints"), F.get(g, i))))
-
-    for n in {gram, *lengths}:
-        seen = seen.withColumn(f"g{n}", gram_hashes(F.col("h"), n))
-    reach = window - gram
-    starts = F.array_distinct(F.flatten(F.transform(places(gram), lambda p: F.when(
-        F.col("n_words") >= window,
-        F.sequence(F.greatest(p - reach, F.lit(0)), F.least(p, F.col("n_words") - window))))))
-    tried = [windows_at(F.col("w"), F.coalesce(starts, F.array().cast("array<int>")), window)]
+        return F.transform(F.filter("shared", lambda x: x.n == n), lambda x: x["at"])
+
+    starts = F.array_distinct(F.flatten(F.transform(places(window), lambda p: F.sequence(
+        F.greatest(p - (window - gram), F.lit(0)), F.least(p, F.col("n_words") - window)))))
+    tried = [windows_at(F.col("w"), starts, window)]
     for n in lengths:
-        tried.append(windows_at(F.col("w"), F.coalesce(places(n), F.array().cast("array<int>")), n))
+        tried.append(windows_at(F.col("w"), places(n), n))
     spans = seen.select("id", "th", F.explode_outer(F.concat(*tried)).alias("t")).select("id", "th", "t.*").distinct().join(if_small(own), "words") \
         .groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"),
                                  F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("reach"), F.lit(0).alias("words")), lambda a, s: F.struct(
         F.greatest(a.reach, s.stop).alias("reach"),
         (a.words + F.greatest(F.lit(0), s.stop - F.greatest(a.reach, s.start))).alias("words"))).getField("words")
-    spans = spans.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("n_hit"), "items")
-    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.join(spans, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
-        "id", "th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    spans = stage_table(spans.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("n_hit"), "items"), "contaminated-spans")
+    rows = keyed.select("id", "th", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    return rows.join(if_small(spans), F.col("id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th")), "left").select(
+        "id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from sparkmail.llm.decontaminate import decontaminate
 
@@ -68,3 +69,15 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert run(spark, docs, items) == brute(docs, items)
     assert run(spark, docs, items[2:]) == brute(docs, items[2:])
     assert run(spark, [], items) == []
+
+
+def test_long_document_that_holds_a_long_item(spark):
+    """Work grows with the words, not with words times fingerprints: some 20,000 shared places in one text."""
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000))
+    docs = [(1, "before " + item + " after"), (2, item.replace("w7 ", "x ")), (3, "w1 " * 30_000)]
+    items = [(1, item), (2, "w1 w1 w1")]
+    start = time.time()
+    got = run(spark, docs, items)
+    assert time.time() - start < 60
+    assert got == brute(docs, items)
