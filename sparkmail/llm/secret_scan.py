@@ -2,11 +2,13 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived
 that every match satisfies. The index holds, for the trigrams that occur in
-these queries, the posting lists as bitmaps aligned with the documents: one
-bit per trigram in each document's row. Intersecting and uniting posting
-lists is then AND and OR of bits, without a shuffle. Documents that satisfy a
-rule's query are verified with the regular expression on the whole text;
-rules without a mandatory trigram scan every document.
+these queries, posting lists: the texts with the trigram, by their hashes, in
+blocks of a bounded number of texts, so that the list of a trigram that a third of
+all texts have is spread like the others. A query is answered block by block: the
+lists of an alternative's trigrams are intersected, those of its alternatives
+united. The texts found are verified with the regular expression as a whole;
+rules without a mandatory trigram scan every text. Two texts with the same hash
+would only be verified in vain.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmail.llm import spans as P
+from sparkmail.llm.common import if_small
 from sparkmail.operators.ranks import col, unused
+from sparkmail.session import stage_table
 
 
 @dataclass(frozen=True)
@@ -51,8 +55,8 @@ MORE = (
 
 #: Alternatives that a run of literals may have before it is closed.
 MOST = 64
-#: Trigrams per bitmap word.
-WORD_BITS = 62
+#: Texts of a block of posting lists, about.
+BLOCK_TEXTS = 4096
 
 # A query is a frozenset of alternatives, each a frozenset of trigrams that must all occur.
 ALL = frozenset([frozenset()])
@@ -117,47 +121,63 @@ def trigram_query(pattern: str) -> frozenset:
     return _of_strings(strings) if strings is not None else query
 
 
-def add_index(df: DataFrame, text: str, name: str, trigrams: list[str]) -> DataFrame:
-    """Adds ``name``: an array of bitmaps, bit i of word w set if trigram 62 * w + i occurs in ``text``, letter case aside."""
-    low = f"_{name}_low"
-    words = [reduce(lambda a, b: a.bitwiseOR(b), [
-        F.when(F.contains(F.col(low), F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-        for i, t in enumerate(trigrams[at:at + WORD_BITS])]) for at in range(0, len(trigrams), WORD_BITS)]
-    return df.withColumn(low, F.lower(text)).withColumn(name, F.array(*words).cast("array<bigint>")).drop(low)
-
-
-def satisfies(query: frozenset, index: str, trigrams: list[str]) -> Column:
-    """Whether a row of the index satisfies a query."""
-    if frozenset() in query:
-        return F.lit(True)
-
-    def alternative(wanted):
-        masks: dict[int, int] = {}
-        for t in wanted:
-            w, i = divmod(trigrams.index(t), WORD_BITS)
-            masks[w] = masks.get(w, 0) | 1 << i
-        return reduce(lambda a, b: a & b, [
-            F.get(index, F.lit(w)).bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for w, m in masks.items()])
-
-    return reduce(lambda a, b: a | b, [alternative(x) for x in sorted(query, key=sorted)])
-
-
-def find_secrets(docs: DataFrame, text_col: str = "text", rules=BASE + MORE, name: str = "spans") -> DataFrame:
+def posting_lists(df: DataFrame, text: str, hash_col: str, trigrams: list[str], block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """(block, trigram, texts): the index of ``trigrams``, letter case aside, over column ``text``. ``trigram`` is the place in the
+    list, ``texts`` the hashes in ``hash_col`` of the block's texts that hold it. Repeated texts are one."""
+    low = F.col("_low")
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    # explode_outer: Spark would compute the list once more in the filter that it infers for explode.
+    grams = df.select(col(hash_col).alias("hash"), F.lower(col(text)).alias("_low")).select("hash", held.alias("held"))
+    grams = stage_table(grams.where(F.size("held") > 0).groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_set("held"))).alias("held")),
+                        "text-trigrams")
+    blocks = -(-max(1, grams.count()) // block_texts)
+    pairs = grams.select(F.pmod("hash", F.lit(blocks)).alias("block"), "hash", F.explode_outer("held").alias("trigram"))
+    return stage_table(pairs.groupBy("block", "trigram").agg(F.collect_list("hash").alias("texts")), "posting-lists")
+
+
+def answer(index: DataFrame, queries: dict[str, frozenset], trigrams: list[str]) -> DataFrame:
+    """(hash, kinds): the texts that satisfy queries, by name. Queries that any text satisfies are left out."""
+    none = F.array().cast("array<bigint>")
+
+    def found(query):
+        lists = [reduce(F.array_intersect, [F.coalesce(F.try_element_at("lists", F.lit(trigrams.index(t))), none) for t in sorted(x)])
+                 for x in sorted(query, key=sorted)]
+        return reduce(F.array_union, lists)
+
+    def named(kind):
+        return lambda h: F.struct(h.alias("hash"), F.lit(kind).alias("kind"))
+
+    mandatory = {k: q for k, q in queries.items() if frozenset() not in q}
+    # All lists of a block: at most ``block_texts`` hashes, about, for each trigram of the rules.
+    blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "texts"))).alias("lists"))
+    hits = [F.transform(found(q), named(k)) for k, q in mandatory.items()]
+    if not hits:
+        return index.sparkSession.createDataFrame([], "hash long, kinds array<string>")
+    one = blocks.select(F.explode_outer(F.concat(*hits)).alias("h")).where("h is not null")
+    return stage_table(one.groupBy("h.hash").agg(F.collect_set("h.kind").alias("kinds")), "secret-candidates")
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", rules=BASE + MORE, name: str = "spans",
+                 block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """``docs`` with ``spans``: all matches of ``rules`` in the whole text, as an array of (start,
     ord, kind, end) in order of start and rule; code points, end exclusive. Spans of
     different rules may overlap, those of one rule are leftmost and disjoint.
 
     A null or empty text has no spans. No row is dropped or repeated; a column
-    of ``docs`` called ``name`` is replaced. An empty table gives an empty result.
+    of ``docs`` called ``name`` is replaced. An empty table gives an empty result. ``docs`` is read
+    once when called, for the index, and once with the result.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in queries.values() for x in q for t in x})
     given = [c for c in docs.columns if c.lower() != name.lower()]
     # Own names, so that no column of docs can clash.
     df = docs.select(F.struct(*[col(c) for c in given]).alias("_row"), F.coalesce(col(text_col), F.lit("")).alias("_text"))
-    df = add_index(df, "_text", "_index", trigrams)
+    df = df.withColumn("_hash", F.xxhash64("_text"))
+    candidates = answer(posting_lists(df, "_text", "_hash", trigrams, block_texts), queries, trigrams)
+    df = df.join(if_small(candidates.select(F.col("hash").alias("_hash"), F.col("kinds").alias("_kinds"))), "_hash", "left")
     for r in rules:
-        df = P.add_matches(df, "_text", f"_{r.kind}", r.pattern, satisfies(queries[r.kind], "_index", trigrams), r.group)
+        wanted = F.lit(True) if frozenset() in queries[r.kind] else F.array_contains("_kinds", r.kind)
+        df = P.add_matches(df, "_text", f"_{r.kind}", r.pattern, wanted, r.group)
 
     def kept(r):
         def keep(m):

@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from sparkmail.llm.secret_scan import BASE, MORE, find_secrets, redact, trigram_query
+from pyspark.sql import functions as F
+
+from sparkmail.llm.secret_scan import BASE, MORE, Rule, answer, find_secrets, posting_lists, redact, trigram_query
 
 
 def brute(text):
@@ -65,3 +67,32 @@ def test_every_match_satisfies_the_query(pattern):
         text = "".join(rng.choices([*PIECES, "ab", "cd", "ef", "gh", "xyz", "yz", "cde", "foo", "bar"], k=6))
         if re.search(pattern, text, re.ASCII):
             assert any(all(t in text.lower() for t in x) for x in query)
+
+
+@pytest.mark.parametrize("block_texts", [7, 4096])
+def test_posting_lists_and_their_answers(spark, block_texts):
+    """Lists against a search of each text; answers against the queries evaluated text by text."""
+    queries = {r.kind: trigram_query(r.pattern) for r in BASE + MORE}
+    trigrams = sorted({t for q in queries.values() for x in q for t in x})
+    df = spark.createDataFrame([(t or "",) for t in texts() * 2], "t string").withColumn("h", F.xxhash64("t"))
+    known = {r.h: r.t for r in df.collect()}
+    index = posting_lists(df, "t", "h", trigrams, block_texts)
+    got = {}
+    for r in index.collect():
+        assert len(set(r.texts)) == len(r.texts)
+        got.setdefault(trigrams[r.trigram], set()).update(r.texts)
+    assert got == {t: own for t in trigrams if (own := {h for h, text in known.items() if t in text.lower()})}
+    assert index.select("block").distinct().count() > 5 or block_texts > 7
+    want = {h: {k for k, q in queries.items() if frozenset() not in q and any(all(t in text.lower() for t in x) for x in q)} for h, text in known.items()}
+    assert {r.hash: set(r.kinds) for r in answer(index, queries, trigrams).collect()} == {h: k for h, k in want.items() if k}
+
+
+def test_rules_without_trigrams_only(spark):
+    df = spark.createDataFrame([(1, "deadbeef"), (2, None), (2, "x")], "doc_id long, text string")
+    got = find_secrets(df, rules=(Rule("hex", "[0-9a-f]{4,}"),))
+    assert sorted((r.doc_id, len(r.spans)) for r in got.collect()) == [(1, 1), (2, 0), (2, 0)]
+
+
+def test_small_blocks_change_nothing(spark):
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    assert sorted(map(repr, find_secrets(df, block_texts=3).collect())) == sorted(map(repr, find_secrets(df).collect()))
