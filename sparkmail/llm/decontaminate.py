@@ -5,13 +5,13 @@ Texts become words, words become hashed k-grams, and of every ``window - k +
 that share ``window`` consecutive words share all k-grams of that span and so
 the fingerprint chosen from it: no shared span of that length is missed.
 Fingerprints of documents and benchmark are joined, and in the documents that
-share one, the hits are extended: fingerprints carry their places, and each
-window around a shared one is compared word by word with the benchmark's windows.
+share one, the hits are extended: each window around the place of a shared k-gram
+is compared word by word with the benchmark's windows.
 
-Built-in functions only; the text is read once for the fingerprints, once to
-count words and once more for the words of the documents that share a
-fingerprint, and is never shuffled unless the list of these is too large to
-broadcast. Work on a text grows with its words and shared places alone.
+Built-in functions only; the text is read once for the fingerprints and twice
+more for the words of the documents that share one, and is never shuffled
+unless the list of these is too large to broadcast. Work on a text grows with its
+words and shared places alone.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from sparkmail.session import stage_table
 
 #: A word: neither ASCII punctuation nor white space nor control characters (after A-Z became a-z).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing, to count them.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
 
 
@@ -53,16 +51,6 @@ def least_of(grams: Column, span: int) -> Column:
     return _count(F.lit(0), F.size(grams) - span, lambda i: F.least(*[F.get(grams, i + j) for j in range(span)]))
 
 
-def chosen(grams: Column, least: Column, span: int) -> Column:
-    """The places of the k-grams that are the smallest of some ``span`` consecutive ones (all of them, if equal)."""
-    def kept(p):
-        # The windows that hold place p start at p - span + 1 .. p; there is none before 0 or beyond the last.
-        tests = [F.get(least, p - j).eqNullSafe(F.get(grams, p)) for j in range(span)]
-        return reduce(lambda x, y: x | y, tests)
-
-    return F.when(F.size(least) > 0, F.filter(F.sequence(F.lit(0), F.size(grams) - 1), kept))
-
-
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -124,29 +112,37 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         prints = prints.unionByName(split.where(F.col("n") == n).select("n", F.explode_outer(gram_hashes(F.col("h"), n)).alias("print")))
     prints = stage_table(prints.distinct(), "bench-prints")
 
-    # Fingerprints of the documents with their places; for short items every k-gram of their length. Only those that the
-    # benchmark has come through the join. The hash of the text tells apart rows that repeat an id. (explode_outer:
-    # Spark would push the filter it infers for explode below these projections and compute them all again in it.)
+    # Fingerprints of the documents; for short items every k-gram of their length. Each document also has a first entry of
+    # its own, which comes through the left join whatever the benchmark holds and brings the number of words along.
+    # The hash of the text tells apart rows that repeat an id. (posexplode_outer: Spark would push the
+    # filter it infers for explode below these projections and compute them all again in it.)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    hashed = keyed.select("id", "th", word_hashes(words_of(F.col("text"))).alias("h")).withColumn("g", gram_hashes(F.col("h"), gram)) \
-        .withColumn("least", least_of(F.col("g"), span))
-
-    def placed(n, places, grams):
-        found = F.transform(places, lambda p: F.struct(F.lit(n).alias("n"), p.alias("at"), F.get(grams, p).alias("print")))
-        return F.coalesce(found, F.array().cast("array<struct<n:int,at:int,print:bigint>>"))
-
-    wanted = [placed(window, chosen(F.col("g"), F.col("least"), span), F.col("g"))]
+    hashed = keyed.select("id", "th", word_hashes(words_of(F.col("text"))).alias("h"))
+    none = F.array().cast("array<bigint>")
+    wanted = [F.array(F.xxhash64("id", "th")), F.coalesce(F.array_distinct(least_of(F.col("g"), span)), none)]
     for n in lengths:
-        hashed = hashed.withColumn(f"g{n}", gram_hashes(F.col("h"), n))
-        wanted.append(placed(n, F.when(F.size(f"g{n}") > 0, F.sequence(F.lit(0), F.size(f"g{n}") - 1)), F.col(f"g{n}")))
-    shared = hashed.select("id", "th", F.explode_outer(F.concat(*wanted)).alias("p")).select("id", "th", "p.*") \
-        .join(if_small(prints), ["n", "print"])
-    hit = stage_table(shared.groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.collect_set(F.struct("n", "at")).alias("shared")),
-                      "contaminated-hit")
-
-    # Extension: the windows around each shared k-gram.
-    seen = keyed.join(if_small(hit), F.col("id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th"))) \
-        .withColumn("w", words_of(F.col("text"))).withColumn("n_words", F.size("w"))
+        wanted.append(F.coalesce(gram_hashes(F.col("h"), n), none))
+    known = stage_table(prints.select("print", F.lit(True).alias("there")).distinct(), "bench-print-set")
+    found = hashed.withColumn("g", gram_hashes(F.col("h"), gram)) \
+        .select("id", "th", F.size("h").alias("n_words"), F.concat(*wanted).alias("p")) \
+        .select("id", "th", "n_words", F.posexplode_outer("p").alias("pos", "print")).join(if_small(known), "print", "left") \
+        .where("there or pos = 0").groupBy("id", "th", "n_words").agg(F.count_if(F.col("pos") == 0).alias("copies"), F.max(F.col("pos") > 0).alias("shares"))
+    found = stage_table(found, "contaminated")
+    hit = stage_table(found.where("shares").select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th")), "contaminated-hit")
+
+    # The places of shared k-grams in the documents that have any.
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th"))
+    read = keyed.join(if_small(hit), same).withColumn("w", words_of(F.col("text")))
+    grams = read.select("hit_id", "hit_th", word_hashes(F.col("w")).alias("h"))
+    placed = []
+    for n in [window, *lengths]:
+        grams = grams.withColumn(f"g{n}", gram_hashes(F.col("h"), gram if n == window else n))
+        placed.append(grams.select("hit_id", "hit_th", F.lit(n).alias("n"), F.posexplode_outer(f"g{n}").alias("at", "print")))
+    shared = reduce(DataFrame.unionByName, placed).join(if_small(prints), ["n", "print"])
+    shared = stage_table(shared.groupBy("hit_id", "hit_th").agg(F.collect_set(F.struct("n", "at")).alias("shared")), "contaminated-places")
+
+    # Extension: the windows around each.
+    seen = keyed.join(if_small(shared), same).withColumn("w", words_of(F.col("text"))).withColumn("n_words", F.size("w"))
 
     def places(n):
         return F.transform(F.filter("shared", lambda x: x.n == n), lambda x: x["at"])
@@ -162,10 +158,10 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("reach"), F.lit(0).alias("words")), lambda a, s: F.struct(
         F.greatest(a.reach, s.stop).alias("reach"),
         (a.words + F.greatest(F.lit(0), s.stop - F.greatest(a.reach, s.start))).alias("words"))).getField("words")
-    spans = stage_table(spans.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("n_hit"), "items"), "contaminated-spans")
-    rows = keyed.select("id", "th", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return rows.join(if_small(spans), F.col("id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th")), "left").select(
-        "id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    spans = spans.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("n_hit"), "items")
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.join(spans, same, "left").select(
+        "id", "th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
