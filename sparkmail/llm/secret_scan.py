@@ -126,12 +126,11 @@ def posting_lists(df: DataFrame, text: str, hash_col: str, trigrams: list[str],
     list, ``texts`` the hashes in ``hash_col`` of the block's texts that hold it. Repeated texts are one."""
     low = F.col("_low")
     held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    # explode_outer: Spark would compute the list once more in the filter that it infers for explode.
-    grams = df.select(col(hash_col).alias("hash"), F.lower(col(text)).alias("_low")).select("hash", held.alias("held"))
-    grams = stage_table(grams.where(F.size("held") > 0).groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_set("held"))).alias("held")),
-                        "text-trigrams")
-    blocks = -(-max(1, grams.count()) // block_texts)
-    pairs = grams.select(F.pmod("hash", F.lit(blocks)).alias("block"), "hash", F.explode_outer("held").alias("trigram"))
+    # explode_outer, and no filter on the list: either would have Spark compute the list once more.
+    pairs = df.select(col(hash_col).alias("hash"), F.lower(col(text)).alias("_low")).select("hash", F.explode_outer(held).alias("trigram"))
+    pairs = stage_table(pairs.where("trigram is not null").distinct(), "text-trigrams")
+    blocks = -(-max(1, pairs.select("hash").distinct().count()) // block_texts)
+    pairs = pairs.withColumn("block", F.pmod("hash", F.lit(blocks)))
     return stage_table(pairs.groupBy("block", "trigram").agg(F.collect_list("hash").alias("texts")), "posting-lists")
 
 
