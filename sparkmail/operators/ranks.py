@@ -67,10 +67,8 @@ def with_position(df: DataFrame, order: list[Column], by: list[str] = [], positi
     parts = max(1, math.ceil(total / part_rows))
     # Null-safe keys of the groups, for the join below.
     keyed = df.withColumn(key, F.struct(*[col(c) for c in by]) if by else F.lit(0))
+    # There may be other than ``parts`` partitions: the offsets are those of the partitions that were written.
     ranged = range_sorted(keyed, [*[col(c) for c in by], *order], parts, part, row)
-    if parts == 1 and not by:
-        placed = ranged.withColumn(position, col(row))
-        return placed.select(*[col(c) for c in df.columns], position, *([part] if keep_part else []))
     counts = ranged.groupBy(part, key).agg(F.min(row).alias(least), F.count("*").alias(n))
     counts = stage_table(counts, "ranges-counts")
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

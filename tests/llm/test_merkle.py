@@ -119,3 +119,10 @@ def test_a_changed_value_of_any_column_is_noticed(spark):
     for c, other in (("lang", F.lit(None).cast("string")), ("n_chars", F.col("n_chars") + 1), ("text", F.lit(""))):
         found = merkle_manifest(df, claim={c: F.when(F.col("doc_id") == 3, other).otherwise(F.col(c))}).collect()
         assert {r.id for r in found if not r.verified} == {3}
+
+
+def test_groups_are_placed_whatever_number_of_partitions_spark_makes(spark, monkeypatch):
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *c, f=kind.repartitionByRange: f(self, max(n, 7), *c))
+    rows = [(i, f"s{i % 5}", "en", i, "x\ny") for i in range(40)]
+    assert rows_of(merkle_manifest(spark.createDataFrame(rows, SCHEMA), claim=claim())) == brute(rows)

@@ -97,3 +97,10 @@ def test_page_from_index_equals_sorting_and_opens_few_files(spark, tmp):
             plan = indexed_page(spark, tmp, k, size)._jdf.queryExecution().executedPlan().toString()
             assert "part#" in plan[plan.index("PartitionFilters:"):].split("]")[0]
             assert 1 <= len(wanted_parts(spark, tmp, k, size)) <= 2
+
+
+def test_positions_hold_when_spark_makes_more_partitions_than_asked(spark, monkeypatch):
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *c, f=kind.repartitionByRange: f(self, max(n, 7), *c))
+    rows = with_position(spark.range(40).withColumnRenamed("id", "v"), [F.desc("v")], position="p").collect()
+    assert sorted((r.p, r.v) for r in rows) == [(i, 39 - i) for i in range(40)]
