@@ -10,7 +10,6 @@ closest to, and only if it is long enough for its shares to mean something.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,8 +25,8 @@ from sparkmail.session import stage_table
 SYMBOLS = "#*$%&|<>"
 #: Words of a window of which two in a text count as a repetition.
 WINDOW = 5
-#: About so many documents of each language fit its references.
-FIT_DOCS = 2000
+#: Counts that a fitting task keeps at most before it passes them on (and those of one batch).
+MOST_KEYS = 200_000
 #: Common words of a language's reference; languages whose references the driver holds at most.
 COMMON, MOST_LANGUAGES = 64, 200
 #: Distances (0 to 1) beyond which a text fails, in code points and words that the text must have for each.
@@ -178,12 +177,12 @@ class Judge:
 
 
 def fit_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   fit_docs: int = FIT_DOCS, common: int = COMMON, rules: Rules = Rules()) -> list[Reference]:
+                   common: int = COMMON, rules: Rules = Rules()) -> list[Reference]:
     """The references of each value of ``lang_col``, languages in order.
 
-    About ``fit_docs`` documents of each language are read, picked by a hash of the id, without those that
-    fail the base rules. They are fitted twice: the second time without the documents that the first
-    references reject, so that junk does not shape them. Rows with a null id, text or language are not used.
+    All documents are counted, without those that fail the base rules. They are fitted twice: the second time
+    without the documents that the first references reject, so that junk does not shape them; only the counts of
+    the rejected ones are taken off again. Rows with a null id, text or language are not used.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")) \
         .where("id is not null and text is not null and lang is not null")
@@ -192,49 +191,72 @@ def fit_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     if not sizes:
         return []
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, fit_docs / r["count"]))])
-    picked = labelled.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(2**30)) < share[F.col("lang")] * 2**30)
 
     def count(references):
+        """Counts of the documents that pass the base rules; with references, of those among them that these reject."""
         def run(batches):
             judge = Judge(references)
+            out: dict[tuple[str, str], int] = {}
             for batch in batches:
                 langs, texts = (c.to_pylist() for c in batch.columns)
                 known, numbers = numbered(texts)
                 counts = class_counts(texts)[0]
-                kept = [not rules.failed(len(w), repeated_words(w)) for w in numbers]
+                used = [not rules.failed(len(w), repeated_words(w)) for w in numbers]
                 if references:
-                    kept = [k and not rules.beyond(*x) for k, x in zip(kept, zip(counts.sum(axis=1), map(len, numbers), *judge(counts, known, numbers)))]
-                forms = [common_form(w) for w in known]
-                out: dict[str, Counter] = {}
-                for lang, own, row, k in zip(langs, numbers, counts, kept):
-                    if k:
-                        tally = out.setdefault(lang, Counter())
-                        tally.update(f for i in own.tolist() if (f := forms[i]))
-                        tally.update({f"\x00{i}": int(n) for i, n in enumerate(row) if n})
-                rows = [(lang, key, n) for lang, tally in out.items() for key, n in tally.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
-                                                 names=["lang", "key", "n"])
+                    used = [u and rules.beyond(*x) for u, x in zip(used, zip(counts.sum(axis=1), map(len, numbers), *judge(counts, known, numbers)))]
+                of_lang: dict[str, list[int]] = {}
+                for i, lang in enumerate(langs):
+                    if used[i]:
+                        of_lang.setdefault(lang, []).append(i)
+                for lang, rows in of_lang.items():
+                    tally = np.bincount(np.concatenate([numbers[i] for i in rows]), minlength=len(known))
+                    found = [(f, n) for i in np.flatnonzero(tally).tolist() if (f := common_form(known[i])) for n in (int(tally[i]),)]
+                    found += [(f"\x00{i}", int(n)) for i, n in enumerate(counts[rows].sum(axis=0)) if n]
+                    for key, n in found:
+                        out[lang, key] = out.get((lang, key), 0) + n
+                if len(out) > MOST_KEYS:
+                    yield flushed(out)
+            yield flushed(out)
         return run
 
+    def flushed(out):
+        rows = [(lang, key, n) for (lang, key), n in out.items()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
+                                          names=["lang", "key", "n"])
+
     python_ready(docs.sparkSession)
-    sample = stage_table(picked.select("lang", "text"), "quality-sample")
+    texts = labelled.select("lang", "text")
     references: list[Reference] = []
+    tally = None
     for _ in range(2):
-        tally = sample.mapInArrow(count(references), "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        own = Window.partitionBy("lang", "kind")
-        tally = tally.withColumn("kind", F.col("key").startswith("\x00")) \
-            .withColumn("total", F.sum("n").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "key")))
-        found: dict[str, dict] = {}
-        for r in tally.where(F.col("kind") | (F.col("rank") <= common)).orderBy("lang", "rank").collect():
-            found.setdefault(r.lang, {}).setdefault(r.kind, []).append((r.key, r.n / r.total))
-        references = []
-        for lang, kinds in sorted(found.items()):
-            chars = {int(k[1:]): n for k, n in kinds.get(True, [])}
-            words = kinds.get(False, [])
-            shares = [n for _, n in words]
-            references.append(Reference(lang, tuple(chars.get(i, 0.0) for i in range(len(CLASSES))),
-                                        tuple(w for w, _ in words), (*shares, max(0.0, 1.0 - sum(shares)))))
+        found = texts.mapInArrow(count(references), "lang string, key string, n long")
+        if tally is not None:
+            found = tally.unionByName(found.withColumn("n", -F.col("n")))
+        tally = stage_table(found.groupBy("lang", "key").agg(F.sum("n").alias("n")).where("n > 0"), "quality-tally")
+        references = references_of(tally, common)
+        if not references:
+            break
+    return references
+
+
+def references_of(tally: DataFrame, common: int) -> list[Reference]:
+    """The references by the counts (lang, key, n) of character classes (keys from ``\\0`` on) and words of each language."""
+    chars: dict[str, dict[int, int]] = {}
+    words = tally.where(~F.col("key").startswith("\x00"))
+    for r in tally.where(F.col("key").startswith("\x00")).collect():
+        chars.setdefault(r.lang, {})[int(r.key[1:])] = r.n
+    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    first = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= common)
+    top: dict[str, list] = {}
+    for r in first.orderBy("lang", "rank").collect():
+        top.setdefault(r.lang, []).append((r.key, r.n / totals[r.lang]))
+    references = []
+    for lang in sorted(chars.keys() | top.keys()):
+        own, found = chars.get(lang, {}), top.get(lang, [])
+        total, shares = sum(own.values()), [n for _, n in found]
+        references.append(Reference(lang, tuple(own.get(i, 0) / max(total, 1) for i in range(len(CLASSES))),
+                                    tuple(w for w, _ in found), (*shares, max(0.0, 1.0 - sum(shares)))))
     return references
 
 

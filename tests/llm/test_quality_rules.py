@@ -86,3 +86,13 @@ def test_without_references_only_the_base_rules_judge(spark):
     assert fit_references(df) == [] and fit_references(df.limit(0)) == []
     assert judge_quality(df, [], rules=Rules(repeat_percent=50)).first().kept
     assert not judge_quality(df, [], rules=Rules(repeat_percent=0)).first().kept
+
+
+def test_every_document_counts_in_the_references(spark):
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(8)]
+    text = " ".join(words[:60])
+    rows = [(i, f"{text} common" if i % 3 else text, "xx") for i in range(4500)] + [(5000, f"{text} rare", "yy"), (5001, None, "yy"), (None, text, "yy")]
+    xx, yy = fit_references(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    total = 4500 * 60 + 3000
+    assert dict(zip(xx.words, xx.shares))["common"] == 3000 / total and xx.shares[0] == 4500 / total
+    assert yy.language == "yy" and len(yy.words) == 61 and "rare" in yy.words
