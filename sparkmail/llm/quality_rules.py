@@ -196,7 +196,8 @@ def fit_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Counts of the documents that pass the base rules; with references, of those among them that these reject."""
         def run(batches):
             judge = Judge(references)
-            out: dict[tuple[str, str], int] = {}
+            words: dict[str, dict[bytes, int]] = {}
+            classes: dict[str, np.ndarray] = {}
             for batch in batches:
                 langs, texts = (c.to_pylist() for c in batch.columns)
                 known, numbers = numbered(texts)
@@ -210,18 +211,26 @@ def fit_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         of_lang.setdefault(lang, []).append(i)
                 for lang, rows in of_lang.items():
                     tally = np.bincount(np.concatenate([numbers[i] for i in rows]), minlength=len(known))
-                    found = [(f, n) for i in np.flatnonzero(tally).tolist() if (f := common_form(known[i])) for n in (int(tally[i]),)]
-                    found += [(f"\x00{i}", int(n)) for i, n in enumerate(counts[rows].sum(axis=0)) if n]
-                    for key, n in found:
-                        out[lang, key] = out.get((lang, key), 0) + n
-                if len(out) > MOST_KEYS:
-                    yield flushed(out)
-            yield flushed(out)
+                    own, at = words.setdefault(lang, {}), np.flatnonzero(tally)
+                    for i, n in zip(at.tolist(), tally[at].tolist()):
+                        own[known[i]] = own.get(known[i], 0) + n
+                    classes[lang] = classes.get(lang, 0) + counts[rows].sum(axis=0)
+                if sum(map(len, words.values())) > MOST_KEYS:
+                    yield flushed(words, classes)
+            yield flushed(words, classes)
         return run
 
-    def flushed(out):
-        rows = [(lang, key, n) for (lang, key), n in out.items()]
-        out.clear()
+    def flushed(words, classes):
+        rows = []
+        for lang, own in words.items():
+            forms: dict[str, int] = {}
+            for word, n in own.items():
+                if form := common_form(word):
+                    forms[form] = forms.get(form, 0) + n
+            rows += [(lang, form, n) for form, n in forms.items()]
+            rows += [(lang, f"\x00{i}", n) for i, n in enumerate(classes[lang].tolist()) if n]
+        words.clear()
+        classes.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
                                           names=["lang", "key", "n"])
 
