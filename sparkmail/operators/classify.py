@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sparkmail.functions import rules as R
 from sparkmail.functions.classify import classify_keyword as _kw, classify_rules as _rules, urgency
 
+#: Rows of an Arrow batch that the user's hook is given at most.
+HOOK_ROWS = 128
+
 
 def flatten_prediction(df: DataFrame, pred: Column, date: str | None = None) -> DataFrame:
     """Add the struct's fields as columns, copy ``label``, stamp the date."""
@@ -37,11 +40,14 @@ def register_classifier(spark, fn: Callable, name: str = "classify_message"):
     """User hook. ``fn(subject: pd.Series, body: pd.Series, sender: pd.Series)
     -> pd.DataFrame`` with the ``schemas.PREDICTION`` columns, wrapped as an
     Arrow-batched pandas UDF and registered for SQL. Prefer the native rules
-    above; this exists for models that are only available in Python."""
+    above; this exists for models that are only available in Python.
+    Arrow batches are kept to ``HOOK_ROWS`` rows: a worker holds the texts of a
+    batch several times over, and a text may be long."""
     from sparkmail.schemas import PREDICTION
     from sparkmail.session import ensure_shipped
 
     ensure_shipped(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HOOK_ROWS))
 
     @F.pandas_udf(PREDICTION)
     def _udf(subject, body, sender):

@@ -120,3 +120,19 @@ def test_udf_hook_matches_native(spark):
     a = [tuple(r) for r in df.select(udf("subject", "body", "sender").alias("p")).select("p.*").collect()]
     b = [tuple(r) for r in classify_keyword(df).select(*[f.name for f in S.PREDICTION.fields]).collect()]
     assert a == b
+
+
+def test_hook_gets_small_batches(spark):
+    import pandas as pd
+
+    from sparkmail.operators.classify import HOOK_ROWS, register_classifier
+
+    def sizes(subject, body, sender):
+        return pd.DataFrame({"spam_label": "ham", "spam_score": float(len(subject)), "topic": "t", "topic_confidence": 0.0,
+                             "urgency_score": 0.0, "sentiment_score": 0.0}, index=subject.index)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    udf = register_classifier(spark, sizes, "sizes")
+    rows = spark.range(3000, numPartitions=1).select(F.col("id").cast("string").alias("s"))
+    found = [r.n for r in rows.select(udf("s", "s", "s")["spam_score"].alias("n")).collect()]
+    assert len(found) == 3000 and max(found) <= HOOK_ROWS
