@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import regex
@@ -92,17 +92,19 @@ class PieceTable:
         self.values.extend(self.learn(new))
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The numbers of ``pieces``, all looked up once; only unknown ones are learnt."""
+        """The numbers of ``pieces``, all looked up once; only unknown ones are learnt, and looked up again."""
         if len(self.rows) > self.limit:
             kept = self.limit // 2
             self.rows = dict(islice(self.rows.items(), kept))
             self.cut(kept)
         get = self.rows.get
-        found = list(map(get, pieces))
-        if None in found:
-            self.store(list(dict.fromkeys(p for p, n in zip(pieces, found) if n is None)))
-            found = list(map(get, pieces))
-        return np.array(found, dtype=np.int64)
+        found = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            unknown = [pieces[i] for i in at.tolist()]
+            self.store(list(dict.fromkeys(unknown)))
+            found[at] = np.fromiter(map(get, unknown), np.int64, len(unknown))
+        return found
 
     def of(self, pieces: list[str]) -> np.ndarray:
         at = self.numbers(pieces)  # may replace the array of values

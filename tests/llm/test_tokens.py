@@ -131,3 +131,21 @@ def test_a_full_table_forgets_the_pieces_learnt_last():
         assert size.tolist() == lengths.of(pieces).tolist() == [len(p) for p in pieces]
         assert "".join(map(chr, ids)) == "".join(pieces)
         assert len(table.rows) <= 40
+
+
+def test_known_pieces_are_looked_up_once():
+    from sparkmail.llm.pieces import PieceTable
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return dict.get(self, *a)
+
+    table = PieceTable(lambda new: np.array([len(p) for p in new]))
+    table.rows = Counted()
+    pieces = ["a", "bb", "a", "ccc", "bb"]
+    assert table.of(pieces).tolist() == [1, 2, 1, 3, 2]
+    Counted.asked = 0
+    assert table.of([*pieces, "dddd"]).tolist() == [1, 2, 1, 3, 2, 4] and Counted.asked == 7
