@@ -2,7 +2,7 @@
 
 ``ml.retrain`` gathers its vocabulary in the driver and keeps it in the model. Here each term's number, idf and weights are a
 row of a table: numbers come from range partitions and offsets, documents get their sparse rows by a join, and labels are given
-by a join with the weights and a sum per document. What the driver holds is what Spark's logistic regression needs, a number
+by a join with the weights and a sum per document. What the driver holds is what the regression needs, a few numbers
 per term and class; no term passes through it. Tokens, idf, norm and penalty are those of ``ml.retrain``.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sparkmail.functions import rules as R
 from sparkmail.operators.ml import TOKEN_PATTERN, tfidf
 from sparkmail.operators.ranks import col, unused, with_position
+from sparkmail.operators.regression import fit_logistic
 from sparkmail.session import stage_table
 
 #: A term with more than one in so many of all (document, term) pairs is hot: fewer terms than this can be.
@@ -108,9 +109,11 @@ def fit_term_model(feedback: DataFrame, min_samples: int = R.MIN_FEEDBACK_SAMPLE
     entries = numbered.groupBy("row").agg(F.collect_list(F.struct("idx", "weight")).alias("entries"))
     index = StringIndexer(inputCol="feedback", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     ready = index.transform(rows.join(entries, "row", "left")).select(sparse("entries").alias("features"), "label")
-    lr = LogisticRegression(maxIter=1000, regParam=1.0 / n, standardization=False, family="auto")
-    fitted = lr.fit(stage_table(ready, "features"))
-    matrix = fitted.coefficientMatrix.toArray()
+    if len(index.labels) > 1:
+        matrix, intercepts, _ = fit_logistic(ready, "features", "label", size, len(index.labels), 1.0 / n)
+    else:
+        fitted = LogisticRegression(maxIter=1000, regParam=1.0 / n, standardization=False, family="auto").fit(stage_table(ready, "features"))
+        matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector
     coefs = spark.createDataFrame(pd.DataFrame({"idx": np.arange(size), "coefs": list(np.ascontiguousarray(matrix.T))}), "idx long, coefs array<double>")
     known = stage_table(terms.join(coefs, "idx").select("term", "idf", "coefs"), "term-model")
-    return TermModel(known, list(index.labels), [float(v) for v in fitted.interceptVector])
+    return TermModel(known, list(index.labels), [float(v) for v in intercepts])
