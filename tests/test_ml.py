@@ -50,6 +50,24 @@ def test_tfidf_on_table_against_brute_force(spark):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
+def test_tfidf_deals_text_and_pairs_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    rows = [(i if i % 7 else None, f"word{i % 5} common und{i} w{i * 3} common") for i in range(60)] + [(1, "again common")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    monkeypatch.setattr(ML, "TASK_TEXT", 64, raising=False)
+    monkeypatch.setattr(ML, "TASK_PAIRS", 16, raising=False)
+    staged, stage = [], ML.stage_table
+    monkeypatch.setattr(ML, "stage_table", lambda t, name: staged.append(stage(t, name)) or staged[-1])
+    found = ML.tfidf(df, "id", "text")
+    assert len(staged[0].inputFiles()) > 10  # 4 at most when Spark deals a small table
+    got = sorted((r["id"] or -1, r["term"], r["tf"], r["df"], round(r["weight"], 12)) for r in found.collect())
+    texts = {}
+    for i, t in rows:
+        texts[i] = f"{texts.get(i, '')} {t}"
+    want = _brute_tfidf(list(texts.items()))
+    assert len(got) == len(want) and {(i, t) for i, t, *_ in got} == {(i or -1, t) for i, t in want}
+    assert {i: round(sum(g[4] ** 2 for g in got if g[0] == (i or -1)), 9) for i in texts} == dict.fromkeys(texts, 1.0)
+
+
 def test_class_report_and_accuracy(spark):
     pred = spark.createDataFrame([("spam", "spam"), ("spam", "ham"), ("ham", "ham"), ("ham", "ham"), ("x", "spam")],
                                  "label string, predicted string")
