@@ -27,6 +27,11 @@ SQL_CONF = {
     # executors' disks and is checkpointed, not held in the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A micro-batch uploads the changes of its state, not the files of each store
+    # anew; snapshots are made beside it. Else each batch costs a flush and an
+    # upload for every state partition, however few keys it brings.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # Partition folder values stay strings (dates travel as yyyy-MM-dd text).
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

@@ -173,3 +173,26 @@ def test_stored_ids_in_buckets_give_the_same_results_as_state(spark, tmp):
         _run(ST.stream_classify(ST.file_source(spark, src, max_files=1), sink, f"{sink}-dlq", f"{ck}-{dedup}", trigger=NOW, dedup=dedup))
     got = [sorted(r.email_id for r in spark.read.parquet(s).collect()) for s in sinks]
     assert got == [["a", "b", "c", "d", "e"]] * 2
+
+
+def test_stream_input_has_no_more_files_than_its_lines_need(spark, tmp):
+    """The micro-batches of a stream that takes two files at a time must not grow with the tasks of the scan."""
+    from sparkmail.plans import q_stream as Q
+
+    ev = spark.range(400).select(
+        F.col("id").alias("event_id"), (F.lit(dt.datetime(2026, 1, 5)) + F.make_interval(mins=F.col("id").cast("int"))).alias("ts"),
+        (F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    ev.repartition(8).write.parquet(f"{tmp}/events.parquet")
+    Q._write_stream_input(spark, tmp, f"{tmp}/in")
+    lines = spark.read.text(f"{tmp}/in")
+    assert len(lines.inputFiles()) == 5
+    assert lines.count() == 400 + 10 + 134 and lines.distinct().count() == 400
+
+
+def test_large_appends_have_several_files(spark, tmp, monkeypatch):
+    from sparkmail.plans import q_stream as Q
+
+    monkeypatch.setattr(Q, "LINES_A_FILE", 10)
+    Q._append_lines(spark.range(0, 35, 1, 8).select(F.col("id").cast("string").alias("value")), f"{tmp}/in")
+    lines = spark.read.text(f"{tmp}/in")
+    assert len(lines.inputFiles()) == 4 and sorted(int(r.value) for r in lines.collect()) == list(range(35))
