@@ -1,25 +1,27 @@
 """The feedback model with its terms in tables (M8).
 
-``ml.retrain`` gathers its vocabulary in the driver and keeps it in the model. Here each term's number, idf and weights are a
-row of a table: numbers come from range partitions and offsets, documents get their sparse rows by a join, and labels are given
-by a join with the weights and a sum per document. What the driver holds is what the regression needs, a few numbers
-per term and class; no term passes through it. Tokens, idf, norm and penalty are those of ``ml.retrain``.
+``ml.retrain`` gathers a small vocabulary in the driver and keeps it in the model. Here each term's idf and weights are a row of
+a table, made by ``term_fit``, and labels are given by a join with the weights and a sum per document. What the driver holds
+is what the regression needs, a few numbers per labelled row and class; no term passes through it, nor a number a term. Tokens, idf,
+norm and penalty are those of ``ml.retrain``, which gives this model, as a ``TermClassifier``, for more terms than it gathers.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Model
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmail.functions import rules as R
-from sparkmail.operators.ml import TOKEN_PATTERN, tfidf
 from sparkmail.operators.ranks import col, unused, with_position
-from sparkmail.operators.regression import fit_logistic
+from sparkmail.operators.term_fit import Rows, fit_rows, number_rows, tasks_for, term_blocks, term_counts
 from sparkmail.session import stage_table
 
 #: A term with more than one in so many of all (document, term) pairs is hot: fewer terms than this can be.
@@ -67,12 +69,17 @@ class TermModel:
         k = len(self.intercepts)
         sums = unused([*df.columns, row, norm], *[f"_sum{c}" for c in range(k)])
         rows = stage_table(df.drop("probability", "predicted_label").withColumn(row, F.monotonically_increasing_id()), "to-label")
-        words = F.regexp_extract_all(F.lower(F.coalesce(col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
-        pairs = stage_table(rows.select(row, F.explode(words).alias("term")).groupBy(row, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+        pairs = stage_table(term_counts(rows, row, text_col, tasks_for(rows, text_col)).withColumnsRenamed({"row": row, "n": "tf"}), "term-counts")
         x = F.col("tf") * F.col("idf")
         scores = join_terms(pairs, self.terms).groupBy(row).agg(
             F.sqrt(F.sum(x * x)).alias(norm), *[F.sum(x * F.col("coefs")[c]).alias(sums[c]) for c in range(k)])
-        margins = [F.coalesce(F.col(sums[c]) / F.col(norm), F.lit(0.0)) + F.lit(float(self.intercepts[c])) for c in range(k)]
+        out = self.judged(rows.join(scores, row, "left"), [F.coalesce(F.col(sums[c]) / F.col(norm), F.lit(0.0)) for c in range(k)])
+        return out.drop(row, norm, *sums)
+
+    def judged(self, rows: DataFrame, sums: list[Column]) -> DataFrame:
+        """``rows`` with ``probability`` and ``predicted_label`` from the weights' ``sums`` over their terms."""
+        k = len(self.intercepts)
+        margins = [s + F.lit(float(b)) for s, b in zip(sums, self.intercepts)]
         if k == 1 and len(self.labels) > 1:
             second = 1 / (1 + F.exp(-margins[0]))
             chances = [1 - second, second]
@@ -81,39 +88,107 @@ class TermModel:
         else:
             powers = [F.exp(m - F.greatest(*margins)) for m in margins]
             chances = [p / sum(powers[1:], powers[0]) for p in powers]
-        out = rows.join(scores, row, "left").withColumn("probability", F.array(*chances)).drop(row, norm, *sums)
+        out = rows.withColumn("probability", F.array(*chances))
         best = F.array_position("probability", F.array_max("probability")).cast("int")
         return out.withColumn("predicted_label", F.element_at(F.array(*[F.lit(v) for v in self.labels]), best))
 
 
-def fit_term_model(feedback: DataFrame, min_samples: int = R.MIN_FEEDBACK_SAMPLES) -> TermModel | None:
-    """M8 on rows (text, feedback): None with fewer than ``min_samples`` rows that have feedback. A null text has no terms; the
-    terms must be fewer than 2**31, as Spark's vectors number them."""
+@dataclass
+class Counted:
+    """Feedback rows, written once and numbered by ``row``, and their terms in blocks."""
+
+    rows: DataFrame
+    blocks: DataFrame
+    row: str
+
+
+def count_feedback(feedback: DataFrame) -> Counted:
+    """The rows of (text, feedback, ..) that have feedback, counted once for all models of them. Fewer than 2**31."""
+    row = unused(feedback.columns, "_row")[0]
+    rows = number_rows(feedback.where(F.col("feedback").isNotNull()), row)
+    return Counted(rows, term_blocks(rows, row), row)
+
+
+def fit_term_model(feedback: DataFrame, min_samples: int = R.MIN_FEEDBACK_SAMPLES, counted: Counted | None = None) -> TermModel | None:
+    """M8 on rows (text, feedback): None with fewer than ``min_samples`` rows that have feedback. A null text has no terms.
+    ``counted`` is ``count_feedback`` of the same rows, for who has it."""
     given = feedback.where(F.col("feedback").isNotNull())
     if len(given.select("feedback").limit(min_samples).collect()) < min_samples:
         return None
-    spark = feedback.sparkSession
-    rows = stage_table(given.select("text", "feedback", F.monotonically_increasing_id().alias("row")), "feedback")
-    n = rows.count()
-    weights = stage_table(tfidf(rows, "row", "text"), "term-weights")
-    terms = stage_table(term_dictionary(weights, n), "dictionary")
-    size = max(1, terms.count())
-
-    @F.udf(VectorUDT())
-    def sparse(entries):
-        entries = sorted(entries or [])
-        return Vectors.sparse(size, [e[0] for e in entries], [e[1] for e in entries])
-
-    numbered = join_terms(weights.select("row", "term", "weight"), terms.select("term", F.col("idx").cast("int").alias("idx")))
-    # A document's own terms: as many as its text has.
-    entries = numbered.groupBy("row").agg(F.collect_list(F.struct("idx", "weight")).alias("entries"))
-    index = StringIndexer(inputCol="feedback", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    ready = index.transform(rows.join(entries, "row", "left")).select(sparse("entries").alias("features"), "label")
-    if len(index.labels) > 1:
-        matrix, intercepts, _ = fit_logistic(ready, "features", "label", size, len(index.labels), 1.0 / n)
-    else:
-        fitted = LogisticRegression(maxIter=1000, regParam=1.0 / n, standardization=False, family="auto").fit(stage_table(ready, "features"))
-        matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector
-    coefs = spark.createDataFrame(pd.DataFrame({"idx": np.arange(size), "coefs": list(np.ascontiguousarray(matrix.T))}), "idx long, coefs array<double>")
-    known = stage_table(terms.join(coefs, "idx").select("term", "idf", "coefs"), "term-model")
-    return TermModel(known, list(index.labels), [float(v) for v in intercepts])
+    return fit_counted(counted or count_feedback(given.select("text", "feedback")))[0]
+
+
+def fit_counted(counted: Counted) -> tuple[TermModel, np.ndarray]:
+    """The model, and the weights' sums over the terms of each of its rows: what it gives them but for the intercepts."""
+    index = StringIndexer(inputCol="feedback", outputCol="_label", stringOrderType="alphabetAsc").fit(counted.rows)
+    # A number a row: its class.
+    given = index.transform(counted.rows.select(col(counted.row).cast("int").alias("row"), "feedback"))
+    given = given.select("row", F.col("_label").cast("int").alias("label")).toPandas()
+    labels = np.empty(len(given), np.int64)
+    labels[given["row"]] = given["label"]
+    space = Rows(counted.blocks, len(labels))
+    try:
+        if len(index.labels) > 1:
+            found, intercepts, sums = fit_rows(space.times, labels, len(index.labels), 1.0 / len(labels))
+        else:
+            found, intercepts, sums = np.zeros((len(labels), 1)), np.zeros(1), np.zeros((len(labels), 1))
+        terms = stage_table(space.weights(found).select("term", "idf", "coefs"), "term-model")
+    finally:
+        space.close()
+    return TermModel(terms, list(index.labels), [float(v) for v in intercepts]), sums
+
+
+def label_counted(counted: Counted, model: TermModel, sums: np.ndarray) -> DataFrame:
+    """The model's labels of the rows that it was fitted on, as ``TermModel.predict`` gives them, from the ``sums`` of the fit."""
+    sent = counted.rows.sparkSession.sparkContext.broadcast(sums)
+
+    @F.pandas_udf("array<double>")
+    def own(row: pd.Series) -> pd.Series:
+        return pd.Series(list(sent.value[row.to_numpy()]))
+
+    at = unused(counted.rows.columns, "_sums")[0]
+    rows = counted.rows.drop("probability", "predicted_label").withColumn(at, own(col(counted.row)))
+    return model.judged(rows, [F.col(at)[c] for c in range(sums.shape[1])]).drop(at, counted.row)
+
+
+def as_vectors(judged: DataFrame) -> DataFrame:
+    """``judged`` with what a fitted classifier of Spark gives: ``prediction``, the label's number, and a vector as ``probability``."""
+    number = F.array_position("probability", F.array_max("probability")) - 1
+    return judged.withColumn("prediction", number.cast("double")).withColumn("probability", array_to_vector("probability"))
+
+
+class TermClassifier(Model, MLWritable, MLReadable):
+    """A ``TermModel`` as a stage of a pipeline, which is saved, loaded and served like any other: it reads ``text`` and adds
+    ``probability``, ``prediction`` and ``predicted_label``. The terms stay in a table, in memory and in the saved model."""
+
+    def __init__(self, model: TermModel | None = None):
+        super().__init__()
+        self.model = model
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return as_vectors(self.model.predict(dataset))
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader()
+
+
+class _Writer(MLWriter):
+    def __init__(self, stage: TermClassifier):
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession)
+        self.stage.model.save(path)
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> TermClassifier:
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stage = TermClassifier(TermModel.load(self.sparkSession, path))
+        stage._resetUid(found["uid"])
+        return stage
