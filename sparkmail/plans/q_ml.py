@@ -13,7 +13,7 @@ from sparkmail.operators import registry as G
 from sparkmail.operators.classify import classify_mailbox, register_classifier
 from sparkmail.operators.grid import grid_search
 from sparkmail.operators.ranks import rank_statistics
-from sparkmail.operators.term_model import fit_term_model, term_dictionary
+from sparkmail.operators.term_model import count_feedback, fit_term_model, term_dictionary
 from sparkmail.plans.adapters import (
     MESSAGES_FROM_EVENTS_SQL as EV,
     messages_from_events,
@@ -346,8 +346,9 @@ def q_retrain_terms(spark, sf):
     """M8 with terms in a table: its chance of spam is that of the model of ``retrain`` (up to 0.02: both are iterated) for every message."""
     l = _labelled(spark, sf)
     rows = stage_table(l.select("message_id", F.col("body").alias("text"), F.col("label").alias("feedback")), "labelled")
-    mine = fit_term_model(rows).predict(rows)
-    _, theirs = ML.retrain(rows)
+    counted = count_feedback(rows)
+    mine = fit_term_model(rows, counted=counted).predict(rows)
+    _, theirs = ML.retrain(rows, counted=counted)
     theirs = theirs.select("message_id", vector_to_array("probability").alias("other"))
     return mine.join(theirs, "message_id").select(
         "message_id", "feedback", (F.abs(F.element_at("probability", -1) - F.element_at("other", -1)) < 0.02).alias("agrees"))
